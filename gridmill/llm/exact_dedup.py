@@ -57,7 +57,8 @@ def merge_sorted(batches):
     """
     carry = None
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+        table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+        table = table if carry is None else pa.concat_tables([carry, table])
         if not table.num_rows:
             continue
         table = table.combine_chunks()
@@ -68,7 +69,7 @@ def merge_sorted(batches):
             new[1:] |= pc.not_equal(col.slice(1), col.slice(0, table.num_rows - 1)).to_numpy().astype(bool)
         starts = np.flatnonzero(new)
         n = np.add.reduceat(table.column("n").to_numpy(), starts)
-        merged = table.take(pa.array(starts)).set_column(table.schema.get_field_index("n"), "n", pa.array(n, pa.int64()))
+        merged = table.take(pa.array(starts)).set_column(table.column_names.index("n"), "n", pa.array(n, pa.int64()))
         carry = merged.slice(merged.num_rows - 1)
         if merged.num_rows > 1:
             yield from merged.slice(0, merged.num_rows - 1).to_batches()
