@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, quality, sentencepiece_spans, simhash, toxicity, warc
+from . import chat, embedding_dedup, exact_dedup, lm_scoring, mixing, quality, sentencepiece_spans, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return groups.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -60,6 +65,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_turns(turns)).drop("n_rewrites")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = lm_scoring.fit(_table(spark, sf_dir, "benchmark"), docs)
+    return lm_scoring.score(docs, models).withColumnRenamed("id", "doc_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("row.doc_id", "row.source", "mix_rank", "mix_block", "mix_slot", "mix_position")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
@@ -71,7 +94,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
         "op3_quality": op3_quality,
+        "op4_embeddings": op4_embeddings,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_chat": op7_chat,
+        "op8_lm_scoring": op8_lm_scoring,
+        "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
     }

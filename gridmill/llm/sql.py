@@ -16,5 +16,23 @@ from t
 """
 
 
+OP7 = r"""
+with t as (
+  select conv_id, turn, role, text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from t),
+e as (
+  select *, replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') as safe,
+         replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), chr(10), '\n') as safe_role
+  from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(safe) + length(safe_role) + 17) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op6_exact_dedup": OP6, "op7_chat": OP7}
