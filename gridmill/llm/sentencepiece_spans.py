@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,6 +157,8 @@ class Model:
         self.map = CharacterMap(blob)
         self.unk = self.kinds.index(UNKNOWN)
         self.lookup = {p.decode(): i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
+        order = {x: r for r, x in enumerate(sorted({self.scores[i] for i in self.lookup.values()}, reverse=True))}
+        self.rank, self.no_rank = {p: order[self.scores[i]] for p, i in self.lookup.items()}, len(order)
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         chars = {c for p in self.lookup for c in p}
         self.alone = "".join(c for c in "\n\t\r" if c not in chars)
@@ -219,8 +222,26 @@ class Model:
     def merge(self, text: str) -> list[str]:
         """Byte-pair merges: always the best-scored adjacent pair, the leftmost of equals."""
         parts, n = list(text), len(text)
-        if n < 2:
-            return parts
+        if n > 128:
+            return self._merge_long(parts)
+        rank, none = self.rank.get, self.no_rank
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap of pairs, for long runs without a space."""
+        n = len(parts)
         lookup, scores = self.lookup, self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -296,7 +317,7 @@ class Model:
 class Encoder:
     """Encodes texts with one model, remembering at most ``remember`` chunks."""
 
-    def __init__(self, data: bytes, remember: int = 250_000) -> None:
+    def __init__(self, data: bytes, remember: int = 500_000) -> None:
         self.model = Model(data)
         self.memory = _Memory(self.model, remember)
 
@@ -321,8 +342,23 @@ class _Memory(dict):
         self.model, self.limit = model, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        spans = self.model.encode_spans(chunk.encode(), prefix=False)
-        value = np.array([(i, end - begin) for i, begin, end in spans], dtype=np.int32).tobytes()
+        flat = array("i")
+        if self.model.map.units:
+            for i, begin, end in self.model.encode_spans(chunk.encode(), prefix=False):
+                flat.extend((i, end - begin))
+        else:  # without a map every character stands for itself
+            lookup, at = self.model.lookup, 0
+            for piece in self.model.merge(chunk.replace(" ", MARK)):
+                to = at + len(piece)
+                size = len(chunk[at:to].encode())
+                i = lookup.get(piece)
+                if i is None:
+                    *first, i = self.model._ids(piece)
+                    for byte in first:
+                        flat.extend((byte, 0))
+                flat.extend((i, size))
+                at = to
+        value = flat.tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
