@@ -143,14 +143,14 @@ def _cell_issues(profile: Profile) -> Column:
     )
 
 
-def extract_records(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
-    """One row per record: ``record_index`` over the document, its fields, unmapped values and own issues.
+def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
+    """One row per record of the tables of ``table_issues``: ``record_index`` over the document, its fields, unmapped values and own issues.
 
     ``table_flagged`` tells whether the record's table has issues, which send the
     record to review without being its own.
     """
     order = Window.partitionBy("doc_id").orderBy("table_seq", "row")
-    data = typed(data_rows(table_issues(matched, profile), rows, profile), profile)
+    data = typed(data_rows(issued, rows, profile), profile)
     mapped = F.filter(F.col("mapping"), lambda x: x.isNotNull())
     rest = F.filter(
         F.transform(F.col("cells"), lambda c, i: F.struct(i.cast("int").alias("column"), F.coalesce(F.get(F.col("header"), i), F.lit("")).alias("header"), strip(c).alias("raw"))),

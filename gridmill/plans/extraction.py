@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,12 @@ class Extraction:
     records: DataFrame
     issues: DataFrame
     documents: DataFrame  # decision and summary
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Let go of what the run keeps on the executors (their disks where memory is short)."""
+        for frame in self.kept:
+            frame.unpersist()
 
     @property
     def record_fields(self) -> DataFrame:
@@ -58,6 +65,9 @@ class Extraction:
         )
 
 
+#: Kept frames spill to the executors' disks.
+KEEP = StorageLevel.MEMORY_AND_DISK
+
 TABLE_COLUMNS = {"page": "int", "table_index": "int", "has_merged_cells": "boolean", "bbox": "array<double>"}
 
 
@@ -76,23 +86,26 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     table_seq`` and what there is of ``page, table_index, has_merged_cells,
     bbox``); ``rows`` one per table row (``doc_id, table_seq, row, cells``).
 
-    Both are dealt by document once; every window, grouping and join below is by
+    Grid rows, matched tables and records are each read by several of the frames
+    that come out, so they are kept on the executors from their first use on; a
+    lost executor's part is computed again.
+
+    Both inputs are dealt by document once; every window, grouping and join below is by
     document and something, so it needs no other exchange where
     ``spark.sql.requireAllClusterKeysForCoPartition`` is false (``plans.session``
     sets it).
     """
     profile = load(profile)
     deal = (lambda df: df.repartition(partitions, "doc_id")) if partitions else (lambda df: df.repartition("doc_id"))
-    rows = deal(rows.select("doc_id", "table_seq", "row", "cells"))
+    rows = deal(rows.select("doc_id", "table_seq", "row", "cells")).persist(KEEP)
     found = deal(prepared(table_rows, TABLE_COLUMNS))
-    matched = match.match_tables(tables.assess(found, rows), rows, profile)
-    issued = records.table_issues(matched, profile)
-    unique = records.unique_check(records.extract_records(matched, rows, profile), profile)
-    counts = decide.document_counts(documents, matched, unique)
+    issued = records.table_issues(match.match_tables(tables.assess(found, rows), rows, profile), profile).persist(KEEP)
+    unique = records.unique_check(records.extract_records(issued, rows, profile), profile).persist(KEEP)
+    counts = decide.document_counts(documents, issued, unique)
     flagged = decide.table_flags(issued, unique)
     issues = decide.all_issues(decide.document_issues(counts, profile), flagged, unique, profile)
     statuses = decide.record_status(unique)
-    return Extraction(profile, flagged, statuses, issues, decide.decisions(counts, issues, statuses))
+    return Extraction(profile, flagged, statuses, issues, decide.decisions(counts, issues, statuses), (rows, issued, unique))
 
 
 def from_grids(grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
