@@ -8,9 +8,11 @@ smoothing weighs the same in both.  A document's score is the mean difference of
 its per-token losses (target minus background): the lower, the closer to the
 target.
 
-Every count covers every text.  The tables have a fixed size (``SYMBOLS`` to the
-power of ``ORDER``): tasks count in place, exchange blocks of their tables, and
-sum them block by block, so no task or driver holds more than a few tables.
+Every count covers every text.  Each task returns the grams that it met with
+their counts, which are summed by gram in a shuffle; what is gathered so follows
+the corpus.  The models that are sent to the executors have a fixed size: grams of
+up to three characters are slots of their own, longer ones share ``SLOTS`` slots
+by a hash, in which counts add up and none is dropped.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 3
+ORDER = 5
 SYMBOLS = 128
+#: Slots of a table; grams of up to ``EXACT`` characters need no hash.
+SLOTS, EXACT = 1 << 21, 3
 #: Symbol 0 stands before a text, symbol 1 for characters outside the vocabulary.
 _START, _UNKNOWN = 0, 1
-_BLOCK = 1 << 14
 _CODES = 0x110000
 #: Strength of the lower order in each context, in tokens.
 PRIOR = 4.0
+#: Characters looked at together.
+_TOGETHER = 500_000
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -58,87 +63,128 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """Index of the gram that ends at each symbol; starts are padded."""
-    padded = np.concatenate((np.full(ORDER - 1, _START, dtype=np.int64), symbols))
-    index = np.zeros(len(symbols), dtype=np.int64)
+def _slot(key: np.ndarray, length: int) -> np.ndarray:
+    if length <= EXACT:
+        return key
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+
+
+def keys(symbols: np.ndarray) -> list[np.ndarray]:
+    """For each length from 0 to ``ORDER`` the key of the gram that ends at each symbol; texts begin with start symbols."""
+    padded = np.concatenate((np.full(ORDER, _START, dtype=np.int64), symbols))
+    n = len(symbols)
+    out = [np.zeros(n, dtype=np.int64)]
     for back in range(ORDER):
-        index = index * SYMBOLS + padded[back : back + len(symbols)]
-    return index
+        at = ORDER - back
+        out.append(out[-1] + (padded[at : at + n] << (7 * back)))
+    return out
+
+
+def contexts(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Key of the ``length`` symbols before each symbol."""
+    padded = np.concatenate((np.full(ORDER, _START, dtype=np.int64), symbols))
+    n, key = len(symbols), np.zeros(len(symbols), dtype=np.int64)
+    for back in range(length):
+        at = ORDER - 1 - back
+        key += padded[at : at + n] << (7 * back)
+    return key
+
+
+#: What is counted: (name, length, whether it is a context).
+TABLES = [(f"g{n}", n, False) for n in range(EXACT, ORDER + 1)] + [(f"h{n}", n - 1, True) for n in range(EXACT + 1, ORDER + 1)]
+
 
+def _parts(symbols: np.ndarray):
+    """Pieces of a long text with the symbols before them, and how many of those to leave out."""
+    for at in range(0, len(symbols), _TOGETHER):
+        first = max(0, at - ORDER)
+        yield symbols[first : at + _TOGETHER], at - first
 
-def counts(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """Counts of every gram over all texts."""
+
+def slots(symbols: np.ndarray) -> dict[str, np.ndarray]:
+    """Slot in every table of each symbol of a text."""
+    if len(symbols) <= _TOGETHER:
+        by_length = keys(symbols)
+        return {name: _slot(contexts(symbols, n) if context else by_length[n], n) for name, n, context in TABLES}
+    found = [{name: v[skip:] for name, v in slots(part).items()} for part, skip in _parts(symbols)]
+    return {name: np.concatenate([f[name] for f in found]) for name, _, _ in TABLES}
+
+
+def counts(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Every table's counts over all texts."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    size = SYMBOLS**ORDER
 
     def count(batches):
-        held = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            parts = [grams(sent.value[_code_points(t)]) for t in batch.column(0).to_pylist() if t]
-            if parts:
-                held += np.bincount(np.concatenate(parts), minlength=size)
-        for at in range(0, size, _BLOCK):
-            block = held[at : at + _BLOCK]
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(batches):
-        block, held = None, None
+        held = {name: np.zeros(SLOTS, dtype=np.int64) for name, _, _ in TABLES}
         for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if at != block:
-                    if block is not None:
-                        yield _packed(block, held)
-                    block, held = at, np.zeros(_BLOCK, dtype=np.int64)
-                held += np.frombuffer(raw.as_py(), dtype=np.int64)
-        if block is not None:
-            yield _packed(block, held)
-
-    schema = "block int, counts binary"
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, schema)
-    out = np.zeros(size, dtype=np.int64)
-    for row in parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, schema).toLocalIterator():
-        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
+            for text in batch.column(0):
+                symbols = sent.value[_code_points(text.as_py() or "")]
+                for part, skip in _parts(symbols):
+                    for name, where in slots(part).items():
+                        np.add.at(held[name], where[skip:], 1)
+        for t, (name, _, _) in enumerate(TABLES):
+            met = np.flatnonzero(held[name])
+            for at in range(0, len(met), 100_000):
+                some = met[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(held[name][some])], names=["t", "slot", "n"])
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "t int, slot int, n long")
+    found = parts.groupBy("t", "slot").agg(F.sum("n").alias("n")).toArrow()
+    which, slot, n = (found.column(c).to_numpy() for c in ("t", "slot", "n"))
+    out = {}
+    for t, (name, _, _) in enumerate(TABLES):
+        out[name] = np.zeros(SLOTS, dtype=np.float32)
+        out[name][slot[which == t]] = n[which == t]
     return out
 
 
-def _packed(block: int, held: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "counts"])
+@dataclass
+class Model:
+    """Probabilities of exact grams, and counts of longer ones and their contexts."""
+
+    exact: np.ndarray
+    longer: list[tuple[str, str, np.ndarray, np.ndarray]]
+
+    def loss(self, where: dict[str, np.ndarray]) -> float:
+        """Mean negative log2 probability of the symbols at the given slots."""
+        p = self.exact[where[f"g{EXACT}"]]
+        for gram, context, grams, befores in self.longer:
+            p = (grams[where[gram]] + PRIOR * p) / (befores[where[context]] + PRIOR)
+        return float(-np.log2(np.clip(p, 1e-9, 1.0), dtype=np.float32).mean(dtype=np.float64))
 
 
-def losses(gram_counts: np.ndarray) -> np.ndarray:
-    """Negative log2 probability of each gram's last symbol, every order smoothed by the next lower one."""
-    by_order = [gram_counts.reshape((SYMBOLS,) * ORDER).astype(float)]
-    for _ in range(ORDER - 1):
+def smoothed(found: dict[str, np.ndarray], scale: float = 1.0) -> Model:
+    """A model of counts times ``scale``, every order smoothed by the next lower one."""
+    by_order = [found[f"g{EXACT}"].astype(float).reshape((SYMBOLS,) * EXACT) * scale]
+    for _ in range(EXACT - 1):
         by_order.append(by_order[-1].sum(axis=0))
     p = np.full(SYMBOLS, 1 / SYMBOLS)
     for c in reversed(by_order):
         p = (c + PRIOR * p) / (c.sum(axis=-1, keepdims=True) + PRIOR)
-    return -np.log2(p).reshape(-1).astype(np.float32)
+    longer = [(f"g{n}", f"h{n}", found[f"g{n}"] * np.float32(scale), found[f"h{n}"] * np.float32(scale)) for n in range(EXACT + 1, ORDER + 1)]
+    return Model(p.reshape(-1).astype(np.float32), longer)
 
 
 @dataclass
 class Models:
     symbols: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+    target: Model
+    background: Model
 
     def score(self, text: str | None) -> tuple[int, float, float]:
         """Tokens and the mean loss under either model; an empty text has neither."""
         if not text:
             return 0, 0.0, 0.0
-        index = grams(self.symbols[_code_points(text)])
-        return len(index), float(self.target[index].mean(dtype=np.float64)), float(self.background[index].mean(dtype=np.float64))
+        where = slots(self.symbols[_code_points(text)])
+        return len(where[f"g{EXACT}"]), self.target.loss(where), self.background.loss(where)
 
 
 def fit(target: DataFrame, corpus: DataFrame, target_col: str = "text", corpus_col: str = "text") -> Models:
     """Both models over the corpus's vocabulary; an empty target or corpus gives a uniform model."""
     table = vocabulary(corpus, corpus_col)
-    own, all_of = counts(target, table, target_col).astype(float), counts(corpus, table, corpus_col).astype(float)
-    if own.sum() and all_of.sum():
-        all_of *= own.sum() / all_of.sum()
-    return Models(table, losses(own), losses(all_of))
+    own, all_of = counts(target, table, target_col), counts(corpus, table, corpus_col)
+    tokens, total = float(own[f"g{EXACT}"].sum()), float(all_of[f"g{EXACT}"].sum())
+    return Models(table, smoothed(own), smoothed(all_of, tokens / total if tokens and total else 1.0))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
