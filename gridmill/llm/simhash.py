@@ -226,14 +226,13 @@ def simhash_groups(
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, columns as they are, that stay: of each group the one with the smallest id.
 
-    Of rows that repeat that id the one with the longest text stays; a group
-    without any id keeps all its rows.
+    Of rows that repeat that id the one with the longest text stays.  Rows
+    without an id cannot be named by a group and are never dropped.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    stay = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.length(text_col).alias("__chars"))
-    joined = rows.join(stay, F.col("__id").eqNullSafe(F.col("id")), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return joined.select("__row.*")
-    named = joined.where("__id is not null").groupBy("__id").agg(F.max_by("__row", F.struct("__chars", F.xxhash64("__row"))).alias("__row")).select("__row.*")
-    return named.unionByName(joined.where("__id is null").select("__row.*"))
+    named = rows.join(stay, F.col("__id") == F.col("id"), "left_semi")
+    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        named = named.groupBy("__id").agg(F.max_by("__row", F.struct("__chars", F.xxhash64("__row"))).alias("__row"))
+    return named.select("__row.*").unionByName(rows.where("__id is null").select("__row.*"))
