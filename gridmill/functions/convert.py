@@ -20,7 +20,7 @@ from ..plans.profile import Column as Field
 # The words for true and false.
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
 _PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
-_EXOTIC = r"(?U)^\s*[+-]?[\d_.]+(?:[eE][+-]?[\d_]+)?\s*$"
+_EXOTIC = r"(?U)^[\s\d_.eE+-]+$"
 #: Plain numbers of up to so many characters compare as decimal(38, 18); longer ones by the slow path.
 _SHORT = 19
 

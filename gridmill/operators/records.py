@@ -44,7 +44,8 @@ def source_of(row: Column | None = None, column: Column | None = None, columns:
 def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
     """Rows below the header (all rows of a continued table) that are neither blank nor the header again."""
     usable = matched.where(F.col("kind").isin("compatible", "continued"))
-    joined = rows.join(usable, TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
+    # both sides by document: the joins and windows above keep that partitioning
+    joined = rows.repartition("doc_id").join(usable.repartition("doc_id"), TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
     joined = joined.where(F.exists("cells", lambda c: strip(c) != ""))
     names = F.array(*[F.lit(f) for f in profile.fields])
     own = F.col("own_fields")
@@ -150,7 +151,9 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
     record to review without being its own.
     """
     order = Window.partitionBy("doc_id").orderBy("table_seq", "row")
-    data = typed(data_rows(issued, rows, profile), profile)
+    # numbered before conversion: an Arrow function in the plan hides how the rows are partitioned
+    numbered = data_rows(issued, rows, profile).withColumn("record_index", (F.row_number().over(order) - 1).cast("long"))
+    data = typed(numbered, profile)
     mapped = F.filter(F.col("mapping"), lambda x: x.isNotNull())
     rest = F.filter(
         F.transform(F.col("cells"), lambda c, i: F.struct(i.cast("int").alias("column"), F.coalesce(F.get(F.col("header"), i), F.lit("")).alias("header"), strip(c).alias("raw"))),
@@ -162,7 +165,7 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
         "table_index",
         "bbox",
         "row",
-        (F.row_number().over(order) - 1).cast("long").alias("record_index"),
+        "record_index",
         "fields",
         rest.alias("unmapped_values"),
         _cell_issues(profile).alias("issues"),

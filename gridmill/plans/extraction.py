@@ -79,7 +79,7 @@ def prepared(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     return frame
 
 
-def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: str | dict | Profile, partitions: int | None = None) -> Extraction:
+def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: str | dict | Profile) -> Extraction:
     """Extract every document by one profile.
 
     ``documents`` has ``doc_id``; ``table_rows`` one row per table (``doc_id,
@@ -90,15 +90,15 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     that come out, so they are kept on the executors from their first use on; a
     lost executor's part is computed again.
 
-    Both inputs are dealt by document once; every window, grouping and join below is by
-    document and something, so it needs no other exchange where
+    Assessment and header search aggregate the rows where they lie; only the rows
+    of usable tables are shuffled, once, by document, and the windows above that
+    join need no other exchange where
     ``spark.sql.requireAllClusterKeysForCoPartition`` is false (``plans.session``
     sets it).
     """
     profile = load(profile)
-    deal = (lambda df: df.repartition(partitions, "doc_id")) if partitions else (lambda df: df.repartition("doc_id"))
-    rows = deal(rows.select("doc_id", "table_seq", "row", "cells")).persist(KEEP)
-    found = deal(prepared(table_rows, TABLE_COLUMNS))
+    rows = rows.select("doc_id", "table_seq", "row", "cells").persist(KEEP)
+    found = prepared(table_rows, TABLE_COLUMNS)
     issued = records.table_issues(match.match_tables(tables.assess(found, rows), rows, profile), profile).persist(KEEP)
     unique = records.unique_check(records.extract_records(issued, rows, profile), profile).persist(KEEP)
     counts = decide.document_counts(documents, issued, unique)

@@ -66,7 +66,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Every .pdf and .docx file below ``path``, parsed."""
+    """Every .pdf and .docx file below ``path``, parsed.  (Spark's binary source passes over files without any byte.)"""
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(path))
 
 
