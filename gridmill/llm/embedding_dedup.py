@@ -221,7 +221,8 @@ def _counts(threshold: float):
 
 def _paired(rows: DataFrame, keys: list[str], chunk: int, order: str) -> DataFrame:
     """Deal each group's rows to its pairs of chunks (``ca <= cb``); groups of up to ``chunk`` rows have one."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    # written first, so that the join reads two scans and a large group's rows may be split over tasks
+    sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("group_rows")).where("group_rows > 1"), "sizes")
     pieces = F.ceil(F.col("group_rows") / chunk).cast("int")
     dealt = rows.join(sizes, keys).withColumn("pieces", pieces).withColumn("chunk", F.pmod(F.xxhash64(order), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
@@ -286,7 +287,7 @@ def embedding_groups(
     comp = materialise(components(links), "embedding-components")
     named = nodes.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = comp.join(nodes.select("node", "v", "n"), "node").select("root", "node", "v", "n")
+    members = materialise(comp.join(nodes.select("node", "v", "n"), "node").select("root", "node", "v", "n"), "members")
     pairs = _paired(members, ["root"], chunk, "node").select("root", "ca", "cb", "chunk", "node", "n", "v")
     key = ["root", "ca", "cb"]
     counted = pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_counts(threshold), "node string, links long")
