@@ -25,7 +25,7 @@ from .components import components
 from .store import materialise
 
 THRESHOLD = 0.93
-TABLES = 6
+TABLES = 8
 PROBES = 4
 #: The lattice's unit in projected space; a pair at the threshold is about 0.37 apart.
 SCALE = 0.75

@@ -9,8 +9,8 @@
 3. Rounds: runs ``i*fan_in .. i*fan_in+fan_in-1`` exchange their entries and are
    merged into run ``i`` (Spark's sort merges the sorted pieces, a streaming
    pass joins equal neighbours), until one run is left.  The digest space is cut
-   into slices that go through the rounds side by side, so no task ever merges
-   more than a slice.
+   into as many slices of about ``slice_rows`` rows as the table has, which go
+   through the rounds side by side, so no task ever merges more than slices.
 4. The winners go back down to the entries of the first level, and from there to
    the headers of the same run: a text that fills a third of the table meets at
    most one entry per run, never all of its rows in one task.
@@ -30,23 +30,21 @@ from .store import materialise
 
 SPACE = r"[\x20\x09-\x0D]"
 ENTRY = "run int, slice int, digest string, check long, size long, chars long, id long, n long"
+#: Rows of the table for each slice of the digest space.
+SLICE_ROWS = 20_000
 _KEY = ["run", "slice", "digest", "check", "size"]
 
 
-def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int = 64) -> DataFrame:
+def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One header per row; ``run`` is the partition that the row was read in."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("chars"), F.regexp_replace(text, SPACE, "").alias("norm"))
-        .select(
-            "id",
-            "chars",
-            F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
-            F.xxhash64("norm").alias("check"),
-            F.length("norm").cast("long").alias("size"),
-            F.spark_partition_id().alias("run"),
-        )
-        .withColumn("slice", (F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") % slices).cast("int"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("chars"), F.regexp_replace(text, SPACE, "").alias("norm")).select(
+        "id",
+        "chars",
+        F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
+        F.xxhash64("norm").alias("check"),
+        F.length("norm").cast("long").alias("size"),
+        F.spark_partition_id().alias("run"),
     )
 
 
@@ -82,7 +80,7 @@ def _merge(entries: DataFrame) -> DataFrame:
     return entries.sortWithinPartitions(*best_first).mapInArrow(merge_sorted, ENTRY)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, slices: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Return one row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting ASCII white space; null counts
@@ -94,9 +92,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    heads = materialise(headers(docs, id_col, text_col, slices), "headers")
-    runs = (heads.agg(F.max("run")).first()[0] or 0) + 1
-    level0 = materialise(_merge(heads.select("run", "slice", "digest", "check", "size", "chars", "id", F.lit(1).cast("long").alias("n"))), "runs")
+    heads = materialise(headers(docs, id_col, text_col), "headers")
+    last, rows = heads.agg(F.max("run"), F.count("*")).first()
+    runs, slices = (last or 0) + 1, max(1, -(-rows // slice_rows))
+    slice_of = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % slices).cast("int").alias("slice")
+    level0 = materialise(_merge(heads.select("run", slice_of, "digest", "check", "size", "chars", "id", F.lit(1).cast("long").alias("n"))), "runs")
     level = level0
     while runs > 1:
         runs = -(-runs // fan_in)

@@ -10,7 +10,7 @@ schedule goes on, so each row is placed exactly once and none is dropped or
 repeated.
 
 Ranks come from counts per (source, bucket) and a window within a bucket, so a
-source that holds a third of the table is sorted in ``buckets`` pieces.  The
+source that holds a third of the table is sorted in pieces of one size.  The
 schedule itself is a stream of slots out of a heap of one entry per source.
 """
 
@@ -27,6 +27,8 @@ from .store import materialise
 
 #: Rows in a block.
 BLOCK = 64
+#: Rows that are ranked together, about; a source of any size is ranked in as many buckets as that takes.
+RANKED_ROWS = 2_000
 #: Distinct sources that a schedule takes; their counts go to the driver.
 MAX_SOURCES = 100_000
 #: Denominator that weights are rounded to, so that deadlines are whole-number arithmetic.
@@ -108,7 +110,7 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["mix_slot", "mix_source", "mix_block"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, buckets: int = 256, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, ranked_rows: int = RANKED_ROWS, seed: int = 42) -> DataFrame:
     """Every row of ``docs`` as struct ``row`` with its place in the mixture.
 
     Adds ``mix_source`` (a null source is a source of its own), ``mix_rank`` (from
@@ -121,6 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     spark = docs.sparkSession
     counts = source_counts(docs, source_col)
     weights = smoothed(counts) if weights is None else weights
+    buckets = -(-max(counts.values(), default=1) // ranked_rows)
     schedule_rows = materialise(plan(spark, counts, weights, block), "schedule")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(

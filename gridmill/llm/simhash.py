@@ -157,7 +157,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 4096) ->
             shift += width
         keys.append(F.struct(F.lit(kind).alias("kind"), key.alias("key"), other.alias("other")))
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.kind", "b.key", "b.other")
-    sizes = dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     met = dealt.join(sizes, ["kind", "key"])
     width = 64 - 2 * (64 // (radius + 2))
     cuts = [width * i // (radius + 1) for i in range(radius + 2)]

@@ -8,8 +8,8 @@ when their task commits.
 Revisits: headers (id, digest, size; no payload) are shuffled by payload digest.
 The smallest id of each digest is the original; later records join it and become
 ``revisit`` records, which are written from the headers alone.  A digest that
-fills a third of the table is spread over ``salts`` sub-keys before it is
-grouped, and joins one row per sub-key that occurs.
+fills a third of the table is spread over sub-keys of about ``SALT_ROWS`` rows
+before it is grouped, and joins one row per sub-key that occurs.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 END = CRLF + CRLF
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Rows of the table for each sub-key that a payload's rows are spread over.
+SALT_ROWS = 2_000
 
 
 def base32_sha1(payload):
@@ -60,7 +62,7 @@ def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     )
 
 
-def resolve(heads: DataFrame, least_bytes: int = 0, salts: int = 64) -> DataFrame:
+def resolve(heads: DataFrame, least_bytes: int = 0, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Add ``refers_to`` (null for a response) to headers.
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with
@@ -68,6 +70,7 @@ def resolve(heads: DataFrame, least_bytes: int = 0, salts: int = 64) -> DataFram
     the smallest id are all responses.  A null id is never an original while the
     group has another id.
     """
+    salts = max(1, -(-heads.count() // salt_rows))
     key = ["digest", "size", "proof"]
     salted = heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     part = salted.groupBy(*key, "salt").agg(F.min("id").alias("least"), F.count("*").alias("n"))

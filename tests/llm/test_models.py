@@ -152,7 +152,7 @@ def test_schedule_stays_within_one_block(spec):
 def test_mix_places_every_row_once(spark):
     rows = [(i, "t", None if i % 7 == 0 else f"s{i % 3}" if i % 2 else "s0", 1, "s", 2, "r") for i in range(300)]
     docs = spark.createDataFrame(rows + rows[:5] + [(None, None, None, None, None, None, None)], DOCS)
-    got = mixing.mix(docs, {"s0": 0.7, "s1": 0.2}, block=4, buckets=3).collect()
+    got = mixing.mix(docs, {"s0": 0.7, "s1": 0.2}, block=4, ranked_rows=40).collect()
     assert len(got) == 306 and len({r.mix_position for r in got}) == 306
     for s in {r.mix_source for r in got}:
         ranks = sorted(r.mix_rank for r in got if r.mix_source == s)

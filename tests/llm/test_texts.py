@@ -96,7 +96,7 @@ def test_exact_groups_against_brute_force(spark):
     for extra in (False, True):
         for fan_in in (2, 16):
             d = frame(spark, rows, extra).repartition(5)
-            got = sorted(((r.id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(d, fan_in=fan_in, slices=3).collect()), key=repr)
+            got = sorted(((r.id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(d, fan_in=fan_in, slice_rows=7).collect()), key=repr)
             want = []
             for r in rows:
                 same = [x for x in rows if squeezed(x[1]) == squeezed(r[1])]
