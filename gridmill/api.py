@@ -35,9 +35,11 @@ def page_count(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_text(spark: SparkSession, path: str, page: int | None = None) -> DataFrame:
-    """``doc_id, page, text`` of PDF pages."""
-    found = parsed_documents(spark, path).where("type = 'pdf'").select("doc_id", F.inline("texts"))
-    return documents.select_page(found, page).select("doc_id", "page", "text")
+    """``doc_id, page, text, warning`` of PDF pages; the warning is there where no page of the document has text."""
+    parsed = parsed_documents(spark, path).where("type = 'pdf'")
+    silent = ~F.exists("texts", lambda t: F.trim(t["text"]) != "")
+    found = parsed.select("doc_id", F.when(silent, F.lit(documents.NO_PAGE_TEXT)).alias("warning"), F.inline("texts"))
+    return documents.select_page(found, page).select("doc_id", "page", "text", "warning")
 
 
 def extract_docx_text(spark: SparkSession, path: str) -> DataFrame:

@@ -118,7 +118,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def result_json(found: Extraction, documents: DataFrame) -> DataFrame:
     """``doc_id, json``: the whole result of each document.  ``documents`` has ``doc_id, type, bytes, sha256, fingerprint``."""
-    evidence = lambda f: F.when(f["has_evidence"], F.struct(F.col("page"), F.col("table_index"), F.col("row"), f["column"].alias("column")))
+    evidence = lambda f: F.when(f["has_evidence"], F.struct(F.col("page"), F.col("table_index"), F.col("row"), f["column"].alias("column"), f["bbox"].alias("bbox")))
     pairs = lambda pick: F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], pick(f))))
     record = F.struct(
         F.col("record_index").alias("index"),
@@ -290,7 +290,7 @@ def extraction_workbooks(found: Extraction, documents: DataFrame) -> DataFrame:
         "doc_id",
         F.struct(
             "record_index", "status", "page", "table_index", "row",
-            F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["column"].alias("column"), spreadsheet_safe(f["raw"]).alias("raw"), spreadsheet_safe(f["value"]).alias("value"), f["has_evidence"].alias("known"))).alias("fields"),
+            F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["column"].alias("column"), spreadsheet_safe(f["raw"]).alias("raw"), spreadsheet_safe(f["value"]).alias("value"), f["has_evidence"].alias("known"), F.to_json(f["bbox"]).alias("bbox"))).alias("fields"),
             issue_text("issues").alias("issues"),
         ).alias("r"),
     ).groupBy("doc_id").agg(F.collect_list("r").alias("rows"))
@@ -314,7 +314,7 @@ def extraction_workbooks(found: Extraction, documents: DataFrame) -> DataFrame:
                     data.append([(v, r["status"]) for v in (number, r["status"], *[f["value"] for f in r["fields"]], r["issues"])])
                     for f in r["fields"]:
                         place = (r["page"], r["table_index"], r["row"], f["column"]) if f["known"] else (None,) * 4
-                        proof.append([(v, "plain") for v in (number, f["name"], f["raw"], f["value"], *place, "")])
+                        proof.append([(v, "plain") for v in (number, f["name"], f["raw"], f["value"], *place, f["bbox"] or "")])
                 out.append((d["doc_id"], workbook([("Review", review, "A10"), ("Data", data, "A2"), ("Evidence", proof, "A2")])))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field("doc_id").type), pa.array([o[1] for o in out], pa.binary())], names=["doc_id", "content"])
 

@@ -126,6 +126,7 @@ def typed(data: DataFrame, profile: Profile) -> DataFrame:
                 F.when(at.isNotNull(), checked["value"]).alias("value"),
                 F.when(at.isNotNull(), checked["codes"]).otherwise(F.array().cast("array<string>")).alias("codes"),
                 F.coalesce(inside, F.lit(False)).alias("has_evidence"),
+                (F.get(F.col("boxes"), at) if "boxes" in data.columns else F.lit(None).cast("array<double>")).alias("bbox"),
             )
         )
     return out.withColumn("fields", F.array(*parts)).drop(*[f"__raw{i}" for i in range(len(profile.columns))])

@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "paragraphs": _with(PARAGRAPHS, "select doc_id, para_index, text from paras"),
         "text_warnings": _with(PARAGRAPHS, "select d.doc_id, count(p.doc_id) as n_paragraphs, case when count(p.doc_id) = 0 then 'no paragraph text detected in Word document' end as warning from documents d left join paras p using (doc_id) group by d.doc_id"),
+        "full_text": _with(PARAGRAPHS, "select doc_id, string_agg(text, chr(10) order by para_index) as text from paras group by doc_id"),
         "sha256_docs": "select doc_id, sha256(text) as sha256, cast(octet_length(encode(text)) as bigint) as bytes from documents",
         "upload_check": "select page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as filename, contains(html[:1024], '<!DOCTYPE') as signature_ok, octet_length(encode(html)) <= 26214400 as size_ok from pages",
         "output_filename": r"select page_id, case when substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) = '' then 'document' else substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) end || '-tables.csv' as filename from pages",
@@ -256,6 +257,12 @@ def oracle_sql() -> dict[str, str]:
         "table_location": _with(f"{EVENT}, {ASSESS}, {ISLANDS}", "select doc_id, island as table_seq, case when count(*) > 1 then 'Pages ' || min(page) || '-' || max(page) else 'Page ' || min(page) end as location from islands group by doc_id, island"),
         "table_csv": _with(ORDER, f"select doc_id, table_seq, string_agg(line || chr(13) || chr(10), '' order by row) as csv from (select doc_id, table_seq, row, array_to_string(list_transform(cells, lambda x: {_csv('x')}), ',') as line from rws) group by doc_id, table_seq"),
         "preview_rows": _with(f"{ORDER}, {ASSESS}", "select r.doc_id, t.table_number, r.row, array_to_string(list_transform(r.cells, lambda c: case when length(c) > 160 then c[:157] || '...' else c end), '|') as cells from rws r join (select doc_id, table_seq, row_number() over (partition by doc_id order by table_seq) as table_number from assessed) t using (doc_id, table_seq) where table_number <= 10 and row < 25"),
+        "tables_csv_export": _with(f"{ORDER}, {ASSESS}", f"""select doc_id, row_number() over (partition by doc_id order by t, part, n) as line_no, line from (
+            select doc_id, -1 as t, 0 as part, i as n, case i when 1 then 'source,order ' || doc_id when 2 then 'source_type,grid' when 3 then 'document_warning,made up' else '' end as line from lasts, range(1, 5) r(i)
+            union all select doc_id, table_seq, 0, i, case i when 1 then 'Table ' || row_number() over (partition by doc_id, i order by table_seq) || ',page ' || page
+                when 2 then 'looks_clean,' || case when len(warnings) = 0 then 'True' else 'False' end when 3 then 'warnings,' || {_csv("array_to_string(warnings, '; ')")} else '' end from assessed, range(1, 5) r(i)
+            union all select doc_id, table_seq, 1, row, array_to_string(list_transform(cells, lambda c: {_csv(_safe('c'))}), ',') from rws
+            union all select doc_id, table_seq, 2, 0, '' from assessed)"""),
         "csv_export": _with(_ISSUED, f"select doc_id, record_index + 6 as line_no, (record_index + 1) || ',' || status || ',' || item || ',' || coalesce({_safe('qty')}, '') || ',' || price || ',' as line_start from stated"),
         "eval_cells": _with(f"{_ISSUED}, {TRUTH}", "select case_id, true_positive, false_positive, false_negative from cases"),
         "eval_records": _with(f"{_ISSUED}, {TRUTH}", "select case_id, exact_records, predicted_records, expected_records from cases"),

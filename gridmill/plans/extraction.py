@@ -32,7 +32,7 @@ class Extraction:
     def record_fields(self) -> DataFrame:
         """One row per record and profile column."""
         return self.records.select("doc_id", "record_index", "page", "table_index", "row", F.explode("fields").alias("f")).select(
-            "doc_id", "record_index", "f.name", "f.raw", "f.value", F.when(F.col("f.has_evidence"), F.struct("page", "table_index", "row", "f.column")).alias("evidence")
+            "doc_id", "record_index", "f.name", "f.raw", "f.value", F.when(F.col("f.has_evidence"), F.struct("page", "table_index", "row", "f.column", "f.bbox")).alias("evidence")
         )
 
     @property
@@ -84,7 +84,8 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
 
     ``documents`` has ``doc_id``; ``table_rows`` one row per table (``doc_id,
     table_seq`` and what there is of ``page, table_index, has_merged_cells,
-    bbox``); ``rows`` one per table row (``doc_id, table_seq, row, cells``).
+    bbox``); ``rows`` one per table row (``doc_id, table_seq, row, cells``, and
+    ``boxes`` where the places of cells are known).
 
     Grid rows, matched tables and records are each read by several of the frames
     that come out, so they are kept on the executors from their first use on; a
@@ -97,7 +98,7 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     sets it).
     """
     profile = load(profile)
-    rows = rows.select("doc_id", "table_seq", "row", "cells").persist(KEEP)
+    rows = prepared(rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes").persist(KEEP)
     found = prepared(table_rows, TABLE_COLUMNS)
     issued = records.table_issues(match.match_tables(tables.assess(found, rows), rows, profile), profile).persist(KEEP)
     unique = records.unique_check(records.extract_records(issued, rows, profile), profile).persist(KEEP)

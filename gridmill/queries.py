@@ -60,6 +60,11 @@ def text_warnings(spark, sf_dir):
     return documents.text_summary(docs.select("doc_id"), documents.paragraphs(docs))
 
 
+@query
+def full_text(spark, sf_dir):
+    return documents.full_text(documents.paragraphs(table(spark, sf_dir, "documents")))
+
+
 @query
 def sha256_docs(spark, sf_dir):
     return documents.identity(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
@@ -388,6 +393,13 @@ def preview_rows(spark, sf_dir):
     return found.select("doc_id", "table_number", "row", F.array_join("cells", "|").alias("cells"))
 
 
+@query
+def tables_csv_export(spark, sf_dir):
+    grid = order_grid(tune(spark), sf_dir)
+    docs = grid[0].select("doc_id", F.concat(F.lit("order "), F.col("doc_id").cast("string")).alias("source"), F.lit("grid").alias("source_type"), F.array(F.lit("made up")).alias("warnings"))
+    return export.tables_csv_lines(docs, _assessed(grid), grid[2])
+
+
 @query
 def csv_export(spark, sf_dir):
     grid = order_grid(tune(spark), sf_dir)

@@ -199,19 +199,20 @@ class File:
         roots = [o for o in self.objects.values() if isinstance(o, dict) and o.get("Type") == "Catalog"]
         out: list[dict] = []
 
-        def walk(node, resources, deep: int) -> None:
+        def walk(node, resources, media, deep: int) -> None:
             node = self.get(node)
             if not isinstance(node, dict) or deep > 50:
                 return
             resources = node.get("Resources", resources)
+            media = node.get("MediaBox", media)
             if "Kids" in node:
                 for kid in self.get(node["Kids"]):
-                    walk(kid, resources, deep + 1)
+                    walk(kid, resources, media, deep + 1)
             else:
-                out.append(node | {"Resources": resources})
+                out.append(node | {"Resources": resources, "MediaBox": media})
 
         if roots:
-            walk(roots[-1].get("Pages"), {}, 0)
+            walk(roots[-1].get("Pages"), {}, [0, 0, 612, 792], 0)
         return out
 
 
@@ -260,6 +261,7 @@ def _times(a, b):
 class Page:
     glyphs: list[Glyphs]
     edges: list[tuple[float, float, float, float]]
+    height: float = 0.0
 
     def lines(self) -> list[str]:
         rows: list[list[Glyphs]] = []
@@ -271,8 +273,11 @@ class Page:
         return [_joined(sorted(r, key=lambda g: g.x)) for r in rows]
 
     def tables(self) -> list[tuple[tuple[float, ...], list[list[str]], list[list[tuple[float, ...] | None]]]]:
-        """(bounding box, rows of texts, rows of cell boxes) of each ruled grid, from the top down; boxes have y upwards."""
-        return [t for t in (_grid(group, self.glyphs) for group in _connected(self.edges)) if t]
+        """(bounding box, rows of texts, rows of cell boxes) of each ruled grid, from the top down.
+
+        Boxes are (left, top, right, bottom), measured from the page's upper left corner, to three places.
+        """
+        return [t for t in (_grid(group, self.glyphs, self.height) for group in _connected(self.edges)) if t]
 
 
 def _joined(run: list[Glyphs]) -> str:
@@ -309,7 +314,7 @@ def _steps(values) -> list[float]:
     return out
 
 
-def _grid(edges, glyphs):
+def _grid(edges, glyphs, height: float):
     xs = _steps([e[0] for e in edges if e[2] - e[0] < 1.5])
     ys = _steps([e[1] for e in edges if e[3] - e[1] < 1.5])[::-1]
     if len(xs) < 2 or len(ys) < 2:
@@ -322,8 +327,9 @@ def _grid(edges, glyphs):
         if row is not None and col is not None:
             cells[row][col].append(g)
     texts = [["\n".join(Page(c, []).lines()).strip() for c in row] for row in cells]
-    boxes = [[(round(xs[i], 3), round(ys[j + 1], 3), round(xs[i + 1], 3), round(ys[j], 3)) for i in range(len(xs) - 1)] for j in range(len(ys) - 1)]
-    return (round(xs[0], 3), round(ys[-1], 3), round(xs[-1], 3), round(ys[0], 3)), texts, boxes
+    box = lambda a, b, c, d: tuple(round(v, 3) for v in (xs[a], height - ys[b], xs[c], height - ys[d]))
+    boxes = [[box(i, j, i + 1, j + 1) for i in range(len(xs) - 1)] for j in range(len(ys) - 1)]
+    return box(0, 0, -1, -1), texts, boxes
 
 
 def _interpret(file: File, page: dict) -> Page:
@@ -332,7 +338,8 @@ def _interpret(file: File, page: dict) -> Page:
     contents = file.get(page.get("Contents"))
     parts = contents if isinstance(contents, list) else [contents]
     data = b"\n".join(file.data(s) for s in map(file.get, parts) if isinstance(s, Stream))
-    out = Page([], [])
+    media = [float(file.get(v)) for v in file.get(page.get("MediaBox"))]
+    out = Page([], [], media[3])
     one = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     ctm, saved, tm, line = one, [], one, one
     font, size, leading, char_space, word_space, scale, rise = None, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0

@@ -70,7 +70,8 @@ def test_word_text_and_merged_cells():
 def test_ruled_pdf_tables(compress):
     pages = pdf.read(pdf_bytes([INVOICE, [["a(b)\\", ""], ["é", "x y"]]], compress))
     assert [t[1] for t in pages[0].tables()] == [INVOICE]
-    assert pages[0].tables()[0][0] == (72, 640, 372, 720)
+    assert pages[0].tables()[0][0] == (72, 72, 372, 152)
+    assert pages[0].tables()[0][2][1][2] == (272, 92, 372, 112)
     assert [t[1] for t in pages[1].tables()] == [[["a(b)\\", ""], ["é", "x y"]]]
     assert pages[0].lines()[0].split() == ["Item", "Qty", "Price"]
     with pytest.raises(ValueError):
@@ -101,6 +102,8 @@ def test_extraction_of_files(spark, folder):
     assert files.parse("x.docx", b"")["error"].endswith("the document is empty") and "only" in files.parse("x.txt", b"x")["error"]
     values = [list(r)[3:] for r in found.wide.where("doc_id like '%invoice.pdf'").orderBy("record_index").collect()]
     assert values == INVOICE[1:]
+    place = found.record_fields.where("doc_id like '%invoice.pdf' and record_index = 0 and name = 'unit_price'").first().evidence
+    assert (place.page, place.table_index, place.row, place.column, place.bbox) == (1, 0, 1, 2, [272.0, 92.0, 372.0, 112.0])
     wrong, _ = api.extract_with_profile(spark, str(folder / "invoice.pdf"), "lab-coa-v1")
     assert wrong.documents.first().decision == "rejected" and wrong.records.count() == 0
 
