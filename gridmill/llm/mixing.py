@@ -28,7 +28,7 @@ from .store import materialise
 #: Rows in a block.
 BLOCK = 64
 #: Rows that are ranked together, about; a source of any size is ranked in as many buckets as that takes.
-RANKED_ROWS = 2_000
+RANKED_ROWS = 250
 #: Distinct sources that a schedule takes; their counts go to the driver.
 MAX_SOURCES = 100_000
 #: Denominator that weights are rounded to, so that deadlines are whole-number arithmetic.
