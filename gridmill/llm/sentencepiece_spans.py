@@ -317,7 +317,7 @@ class Model:
 class Encoder:
     """Encodes texts with one model, remembering at most ``remember`` chunks."""
 
-    def __init__(self, data: bytes, remember: int = 500_000) -> None:
+    def __init__(self, data: bytes, remember: int = 800_000) -> None:
         self.model = Model(data)
         self.memory = _Memory(self.model, remember)
 
@@ -338,10 +338,23 @@ class Encoder:
 
 
 class _Memory(dict):
+    """Recent chunks in two generations: a full one becomes the old one, and what is met there again moves up."""
+
     def __init__(self, model: Model, limit: int) -> None:
-        self.model, self.limit = model, limit
+        self.model, self.limit, self.old = model, max(1, limit // 2), {}
 
     def __missing__(self, chunk: str) -> bytes:
+        value = self.old.pop(chunk, None)
+        if value is None:
+            value = self._encoded(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = value
+        return value
+
+    def _encoded(self, chunk: str) -> bytes:
         flat = array("i")
         if self.model.map.units:
             for i, begin, end in self.model.encode_spans(chunk.encode(), prefix=False):
@@ -358,12 +371,7 @@ class _Memory(dict):
                         flat.extend((byte, 0))
                 flat.extend((i, size))
                 at = to
-        value = flat.tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
-        return value
+        return flat.tobytes()
 
 
 #: One encoder for each model in a Python worker, which serves many tasks.
