@@ -124,6 +124,49 @@ def test_language_model_scores(spark):
     assert lm_scoring.score(docs, empty).count() == 4
 
 
+def plain_scores(target, corpus, texts, size):
+    """Losses by dictionaries of exact grams, every order smoothed by the next lower one."""
+    tables, tokens = [], []
+    for side in (target, corpus):
+        grams, befores = {}, {}
+        for text in side:
+            s = (None,) * 4 + tuple(text)
+            for i in range(4, len(s)):
+                for n in range(1, 6):
+                    gram = s[i - n + 1 : i + 1]
+                    grams[gram] = grams.get(gram, 0) + 1
+                    befores[gram[:-1], n] = befores.get((gram[:-1], n), 0) + 1
+        tables.append((grams, befores))
+        tokens.append(sum(map(len, side)))
+    out = []
+    for text in texts:
+        s, losses = (None,) * 4 + tuple(text), []
+        for (grams, befores), scale in zip(tables, (1.0, tokens[0] / tokens[1]), strict=True):
+            total = 0.0
+            for i in range(4, len(s)):
+                p = 1 / size
+                for n in range(1, 6):
+                    gram = s[i - n + 1 : i + 1]
+                    p = (grams.get(gram, 0) * scale + 4 * p) / (befores.get((gram[:-1], n), 0) * scale + 4)
+                total -= np.log2(p)
+            losses.append(total / len(text))
+        out.append(losses)
+    return out
+
+
+def test_language_model_scores_against_exact_grams(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, 1500))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t, None, 1, "s", 2, "r") for i, t in enumerate(texts)], DOCS).repartition(3)
+    want = plain_scores(texts[:4], texts, texts, lm_scoring.SYMBOLS)
+    for step, chunk in ((4_000_000, 8_000_000), (1000, 5000)):
+        monkeypatch.setattr(lm_scoring, "_STEP", step, raising=False)
+        monkeypatch.setattr(lm_scoring, "CHUNK", chunk, raising=False)
+        models = lm_scoring.fit(docs.where("doc_id < 4"), docs)
+        got = {r.id: (r.loss_target, r.loss_background) for r in lm_scoring.score(docs, models).collect()}
+        assert np.allclose([got[i] for i in range(80)], want, rtol=0, atol=1e-4)
+
+
 # -- mixing --------------------------------------------------------------------
 
 
