@@ -1,8 +1,8 @@
 """Cross-entropy difference scoring.
 
 Two n-gram models of characters, one of a target set and one of the whole corpus,
-share one vocabulary (the corpus's most frequent characters and one symbol for
-all others), one order and one smoothing.  They are matched in size too: the
+share one vocabulary (every character that either holds), one order and one
+smoothing.  They are matched in size too: the
 corpus's counts are scaled to as many tokens as the target has, so that
 smoothing weighs the same in both.  A document's score is the mean difference of
 its per-token losses (target minus background): the lower, the closer to the
@@ -114,7 +114,7 @@ def _parts(symbols: np.ndarray):
 
 
 def slots(symbols: np.ndarray) -> dict[str, np.ndarray]:
-    """Slot in every hashed table of each symbol of a text.  Only tests use ``slots`` and ``counts``: the models count grams exactly."""
+    """Slot in every hashed table of each symbol of a text.  Only tests use ``slots``, ``counts`` and ``vocabulary``: the models count grams exactly, of all characters."""
     if len(symbols) <= _TOGETHER:
         by_length = keys(symbols)
         return {name: _slot(contexts(symbols, n) if context else by_length[n], n) for name, n, context in TABLES}
@@ -150,12 +150,12 @@ def counts(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> dict[s
     return out
 
 
-def _symbols(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts one after the other, each behind start symbols, and the number of symbols of each text."""
+def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (code points and one) of texts one after the other, each behind start symbols, and the number of symbols of each text."""
     starts = np.full(ORDER - 1, _START, dtype=np.int32)
     parts = [starts[:0]]
     for text in texts:
-        parts += [starts, table[_code_points(text or "")]]
+        parts += [starts, _code_points(text or "").astype(np.int32) + 1]
     return np.concatenate(parts), np.array([len(p) for p in parts[2::2]], dtype=np.int64)
 
 
@@ -224,7 +224,7 @@ def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.nd
     return hi[first], lo[first], np.add.reduceat(n, first)
 
 
-def _counted(rows, table: np.ndarray):
+def _counted(rows):
     """Record batches of ``chunk, hi, lo, n`` out of batches of ``chunk, text``; a gram may come more than once."""
 
     def emit(chunk, found):
@@ -234,7 +234,7 @@ def _counted(rows, table: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi[some]), chunk, dtype=np.int64)), pa.array(hi[some]), pa.array(lo[some]), pa.array(n[some])], names=["chunk", "hi", "lo", "n"])
 
     def more(found, texts):
-        for part, _ in _steps(_symbols(texts, table)[0]):
+        for part, _ in _steps(_symbols(texts)[0]):
             found = _merged(found, _distinct(part))
         return found
 
@@ -253,11 +253,10 @@ def _counted(rows, table: np.ndarray):
     yield from emit(at, more(found, held))
 
 
-def grams(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
+def grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``hi, lo, n``: how often each gram of ``ORDER`` symbols comes, in parts that are yet to be summed."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.lit(0).cast("long").alias("chunk"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _counted(batches, sent.value), "chunk long, hi long, lo long, n long").drop("chunk")
+    return rows.mapInArrow(_counted, "chunk long, hi long, lo long, n long").drop("chunk")
 
 
 def _summed(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -269,24 +268,23 @@ def _summed(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class Models:
-    """Counts of both models' grams (``hi, lo, t, b``) and of their tokens."""
+    """Counts of both models' grams (``hi, lo, t, b``) and of their tokens, and the size of the vocabulary."""
 
-    symbols: np.ndarray
     grams: DataFrame
     target_tokens: int
     corpus_tokens: int
-    size: int = SYMBOLS
+    size: int
 
 
 def fit(target: DataFrame, corpus: DataFrame, target_col: str = "text", corpus_col: str = "text") -> Models:
-    """Both models over the corpus's vocabulary; an empty target or corpus gives a uniform model."""
-    table = vocabulary(corpus, corpus_col)
+    """Both models over every character of target and corpus (``SYMBOLS`` at least, two of them the start and all others); an empty target or corpus gives a uniform model."""
     none = F.lit(0).cast("long")
-    own = grams(target, table, target_col).select("hi", "lo", F.col("n").alias("t"), none.alias("b"))
-    all_of = grams(corpus, table, corpus_col).select("hi", "lo", none.alias("t"), F.col("n").alias("b"))
+    own = grams(target, target_col).select("hi", "lo", F.col("n").alias("t"), none.alias("b"))
+    all_of = grams(corpus, corpus_col).select("hi", "lo", none.alias("t"), F.col("n").alias("b"))
     found = materialise(_summed(own.union(all_of)), "lm-grams")
-    total = found.agg(F.coalesce(F.sum("t"), none).alias("t"), F.coalesce(F.sum("b"), none).alias("b")).first()
-    return Models(table, found, total["t"], total["b"])
+    characters = _summed(found, 1)
+    total = characters.agg(F.coalesce(F.sum("t"), none).alias("t"), F.coalesce(F.sum("b"), none).alias("b"), F.count("*").alias("n")).first()
+    return Models(found, total["t"], total["b"], max(SYMBOLS, total["n"] + 2))
 
 
 def _losses(every: DataFrame, models: Models) -> DataFrame:
@@ -350,9 +348,9 @@ class _Finder:
         return found
 
 
-def _scored(texts: list[str | None], table: np.ndarray, hi: np.ndarray, lo: np.ndarray, bits: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+def _scored(texts: list[str | None], hi: np.ndarray, lo: np.ndarray, bits: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     """Tokens of each text and its mean of each of ``bits``, which are given for the grams ``hi, lo``; an empty text has 0."""
-    symbols, sizes = _symbols(texts, table)
+    symbols, sizes = _symbols(texts)
     packing = _Packing(symbols)
     if packing.fits:
         keys = packing.pack([hi >> BITS, hi & _LOW, lo >> 2 * BITS, lo >> BITS & _LOW, lo & _LOW])
@@ -382,9 +380,8 @@ def _scored(texts: list[str | None], table: np.ndarray, hi: np.ndarray, lo: np.n
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, loss_target, loss_background, difference`` (bits a token) for every row and whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(models.symbols)
     chunks = materialise(_chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "lm-chunks")
-    met = chunks.select("chunk", "text").mapInArrow(lambda batches: _counted(batches, sent.value), "chunk long, hi long, lo long, n long")
+    met = chunks.select("chunk", "text").mapInArrow(_counted, "chunk long, hi long, lo long, n long")
     asked = materialise(met.drop("n"), "lm-asked")
     none = F.lit(0).cast("long")
     every = materialise(_summed(models.grams.union(asked.select("hi", "lo", none.alias("t"), none.alias("b")))), "lm-every")
@@ -395,7 +392,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         if not len(rows):
             n, own, other = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
         else:
-            n, own, other = _scored(rows.column("text").to_pylist(), sent.value, hi, lo, (own, other))
+            n, own, other = _scored(rows.column("text").to_pylist(), hi, lo, (own, other))
         return pa.table({"id": rows.column("id"), "n_tokens": n, "loss_target": own, "loss_background": other, "difference": own - other})
 
     schema = "id long, n_tokens long, loss_target double, loss_background double, difference double"

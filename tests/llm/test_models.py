@@ -167,6 +167,20 @@ def test_language_model_scores_against_exact_grams(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(80)], want, rtol=0, atol=1e-4)
 
 
+@pytest.mark.parametrize("characters", [300, 6000])
+def test_language_model_tells_rare_scripts_apart(spark, characters):
+    """Every character is a symbol; beyond 4,095 of them a gram is too wide for one number."""
+    rng = np.random.default_rng(7)
+    common = ["".join(map(chr, rng.integers(0x20, 0xA0, 400))) * 3 for _ in range(6)]
+    rare = ["".join(map(chr, 0x4E00 + rng.permutation(characters))) for _ in range(3)]
+    texts = common + rare + ["\x00" * 7 + "\U0010ffff"]
+    docs = spark.createDataFrame([(i, t, None, 1, "s", 2, "r") for i, t in enumerate(texts)], DOCS).repartition(3)
+    models = lm_scoring.fit(docs.where("doc_id = 6"), docs)
+    got = {r.id: (r.loss_target, r.loss_background) for r in lm_scoring.score(docs, models).collect()}
+    want = plain_scores([texts[6]], texts, texts, len(set("".join(texts))) + 2)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=0, atol=1e-4)
+
+
 # -- mixing --------------------------------------------------------------------
 
 
