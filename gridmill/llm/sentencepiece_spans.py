@@ -396,42 +396,44 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _BATCH_CHARS = 2_000_000
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
-    """``id, ids, begins, ends`` (and ``decoded``, from the ids alone) of every row.
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, ids, begins, ends`` (and ``decoded``, from the ids alone) of every row, then the columns ``carry``.
 
     ``model`` is the content of a SentencePiece BPE model file (a fixed file, so
     it may be sent to every executor).  A null text counts as empty and has no
-    pieces; other columns are not carried; rows come out as often as they come
+    pieces; other columns than ``carry`` are not carried; rows come out as often as they come
     in.  ``begins`` and ``ends`` are byte offsets into the text in UTF-8: the
     dummy prefix has an empty span, and of the pieces that spell one unknown
     character in bytes the last has the character's span.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def build(keys, found):
+    def build(keys, found, carried):
         columns = [pa.array(keys, pa.int64()), *(_lists([f[k] for f in found]) for k in range(3))]
         if decode:
             held = encoder_of(sent.value).model
             columns.append(pa.array([held.decode(f[0].tolist()) for f in found], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "begins", "ends", *["decoded"] * decode])
+        return pa.RecordBatch.from_arrays([*columns, *carried], names=["id", "ids", "begins", "ends", *["decoded"] * decode, *carry])
 
     def run(batches):
         encoder = encoder_of(sent.value)
         for batch in batches:
-            keys, found, chars = [], [], 0
+            keys, found, chars, at = [], [], 0, 0
+            others = [batch.column(2 + i) for i in range(len(carry))]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 keys.append(key)
                 found.append(encoder.encode(text))
                 chars += len(text) + 1
                 if chars >= _BATCH_CHARS:
-                    yield build(keys, found)
-                    keys, found, chars = [], [], 0
+                    yield build(keys, found, [c.slice(at, len(keys)) for c in others])
+                    keys, found, chars, at = [], [], 0, at + len(keys)
             if keys:
-                yield build(keys, found)
+                yield build(keys, found, [c.slice(at) for c in others])
 
     schema = "id long, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

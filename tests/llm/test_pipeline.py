@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as pipeline
-from gridmill.llm import quality, simhash
+from gridmill.llm import mixing, quality, simhash
 from gridmill.llm.store import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,14 @@ def test_stages(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_run_returns_the_order_of_the_mixture(spark):
+    sources = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
+    rows = sorted(pipeline.run(spark, SF).select("doc_id", "mix_position").collect(), key=lambda r: r.mix_position)
+    assert len({r.mix_position for r in rows}) == len(rows)
+    counts = {}
+    for r in rows:
+        counts[sources[r.doc_id]] = counts.get(sources[r.doc_id], 0) + 1
+    due = {slot: s for slot, s, _ in mixing.schedule({s: -(-n // mixing.BLOCK) for s, n in counts.items()}, mixing.smoothed(counts))}
+    assert len(counts) > 1 and all(due[r.mix_position // mixing.BLOCK] == sources[r.doc_id] for r in rows)
