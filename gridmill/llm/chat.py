@@ -7,9 +7,10 @@ begin with the shorter one, the template has rewritten history, and the turn is
 marked as such.  The text inside a turn is found the same way, from renderings
 with an empty text in its place.
 
-``Template.context`` says how many earlier turns a template looks back (None: all
-of them, then every prefix is rendered whole).  With a bound, a conversation of
-any length streams through with that many turns in memory.
+Every prefix is rendered whole, so a conversation of n turns takes n renderings of
+up to n turns and is held in memory.  Only where a template is known to look back
+at no more than ``Template.context`` turns may that bound be given; turns before it
+are then neither rendered nor compared.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def parse(piece: str) -> Turn:
 @dataclass(frozen=True)
 class Template:
     render: Callable[[list[Turn]], str] = render
-    context: int | None = 0
+    context: int | None = None
 
 
 HOUSE = Template()

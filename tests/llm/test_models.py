@@ -242,6 +242,15 @@ def test_rewriting_templates_are_found():
     assert marks == [False, True, True]
 
 
+def test_prefixes_are_compared_unless_a_bound_is_given():
+    def last_only(turns):
+        return "".join(f"[{r}]{'...' if i < len(turns) - 1 else t}" for i, (r, t) in enumerate(turns))
+
+    marks = [p.rewrites for p in chat.rendered([("u", "one"), ("a", "two"), ("u", "three")], chat.Template(last_only))]
+    assert marks == [False, True, True]
+    assert chat.HOUSE.context is None
+
+
 def test_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, piece string, begin int"
     rows = [(1, 0, "user", "hi", "p", 0), (1, 1, "assistant", "<|end|>\n", "p", 0), (1, 1, "assistant", "<|end|>\n", "p", 0), (1, None, None, None, "p", 0), (None, 0, "assistant", None, "p", 0), (2, 5, "assistant", "é" * 50_000, "p", 0), (2, 4, "system", "\\", "p", 0)]
