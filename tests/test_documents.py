@@ -3,6 +3,8 @@
 import csv
 import io
 import json
+import os
+import time
 import zipfile
 import zlib
 from xml.etree import ElementTree
@@ -181,6 +183,23 @@ def test_drop_folder(spark, folder, tmp_path):
     assert got == ["accepted", "accepted", "needs_review"]
 
 
+def test_drop_folder_takes_old_files(spark, folder, tmp_path):
+    into = tmp_path / "in"
+    into.mkdir()
+
+    def drop(name, source, days):
+        (into / name).write_bytes((folder / source).read_bytes())
+        at = time.time() - days * 86_400
+        os.utime(into / name, (at, at))
+        drops.run(spark, str(into), "invoice-lines-v1", str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+
+    drop("new.pdf", "invoice.pdf", 0)
+    drop("old.pdf", "two.pdf", 30)
+    drop("copy.pdf", "invoice.pdf", 60)
+    got = sorted(r.doc_id.rsplit("/", 1)[-1] for r in spark.read.parquet(str(tmp_path / "out" / "documents")).collect())
+    assert got == ["new.pdf", "old.pdf"]
+
+
 def test_manifest(spark, folder, tmp_path):
     rows = [dict(zip(("item", "quantity", "unit_price"), r, strict=True)) for r in INVOICE[1:]]
     body = {"evaluation_schema_version": "1.0", "evidence_label": "synthetic", "profile": "invoice-lines-v1", "minimums": {"field_f1": 1.0}, "cases": [{"id": "one", "document": str(folder / "invoice.pdf"), "expected_decision": "accepted", "expected_records": rows}]}
