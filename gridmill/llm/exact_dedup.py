@@ -2,18 +2,23 @@
 
 1. Every row is reduced to a header: SHA-256 of the text without ASCII white
    space, a second fingerprint (XXH64 and length of the same text) that verifies
-   a digest match, the code points of the original, the id, and the run (input
-   partition) it came from.  Headers are written to shared storage.
+   a digest match, the code points of the original, the id, and the place it was
+   read at (input partition, and a block of ``RUN_ROWS`` rows within it).
+   Headers are written to shared storage; partition and block, which are columns
+   there, name the header's run, however the written files are split when they
+   are read again.
 2. Each run sorts its headers by digest and keeps one entry per text: the best
    row (most code points, then smallest id) and the number of rows.
 3. Rounds: runs ``i*fan_in .. i*fan_in+fan_in-1`` exchange their entries and are
-   merged into run ``i`` (Spark's sort merges the sorted pieces, a streaming
-   pass joins equal neighbours), until one run is left.  The digest space is cut
-   into as many slices of about ``slice_rows`` rows as the table has, which go
-   through the rounds side by side, so no task ever merges more than slices.
+   merged into run ``i``, until one run is left; there is always one round at
+   least.  What arrives are sorted pieces, which Spark's sorter (TimSort on keys
+   of several columns) finds and merges; a streaming pass joins equal neighbours.
+   The digest space is cut into as many slices of about ``slice_rows`` rows as
+   the table has, which go through the rounds side by side, so no task ever
+   merges more than slices.
 4. The winners go back down to the entries of the first level, and from there to
    the headers of the same run: a text that fills a third of the table meets at
-   most one entry per run, never all of its rows in one task.
+   most one entry per run, and a run has at most ``RUN_ROWS`` rows.
 
 The text itself is read once and never shuffled.
 """
@@ -29,14 +34,17 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 SPACE = r"[\x20\x09-\x0D]"
-ENTRY = "run int, slice int, digest string, check long, size long, chars long, id long, n long"
+ENTRY = "run long, slice int, digest string, check long, size long, chars long, id long, n long"
 #: Rows of the table for each slice of the digest space.
 SLICE_ROWS = 20_000
+#: Rows of a run.
+RUN_ROWS = 20_000
 _KEY = ["run", "slice", "digest", "check", "size"]
 
 
-def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One header per row; ``run`` is the partition that the row was read in."""
+def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
+    """One header per row; ``part`` is the partition that the row was read in, ``block`` counts its ``run_rows`` rows."""
+    place = F.monotonically_increasing_id()  # the partition, then 33 bits of the row's number in it
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("chars"), F.regexp_replace(text, SPACE, "").alias("norm")).select(
         "id",
@@ -44,7 +52,8 @@ def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
         F.xxhash64("norm").alias("check"),
         F.length("norm").cast("long").alias("size"),
-        F.spark_partition_id().alias("run"),
+        F.shiftright(place, 33).alias("part"),
+        F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / run_rows).cast("long").alias("block"),
     )
 
 
@@ -80,7 +89,7 @@ def _merge(entries: DataFrame) -> DataFrame:
     return entries.sortWithinPartitions(*best_first).mapInArrow(merge_sorted, ENTRY)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, slice_rows: int = SLICE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Return one row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting ASCII white space; null counts
@@ -92,16 +101,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    heads = materialise(headers(docs, id_col, text_col), "headers")
-    last, rows = heads.agg(F.max("run"), F.count("*")).first()
-    runs, slices = (last or 0) + 1, max(1, -(-rows // slice_rows))
+    written = materialise(headers(docs, id_col, text_col, run_rows), "headers")
+    parts, blocks, rows = written.agg(F.max("part"), F.max("block"), F.count("*")).first()
+    parts, slices = (parts or 0) + 1, max(1, -(-rows // slice_rows))
+    runs = ((blocks or 0) + 1) * parts
+    heads = written.withColumn("run", F.col("block") * parts + F.col("part"))
     slice_of = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % slices).cast("int").alias("slice")
-    level0 = materialise(_merge(heads.select("run", slice_of, "digest", "check", "size", "chars", "id", F.lit(1).cast("long").alias("n"))), "runs")
-    level = level0
-    while runs > 1:
+    entries = heads.select("run", slice_of, "digest", "check", "size", "chars", "id", F.lit(1).cast("long").alias("n"))
+    level = level0 = materialise(_merge(entries.repartition("slice", "run")), "runs")
+    while level is level0 or runs > 1:
         runs = -(-runs // fan_in)
-        parent = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+        parent = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("long"))
         level = materialise(_merge(parent.repartition("slice", "run")), "merged")
+    texts = level.select("digest", "check", "size")
+    if texts.distinct().count() != texts.count():
+        raise RuntimeError("a text has more than one winner")
     won = level.select("digest", "check", "size", F.col("id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.col("n").alias("group_size"))
     down = level0.select("run", "digest", "check", "size", F.col("id").alias("run_id"), F.col("chars").alias("run_chars")).join(won, ["digest", "check", "size"])
     down = materialise(down, "winners")
@@ -110,7 +124,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group, with their columns as they are."""
+    """The rows of ``docs`` that stay, one for each group, with their columns as they are.
+
+    Rows are told apart by id and text, so an id that comes with different texts
+    keeps one row of each.  Of rows that repeat both, the one with the most code
+    points stays, then the one whose columns hash lowest; rows that agree in every
+    column are interchangeable.
+    """
     groups = exact_groups(docs, id_col, text_col, **options).where("kept")
     stay = groups.select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -121,8 +141,11 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         F.length(text).alias("__chars"),
     )
     joined = rows.join(stay, rows["__id"].eqNullSafe(stay["__id"]) & (rows["__digest"] == stay["__digest"]), "left_semi")
-    best = joined.groupBy("__id", "__digest").agg(F.max_by("__row", "__chars").alias("__row")) if _repeats(docs, id_col) else joined
-    return best.select("__row.*")
+    if _repeats(docs, id_col):
+        # rows of one id and text: the longest, then the first by what the row holds
+        first = F.min_by("__row", F.struct((-F.col("__chars")).alias("c"), F.sha2(F.to_json("__row", {"ignoreNullFields": "false"}), 256).alias("h")))
+        joined = joined.groupBy("__id", "__digest").agg(first.alias("__row"))
+    return joined.select("__row.*")
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:

@@ -9,9 +9,10 @@ link is met in some bucket.  A bucket's fingerprints form a shard: a BK-tree
 whose children are keyed by their integer Hamming distance to the parent, in
 which a query follows only the edges within the radius.  A bucket of more than
 ``shard_rows`` fingerprints is dealt again by the remaining bits, cut into
-``radius + 1`` pieces of which a pair within the radius shares one; a tree then
-holds at most ``2**22`` fingerprints whatever the input is.  Copies never reach
-the trees: they share one fingerprint.  Each shard sends its tree only to the
+``radius + 1`` pieces of which a pair within the radius shares one; what is then
+still above ``tree_rows`` is cut into chunks that meet pairwise, so that no tree
+holds more than two chunks.  Copies never reach the trees: they share one
+fingerprint.  Each shard sends its tree only to the
 task that queries it, and returns a spanning forest of its links, not all pairs.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .store import materialise
@@ -34,6 +36,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Fingerprints of a shard beyond which it is dealt again by its remaining bits.
+SHARD_ROWS = 4096
+#: Fingerprints of a chunk of a shard that is large even then.
+TREE_ROWS = 32_768
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 _BLOCK = 1 << 15
 
@@ -142,7 +148,7 @@ def _layout(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """``(a, b)``: spanning links among the distinct fingerprints of column ``fp``."""
     blocks = _layout(radius)
     pairs = list(combinations(range(len(blocks)), 2))
@@ -166,16 +172,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 4096) ->
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
     ]
     whole = F.array(F.struct(F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("sub")))
-    shards = met.select("fp", "kind", "key", F.explode(F.when(F.col("n") > shard_rows, F.array(*again)).otherwise(whole)).alias("s")).select(
-        "kind", "key", "s.cut", "s.sub", "fp"
+    shard = ["kind", "key", "cut", "sub"]
+    shards = met.select("fp", "kind", "key", "n", F.explode(F.when(F.col("n") > shard_rows, F.array(*again)).otherwise(whole)).alias("s")).select(
+        "kind", "key", "s.cut", "s.sub", "fp", "n"
     )
+    # only a bucket of more than tree_rows can have a shard of more
+    large = shards.where(F.col("n") > tree_rows).groupBy(*shard).agg(F.ceil(F.count("*") / tree_rows).cast("int").alias("pieces")).where("pieces > 1")
+    shards = shards.join(materialise(large, "large-shards"), shard, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    shards = shards.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    shards = shards.withColumns({"ca": F.least("chunk", "other"), "cb": F.greatest("chunk", "other")})
+    order = [*shard, "ca", "cb"]
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            keys = [held.column(c).to_numpy() for c in ("kind", "key", "cut", "sub")]
+            keys = [held.column(c).to_numpy() for c in order]
             if not held.num_rows:
                 continue
             new = np.zeros(held.num_rows, dtype=bool)
@@ -188,8 +201,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 4096) ->
         if held is not None and held.num_rows:
             yield from _forests(held.column("fp").to_numpy(), np.array([0, held.num_rows]), radius)
 
-    order = ["kind", "key", "cut", "sub"]
-    return shards.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(run, "a long, b long").distinct()
+    return shards.select(*order, "fp").repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def _forests(fps: np.ndarray, starts: np.ndarray, radius: int):
@@ -203,8 +215,17 @@ def _forests(fps: np.ndarray, starts: np.ndarray, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], names=["a", "b"])
 
 
+def _groups(rows: DataFrame, radius: int, shard_rows: int, tree_rows: int) -> DataFrame:
+    """``fp, component_id, component`` of every fingerprint of ``rows`` (``id, fp``); ``component`` is one of its fingerprints."""
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    comp = components(links(distinct.select("fp"), radius, shard_rows, tree_rows))
+    rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"), "least")
+    names = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    return materialise(rooted.select("fp", "component").join(names, "component").select("fp", "component_id", "component"), "components")
+
+
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, shard_rows: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree_rows: int = TREE_ROWS
 ) -> DataFrame:
     """``id, fp, component_id`` for every row.
 
@@ -215,24 +236,33 @@ def simhash_groups(
     returned as often as they come.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    comp = components(links(distinct.select("fp"), radius, shard_rows))
-    rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialise(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "components")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    return rows.join(_groups(rows, radius, shard_rows, tree_rows), "fp").select("id", "fp", "component_id")
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, columns as they are, that stay: of each group the one with the smallest id.
+def keep_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree_rows: int = TREE_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, columns as they are, that stay: one of each group of linked texts.
 
-    Of rows that repeat that id the one with the longest text stays.  Rows
-    without an id cannot be named by a group and are never dropped.
+    Rows are told apart by their text, not by their id: an id that comes with
+    texts of different groups stays once for each.  Of a group the row with the
+    smallest id stays (null ids come last), then the longest text, then the one
+    that was read first; an empty table gives an empty result.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    stay = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.length(text_col).alias("__chars"))
-    named = rows.join(stay, F.col("__id") == F.col("id"), "left_semi")
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        named = named.groupBy("__id").agg(F.max_by("__row", F.struct("__chars", F.xxhash64("__row"))).alias("__row"))
-    return named.select("__row.*").unionByName(rows.where("__id is null").select("__row.*"))
+
+    def run(batches):
+        for batch in batches:
+            values = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["row", "fp"])
+
+    # fingerprints and row numbers are written beside the rows, so both are the same in every later pass
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    printed = docs.select(row, F.col(text_col).alias("text")).mapInArrow(run, StructType([StructField("row", docs.schema), StructField("fp", LongType())]))
+    rows = materialise(printed.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    text, key = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`").cast("long")
+    keys = rows.select("number", "fp", key.alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
+    grouped = keys.join(_groups(keys, radius, shard_rows, tree_rows), "fp")
+    best = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), (-F.col("chars")).alias("c"), F.col("number").alias("d")))
+    stay = grouped.groupBy("component").agg(best.alias("best")).select(F.col("best.d").alias("number"))
+    return rows.join(stay, "number", "left_semi").select("row.*")
+

@@ -10,6 +10,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridmill.llm import exact_dedup, sentencepiece_spans, simhash
 from gridmill.llm.queries import piece_model
@@ -110,6 +111,43 @@ def test_exact_groups_against_brute_force(spark):
     assert exact_dedup.keep_rows(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_runs_do_not_depend_on_how_files_are_split(spark, partitions):
+    # headers are read back in many splits: small row groups and small splits
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "200000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        n = 60_000
+        rows = spark.range(0, n, 1, partitions).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % (n // 2)).alias("text"))
+        got = exact_dedup.exact_groups(rows, run_rows=7_000)
+        total = got.agg(F.count("*"), F.countDistinct("id"), F.min("group_size"), F.max("group_size"), F.count_if("kept"), F.count_if(F.col("keep_id") == F.col("id") % (n // 2))).first()
+        assert tuple(total) == (n, n, 2, 2, n // 2, n)
+        assert exact_dedup.keep_rows(rows).count() == n // 2
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+REPEATED = [(4, "A"), (4, "B"), (9, "B"), (2, "A"), (4, "A "), (None, "C"), (None, "C"), (None, "D"), (7, "D"), (2, "A"), (5, None), (6, ""), (5, " ")]
+
+
+def test_rows_are_kept_by_text_where_ids_repeat(spark):
+    rows = [(i, t, None, None, n) for n, (i, t) in enumerate(REPEATED)]
+    best = {}
+    for i, t in REPEATED:
+        at = squeezed(t)
+        best[at] = min(best.get(at, (0, True, 0, None, None)), (-len(t or ""), i is None, i or 0, i, t), key=lambda x: x[:3])
+    exact = sorted(((r.doc_id, r.text) for r in exact_dedup.keep_rows(frame(spark, rows)).collect()), key=repr)
+    assert [(i, squeezed(t)) for i, t in exact] == sorted(((v[3], k) for k, v in best.items()), key=repr)
+    near = simhash.keep_rows(frame(spark, rows, True)).collect()
+    label = components([plain_fingerprint(t) for _, t in REPEATED])
+    want = {}
+    for k, (i, t) in zip(label, REPEATED, strict=True):
+        want[k] = min(want.get(k, (True, 0, 0)), (i is None, i or 0, -len(t or "")))
+    assert sorted((r.doc_id is None, r.doc_id or 0, -len(r.text or "")) for r in near) == sorted(want.values())
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -138,8 +176,8 @@ def components(values, radius=2):
     return label
 
 
-@pytest.mark.parametrize("shard_rows", [3, 4096])
-def test_links_against_brute_force(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "tree_rows"), [(3, 2), (3, 32_768), (4096, 32_768)])
+def test_links_against_brute_force(spark, shard_rows, tree_rows):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 2**63, 30)]
     values = set(base) | {0, 2**64 - 1}
@@ -149,7 +187,7 @@ def test_links_against_brute_force(spark, shard_rows):
             values.add(b ^ sum(1 << int(f) for f in flips))
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard_rows=shard_rows).collect()
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard_rows=shard_rows, tree_rows=tree_rows).collect()
     at = {v: i for i, v in enumerate(signed)}
     parent = list(range(len(values)))
 
@@ -178,6 +216,6 @@ def test_simhash_groups(spark):
     want = sorted(((r[0], least[k]) for r, k in zip(rows, label, strict=True)), key=repr)
     assert sorted(((r.id, r.component_id) for r in got), key=repr) == want
     kept = simhash.keep_rows(frame(spark, rows, True))
-    assert kept.columns == frame(spark, rows, True).columns and kept.count() == len({v for v in least.values() if v is not None}) + 2
+    assert kept.columns == frame(spark, rows, True).columns and kept.count() == len(set(label))
     assert simhash.simhash_groups(frame(spark, [])).count() == 0
     assert simhash.keep_rows(frame(spark, [])).count() == 0
