@@ -6,32 +6,39 @@ the vector's cell.  A vector is kept in its own cell of every table and also
 probes the neighbouring cells that lie closest to it.  Vectors that meet in a cell
 and share a label are verified by their cosine in double precision.
 
-* Identical vectors (same label, same components) are one class from the start.
-* A cell of more than ``chunk`` rows is cut into chunks that meet pairwise in
+* Identical vectors (same label, same components) are one node from the start.
+* A node's cells are computed once and written; they travel with its vector.
+* A cell of more than ``chunk`` nodes is cut into chunks that meet pairwise in
   tasks of bounded size, so no cell is gathered in one task.
-* A cell returns a spanning forest of its verified links; connected components
-  come from those.  Links are then counted, not listed, inside each component,
-  chunk against chunk, which also counts those that no cell had met.
+* A cell returns a spanning forest of its verified links, from which connected
+  components come, and for every node the number of its links.  A pair that meets
+  in several cells is counted in the first of them, which both nodes' lists of
+  cells tell, so each link that was found counts once and none is listed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
 
 from .components import components
 from .store import materialise
 
 THRESHOLD = 0.93
-TABLES = 8
+TABLES = 6
 PROBES = 4
 #: The lattice's unit in projected space; a pair at the threshold is about 0.37 apart.
 SCALE = 0.75
 #: Projections whose lattice points make a cell together.
 PARTS = 2
+#: Nodes of a cell that are compared with each other in one task, or with as many others.
 CHUNK = 2048
+#: Low bits of a cell's number, which hold its table.
+_TABLE_BITS = 6
 
 
 def decode_d8(x: np.ndarray) -> np.ndarray:
@@ -92,6 +99,8 @@ def _hash(points: np.ndarray) -> np.ndarray:
 def cells(unit: np.ndarray, matrices: np.ndarray, scale: float, probes: int) -> np.ndarray:
     """(rows, tables, 1 + probes): the own cell of each row, then the cells it probes."""
     tables, parts = matrices.shape[:2]
+    if tables > 1 << _TABLE_BITS:
+        raise ValueError(f"at most {1 << _TABLE_BITS} tables")
     around = neighbours()
     out = np.zeros((len(unit), tables, 1 + probes), dtype=np.int64)
     rows = np.arange(len(unit))
@@ -99,9 +108,9 @@ def cells(unit: np.ndarray, matrices: np.ndarray, scale: float, probes: int) ->
         xs = [unit @ matrices[t, p] / scale for p in range(parts)]
         points = [decode_e8(x) for x in xs]
         out[:, t, 0] = _hash(np.concatenate(points, axis=1))
-        # how much farther each neighbouring point is: its squared length, 2, less twice its share of the rest
-        farther = np.concatenate([2 - 2 * (x - p) @ around.T for x, p in zip(xs, points, strict=True)], axis=1)
-        best = np.argsort(farther, axis=1, kind="stable")[:, :probes]
+        # a neighbouring point is farther by its squared length, 2, less twice its share of the rest
+        nearer = np.concatenate([(x - p) @ around.T for x, p in zip(xs, points, strict=True)], axis=1)
+        best = np.argpartition(nearer, nearer.shape[1] - probes, axis=1)[:, nearer.shape[1] - probes :] if probes else np.zeros((len(unit), 0), dtype=np.int64)
         for k in range(probes):
             moved = np.stack(points, axis=1)
             moved[rows, best[:, k] // len(around)] += around[best[:, k] % len(around)]
@@ -109,8 +118,36 @@ def cells(unit: np.ndarray, matrices: np.ndarray, scale: float, probes: int) ->
     return out
 
 
+def numbered(found: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Cells as numbers that differ by table (their low bits) and by ``space``, inside which alone rows may link."""
+    with np.errstate(over="ignore"):
+        mixed = (found.view(np.uint64) ^ space.view(np.uint64)[:, None, None]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+    tables = np.arange(found.shape[1], dtype=np.uint64)[None, :, None]
+    return ((mixed & ~np.uint64((1 << _TABLE_BITS) - 1)) | tables).view(np.int64)
+
+
+def counted_here(x: np.ndarray, y: np.ndarray, cell: int) -> np.ndarray:
+    """Whether ``cell`` is the first one in which row i of ``x`` meets row i of ``y`` (rows, tables, 1 + probes).
+
+    Two rows meet in a cell that is the own cell of one and in the list of the other.
+    """
+    at = cell & ((1 << _TABLE_BITS) - 1)
+    first = np.ones(len(x), dtype=bool)
+    for t in range(at):
+        first &= ~((x[:, t, :1] == y[:, t]).any(axis=1) | (y[:, t, :1] == x[:, t]).any(axis=1))
+    own_x, own_y = x[:, at, 0], y[:, at, 0]
+    none = np.iinfo(np.int64).max
+    met_x = np.where((own_x[:, None] == y[:, at]).any(axis=1), own_x, none)
+    met_y = np.where((own_y[:, None] == x[:, at]).any(axis=1), own_y, none)
+    return first & (np.minimum(met_x, met_y) == cell)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _matrix(column) -> np.ndarray:
@@ -120,19 +157,20 @@ def _matrix(column) -> np.ndarray:
 
 
 def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """``id, label, v, node`` of every row; ``v`` is null where a row links with nothing, equal rows share ``node``."""
-    v = F.col(vector_col).cast("array<double>")
+    """``id, label, v, ka, kb`` of every row; ``v`` is null where a row links with nothing, equal rows share ``ka, kb``."""
+    of = vectors.schema[vector_col].dataType
+    v_type = "float" if isinstance(of, ArrayType) and isinstance(of.elementType, FloatType) else "double"
+    v = F.col(vector_col).cast(f"array<{v_type}>")
     usable = (
         v.isNotNull() & F.col(label_col).isNotNull() & (F.size(v) > 0)
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists(v, lambda x: x != 0)
     )
-    one_zero = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    one_zero = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0).cast(v_type)).otherwise(x))
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), one_zero).alias("v")
     )
-    halves = [F.lpad(F.hex(F.xxhash64(F.lit(k), "label", "v")), 16, "0") for k in (0, 1)]
-    return rows.withColumn("node", F.concat(*halves))
+    return rows.withColumns({"ka": F.xxhash64(F.lit(0), "label", "v"), "kb": F.xxhash64(F.lit(1), "label", "v")})
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -177,58 +215,46 @@ def _forest(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, width: int):
+    """Batches of ``a, b, links`` out of batches sorted by cell and chunks: links of a forest (``links`` null), and how many each node has (``b`` null)."""
+
     def run(batches):
         for table in _grouped(batches, ["cell", "ca", "cb"]):
             n = table.num_rows
-            if n < 2:
+            cell, ca, cb = (table.column(c)[0].as_py() for c in ("cell", "ca", "cb"))
+            ids, weight, chunk = (table.column(c).to_numpy() for c in ("node", "n", "chunk"))
+            if n < 2 or (ca != cb and (chunk == ca).all() | (chunk == cb).all()):
                 continue
-            ids, unit = table.column("node").to_pylist(), _unit(_matrix(table.column("v").combine_chunks()))
-            own = np.asarray(table.column("own"))
+            unit = _unit(_matrix(table.column("v").combine_chunks()))
+            lists = table.column("cells").combine_chunks().flatten().to_numpy().reshape(n, -1, width)
+            own = (lists[:, :, 0] == cell).any(axis=1)
             close = np.zeros((n, n), dtype=bool)
-            for a in range(0, n, 512):
-                close[a : a + 512] = unit[a : a + 512] @ unit.T >= threshold
-            close &= own[:, None] | own[None, :]
-            out = [(ids[x], ids[y]) for x, y in _forest(close)]
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+            found = np.zeros(n, dtype=np.int64)
+            # every pair once: of one chunk those above the diagonal, of two chunks those across
+            for a in range(0, n, 256):
+                block = unit[a : a + 256] @ unit.T >= threshold
+                block &= own[a : a + 256, None] | own[None, :]
+                close[a : a + 256] = block
+                here = block & (np.arange(n)[None, :] > np.arange(a, a + len(block))[:, None])
+                if ca != cb:
+                    here &= chunk[a : a + 256, None] != chunk[None, :]
+                x, y = np.nonzero(here)
+                for k in range(0, len(x), 200_000):
+                    i, j = x[k : k + 200_000] + a, y[k : k + 200_000]
+                    new = counted_here(lists[i], lists[j], cell)
+                    found += np.bincount(i[new], weight[j[new]], n).astype(np.int64) + np.bincount(j[new], weight[i[new]], n).astype(np.int64)
+            close |= close.T
+            links = [(ids[x], ids[y]) for x, y in _forest(close)]
+            some = np.flatnonzero(found)
+            if links:
+                a, b = (np.array(k, dtype=np.int64) for k in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "links"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(found[some])], names=["a", "b", "links"])
 
     return run
 
 
-def _counts(threshold: float):
-    def run(batches):
-        for table in _grouped(batches, ["root", "ca", "cb"]):
-            ids, unit = table.column("node").to_pylist(), _unit(_matrix(table.column("v").combine_chunks()))
-            weight, chunk = table.column("n").to_numpy().astype(np.int64), table.column("chunk").to_numpy()
-            ca, cb = table.column("ca")[0].as_py(), table.column("cb")[0].as_py()
-            left, right = np.flatnonzero(chunk == ca), np.flatnonzero(chunk == cb)
-            found = np.zeros(len(ids), dtype=np.int64)
-            for a in range(0, len(left), 1024):
-                rows = left[a : a + 1024]
-                close = unit[rows] @ unit[right].T >= threshold
-                if ca == cb:
-                    close[rows[:, None] == right[None, :]] = False
-                    found[rows] += close @ weight[right]
-                else:
-                    found[rows] += close @ weight[right]
-                    found[right] += close.T @ weight[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found)], names=["node", "links"])
-
-    return run
-
-
-def _paired(rows: DataFrame, keys: list[str], chunk: int, order: str) -> DataFrame:
-    """Deal each group's rows to its pairs of chunks (``ca <= cb``); groups of up to ``chunk`` rows have one."""
-    # written first, so that the join reads two scans and a large group's rows may be split over tasks
-    sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("group_rows")).where("group_rows > 1"), "sizes")
-    pieces = F.ceil(F.col("group_rows") / chunk).cast("int")
-    dealt = rows.join(sizes, keys).withColumn("pieces", pieces).withColumn("chunk", F.pmod(F.xxhash64(order), F.col("pieces")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    return dealt.withColumn("other", other).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other"))
-
-
 def embedding_groups(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -248,52 +274,56 @@ def embedding_groups(
     double precision, is at least ``threshold``; a vector that is null, empty,
     zero, or has a null or non-finite component links with nothing, not even a
     copy of itself.  Vectors of different length do not link.  ``n_links`` counts
-    other rows; rows that repeat an id are rows of their own.  ``component_id`` is
+    the other rows that it was found to link with directly; rows that repeat an id are rows of their own.  ``component_id`` is
     the smallest id reachable; null ids pass links on, and name a component only
     where it has no other id (then null).
     """
-    rows = materialise(classes(vectors, id_col, vector_col, label_col), "vectors")
+    rows = classes(vectors, id_col, vector_col, label_col)
     usable = rows.where("v is not null")
     # Identical vectors are one node; the key holds the vector itself, so equal hashes alone never join two.
-    nodes = usable.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    nodes = materialise(nodes.withColumns({"dim": F.size("v"), "space": F.xxhash64("label", F.size("v"))}), "nodes")
+    nodes = usable.groupBy("ka", "kb", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    keyed = nodes.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", "v", F.xxhash64("label", F.size("v")).alias("space"))
 
     def deal(batches):
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = batch.column(0).to_numpy()
+            table = pa.Table.from_batches([batch])
+            dims = pc.list_value_length(table.column("v")).to_numpy()
             for dim in np.unique(dims).tolist():
-                part = pa.Table.from_arrays(batch.columns, names=batch.schema.names).filter(pa.array(dims == dim))
+                part = table.filter(pa.array(dims == dim)).combine_chunks()
                 if dim not in made:
                     made[dim] = projections(dim, tables, parts, seed)
-                unit = _unit(_matrix(part.column("v").combine_chunks()))
-                own = cells(unit, made[dim], scale, probes)
-                n, per = len(unit), tables * (1 + probes)
-                who = pa.array(np.repeat(np.arange(n), per))
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), n)
-                first = np.tile(np.tile(np.arange(1 + probes) == 0, tables), n)
-                columns = [part.column(c).combine_chunks().take(who) for c in ("space", "node")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(table), pa.array(own.reshape(-1)), pa.array(first)], names=["space", "node", "tab", "point", "own"])
-
-    places = nodes.select("dim", "space", "node", "v").mapInArrow(deal, "space long, node string, tab int, point long, own boolean")
-    keyed = places.select("node", "own", F.xxhash64("space", "tab", "point").alias("cell"))
-    # a row that probes its way into a cell twice is there once; a cell without owners has nothing to meet
-    keyed = keyed.groupBy("cell", "node").agg(F.max("own").alias("own"))
-    alive = keyed.groupBy("cell").agg(F.count("*").alias("all_rows"), F.max("own").alias("owned")).where("all_rows > 1 and owned")
-    keyed = materialise(keyed.join(alive.select("cell"), "cell"), "cells")
-    met = _paired(keyed, ["cell"], chunk, "node").select("cell", "ca", "cb", "node", "own").join(nodes.select("node", "v"), "node")
+                for at in range(0, part.num_rows, 4096):
+                    some = part.slice(at, 4096).combine_chunks()
+                    found = cells(_unit(_matrix(some.column("v").combine_chunks())), made[dim], scale, probes)
+                    flat = numbered(found, some.column("space").to_numpy()).reshape(-1)
+                    ends = np.arange(0, len(flat) + 1, tables * (1 + probes), dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                    yield from some.drop_columns(["space"]).append_column("cells", lists).to_batches()
+
+    placed = keyed.mapInArrow(deal, StructType([f for f in keyed.schema if f.name != "space"]).add("cells", ArrayType(LongType())))
+    placed = materialise(placed, "cells")
+    width = 1 + probes
+    # a node that probes its way into a cell twice is there once; a cell without an owner has nothing to meet
+    own = F.filter("cells", lambda _, i: i % width == 0)
+    flagged = lambda found, mark: F.transform(found, lambda c: F.struct(c.alias("cell"), F.lit(mark).alias("own")))
+    every = F.concat(flagged(F.array_distinct(own), True), flagged(F.array_except("cells", own), False))
+    each = placed.select("node", F.inline(every))
+    alive = each.groupBy("cell").agg(F.count("*").alias("group_rows"), F.max("own").alias("owned")).where("group_rows > 1 and owned")
+    alive = materialise(alive.select("cell", F.ceil(F.col("group_rows") / chunk).cast("int").alias("pieces")), "met-cells")
+    dealt = each.select("node", "cell").join(alive, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("cell", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), "chunk", "node")
+    met = dealt.join(placed.select("node", "n", "v", "cells"), "node")
     key = ["cell", "ca", "cb"]
-    links = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(threshold), "a string, b string").distinct()
-    comp = materialise(components(links), "embedding-components")
-    named = nodes.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "least")
+    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(threshold, width), "a long, b long, links long")
+    found = materialise(found, "links")
+    comp = materialise(components(found.where("links is null").select("a", "b")), "embedding-components")
+    linked = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = placed.select("node", "ka", "kb", "n", "least").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = materialise(comp.join(nodes.select("node", "v", "n"), "node").select("root", "node", "v", "n"), "members")
-    pairs = _paired(members, ["root"], chunk, "node").select("root", "ca", "cb", "chunk", "node", "n", "v")
-    key = ["root", "ca", "cb"]
-    counted = pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_counts(threshold), "node string, links long")
-    linked = counted.groupBy("node").agg(F.sum("links").alias("links"))
     by_node = named.join(linked, "node", "left").join(least, "root")
-    by_node = materialise(by_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "embedding-nodes")
-    found = usable.select("id", "node").join(by_node, "node").select("id", "n_links", "component_id")
+    by_node = materialise(by_node.select("ka", "kb", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "embedding-nodes")
+    matched = usable.select("id", "ka", "kb").join(by_node, ["ka", "kb"]).select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return found.unionByName(alone)
+    return matched.unionByName(alone)

@@ -311,7 +311,7 @@ def brute(rows, threshold=0.93):
     for i in range(n):
         for j in range(n):
             if i != j and usable[i] and usable[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1], dtype=float), np.array(rows[j][1], dtype=float)
+                a, b = (np.array(rows[k][1], dtype=float) / max(map(abs, rows[k][1])) for k in (i, j))
                 link[i, j] = a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold
     label = list(range(n))
     for i, j in zip(*np.nonzero(link), strict=True):
@@ -331,10 +331,15 @@ def test_embedding_groups_against_brute_force(spark, chunk):
         rows.append((i, [float(np.float32(x)) for x in v], i % 2))
     tight = base[0] + 0.05 * rng.normal(size=(60, 64))
     rows += [(1000 + i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(tight)]
-    rows += [(500, None, 0), (501, [0.0] * 64, 0), (502, [0.0] * 64, 0), (503, rows[0][1], None), (504, [float("nan")] * 64, 0), (505, [None] + [1.0] * 63, 0), (506, [float("inf")] * 64, 0), (507, [], 1), (508, [1.0, 2.0], 1), (509, [2.0, 4.0], 1), (None, rows[0][1], 0), (0, rows[0][1], 0)]
-    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, n int").repartition(4)
-    got = sorted(((r.id, r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(frame, chunk=chunk).collect()), key=repr)
-    assert got == brute(rows)
+    rows += [(500, None, 0), (501, [0.0] * 64, 0), (502, [0.0] * 64, 0), (503, rows[0][1], None), (504, [float("nan")] * 64, 0), (505, [None] + [1.0] * 63, 0), (506, [float("inf")] * 64, 0), (510, [3e200] + [1e200] * 63, 0), (511, [3.1e200] + [1e200] * 63, 0), (512, [3e-200] + [1e-200] * 63, 1), (513, [3.1e-200] + [1e-200] * 63, 1), (507, [], 1), (508, [1.0, 2.0], 1), (509, [2.0, 4.0], 1), (None, rows[0][1], 0), (0, rows[0][1], 0)]
+    for kind in ("float", "double"):
+        if kind == "float":  # numbers beyond its range are tried as doubles alone
+            given_rows = [r for r in rows if not 510 <= (r[0] or 0) <= 513]
+        else:
+            given_rows = rows
+        frame = spark.createDataFrame([(*r, "x", 1) for r in given_rows], f"vec_id long, embedding array<{kind}>, label int, node string, n int").repartition(4)
+        got = sorted(((r.id, r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(frame, chunk=chunk).collect()), key=repr)
+        assert got == brute(given_rows), kind
     assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
 
 
