@@ -267,18 +267,33 @@ def test_conversations(spark):
 # -- WARC ----------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark):
+def plain_archive(rows, least_bytes=0):
+    """(page_id, url, size, digest, type, refers_to) of every record, with one response for each payload."""
+    out = []
+    for html in {r[2] or "" for r in rows}:
+        same = sorted((r for r in rows if (r[2] or "") == html), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+        raw = html.encode()
+        for n, r in enumerate(same):
+            later = n > 0 and len(raw) >= least_bytes
+            out.append((r[0], None if r[1] is None else r[1].replace("\r\n", " "), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if later else "response", same[0][0] if later else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("least_bytes", "file_bytes", "words"), [(0, 32_000_000, 1 << 20), (4, 1_000, 1), (0, 1, 2)])
+def test_warc_round_trip(spark, least_bytes, file_bytes, words):
     body = "WARC/1.1\r\n\r\n é" + "\r\n\r\n"
-    rows = [(5, "u\r\nx", body, "d"), (3, None, body, "d"), (9, "z", None, "d"), (8, "z", "", "d"), (4, "z", "one", "d"), (3, None, body, "d"), (None, "n", "one", "d"), (7, "big", "y" * 300_000, "d")]
-    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest string")).collect()
-    assert len(got) == len(rows) and all(r.intact for r in got)
-    for page, _, html, _ in rows:
-        raw = (html or "").encode()
-        r = next(x for x in got if x.page_id == page and x.payload_bytes == len(raw))
-        first = min(x[0] for x in rows if (x[2] or "") == (html or "") and x[0] is not None)
-        assert r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
-        assert (r.record_type, r.refers_to) == (("response", None) if first == page else ("revisit", first))
-        assert r.payload == (None if r.record_type == "revisit" else bytearray(raw))
+    rows = [(5, "u\r\nx", body, "d"), (3, None, body, "d"), (9, "z", None, "d"), (8, "z", "", "d"), (4, "z", "one", "d"), (3, None, body, "d"), (None, "n", "one", "d"), (7, "big", "y" * 300_000, "d"), (4, "z", "one", "d")]
+    rows += [(100 + i, f"u{i}", f"page {i % 40}", "d") for i in range(60)] + [(None, None, "two", "d"), (None, "m", "two", "d")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)
+    got = warc.archive(frame, least_bytes=least_bytes, file_bytes=file_bytes, words=words).collect()
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == plain_archive(rows, least_bytes)
+    assert all(r.intact for r in got) and len({r.record_id for r in got}) == len(rows)
+    named = {r.record_id: r for r in got}
+    for r in got:
+        if r.record_type == "revisit":
+            assert r.payload is None and (named[r.refers_to_record].record_type, named[r.refers_to_record].payload_digest) == ("response", r.payload_digest)
+        else:
+            assert hashlib.sha1(r.payload).digest() == base64.b32decode(r.payload_digest)
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -286,6 +301,16 @@ def test_warc_reads_members_and_finds_damage():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     pack = lambda b: (c := zlib.compressobj(wbits=31)).compress(b) + c.flush()
     assert len(list(warc.records(warc._inflate(pack(record) + pack(record))))) == 2
+    big = record.replace(b"Length: 2", b"Length: 5000000").replace(b"ab", b"ab" * 2_500_000)
+    sizes = [len(block) for _, block in warc.records(warc._inflate(pack(big) + pack(record) + pack(big + record), piece=1000))]
+    assert sizes == [5_000_000, 2, 5_000_000, 2]
+    for size in (1, 7, 64):
+        whole = record * 3
+        assert len(list(warc.records(whole[i : i + size] for i in range(0, len(whole), size)))) == 3
+    with pytest.raises(ValueError):
+        list(warc.records(warc._inflate(pack(big)[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.records(record[:-1]))
     with pytest.raises(ValueError):
         list(warc.records(record.replace(b"Length: 2", b"Length: 3")))
 
