@@ -9,15 +9,22 @@ runs out, an era ends: the weights of the others are scaled up to one and the
 schedule goes on, so each row is placed exactly once and none is dropped or
 repeated.
 
-Ranks come from counts per (source, bucket) and a window within a bucket, so a
-source that holds a third of the table is sorted in pieces of one size.  The
-schedule itself is a stream of slots out of a heap of one entry per source.
+Inside an era the schedule repeats: after as many slots as the weights, as whole
+numbers, sum up to, every source has had exactly its share.  So one period is
+written, with the number of times it comes (work that does not grow with the
+table), and is spread to all blocks in parallel.
+
+Ranks come from counts per (source, bucket), summed up group by group, and a window
+within a bucket, so a source that holds a third of the table is sorted in pieces
+of one size.  A bucket learns its offset and the slots of its blocks before its rows
+do; rows are shuffled once, by bucket.
 """
 
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
+import math
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,6 +36,8 @@ from .store import materialise
 BLOCK = 64
 #: Rows that are ranked together, about; a source of any size is ranked in as many buckets as that takes.
 RANKED_ROWS = 250
+#: Buckets of a source whose counts are summed up together.
+_GROUP = 4096
 #: Distinct sources that a schedule takes; their counts go to the driver.
 MAX_SOURCES = 100_000
 #: Denominator that weights are rounded to, so that deadlines are whole-number arithmetic.
@@ -36,42 +45,76 @@ UNIT = 1_000_000
 NO_SOURCE = "\x00none"
 
 
+def _era(weight: dict[str, int]):
+    """Yield (source, i) for one slot after the other, i from 1, as if no source ever ran out."""
+    total = sum(weight.values())
+    waiting = [(0, s, 1) for s in sorted(weight)]  # (release, source, i)
+    ready: list[tuple[int, int, str, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            release, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-i * total // weight[s]), release, s, i))
+        if ready:  # the shares fill every slot
+            _, _, s, i = heapq.heappop(ready)
+            yield s, i
+            heapq.heappush(waiting, (i * total // weight[s], s, i + 1))
+        t += 1
+
+
+def _turns(blocks: dict[str, int], weights: dict[str, float]) -> list[dict[str, int]]:
+    """Whole-number weights of the sources that are scheduled together: first those of positive weight, then those of weight 0, which share alike."""
+    if any(not 0 <= w < math.inf for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    least = min((w for w in weights.values() if w > 0), default=1.0)
+    given = {s: weights.get(s, least) for s, n in blocks.items() if n > 0}
+    first = {s: max(1, round(UNIT * w)) for s, w in given.items() if w > 0}
+    return [turn for turn in (first, {s: 1 for s, w in given.items() if w == 0}) if turn]
+
+
 def schedule(blocks: dict[str, int], weights: dict[str, float]):
     """Yield (slot, source, block) of every block, blocks and slots from 0.
 
-    ``weights`` are relative; sources without one, or with one of 0, count as the
-    smallest positive weight.  Ties go to the smaller release, then the name.
+    ``weights`` are relative.  A source that has none counts as the smallest
+    positive weight; one of weight 0 is only scheduled when the others have run
+    out.  Ties go to the smaller release, then the name.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    least = min((w for w in weights.values() if w > 0), default=1.0)
-    weight = {s: max(1, round(UNIT * (w if (w := weights.get(s, 0)) > 0 else least))) for s in left}
     slot = 0
-    while left:
-        total = sum(weight[s] for s in left)
-        share = {s: Fraction(weight[s], total) for s in left}
-        waiting = [(0, s, 1) for s in left]  # (release, source, i), counted from the era's start
-        ready: list[tuple[int, int, str, int]] = []
-        heapq.heapify(waiting)
-        t = 0
-        over = False
-        while not over:
-            while waiting and waiting[0][0] <= t:
-                release, s, i = heapq.heappop(waiting)
-                heapq.heappush(ready, (-(-i * share[s].denominator // share[s].numerator), release, s, i))
-            if not ready:  # the shares fill every slot, but for rounding at an era's end
-                t = waiting[0][0]
-                continue
-            _, _, s, i = heapq.heappop(ready)
-            yield slot, s, done[s]
-            slot, t = slot + 1, t + 1
-            done[s] += 1
-            left[s] -= 1
-            if left[s]:
-                heapq.heappush(waiting, (i * share[s].denominator // share[s].numerator, s, i + 1))
-            else:
-                del left[s]
-                over = True
+    for turn in _turns(blocks, weights):
+        left = {s: blocks[s] for s in turn}
+        while left:
+            for s, _ in _era({s: turn[s] for s in left}):
+                yield slot, s, blocks[s] - left[s]
+                slot += 1
+                left[s] -= 1
+                if not left[s]:
+                    del left[s]
+                    break
+
+
+def pattern(blocks: dict[str, int], weights: dict[str, float]):
+    """Yield (source, block, slot, block_step, slot_step, times): ``schedule`` with one entry for what repeats in an era."""
+    slot = 0
+    for turn in _turns(blocks, weights):
+        left = {s: blocks[s] for s in turn}
+        while left:
+            common = math.gcd(*[turn[s] for s in left])
+            weight = {s: turn[s] // common for s in left}
+            period = sum(weight.values())
+            # whole periods after which every source still has a block
+            times = min((n - 1) // weight[s] for s, n in left.items())
+            if times:
+                for t, (s, i) in enumerate(islice(_era(weight), period)):
+                    yield s, blocks[s] - left[s] + i - 1, slot + t, weight[s], period, times
+                slot += period * times
+                left = {s: n - weight[s] * times for s, n in left.items()}
+            for s, _ in _era(weight):
+                yield s, blocks[s] - left[s], slot, 1, 1, 1
+                slot += 1
+                left[s] -= 1
+                if not left[s]:
+                    del left[s]
+                    break
 
 
 def smoothed(counts: dict[str, int], power: float = 0.7) -> dict[str, float]:
@@ -87,27 +130,38 @@ def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str, int]
     return {r["s"]: r["count"] for r in rows}
 
 
+_ENTRY = "mix_source string, block long, slot long, block_step long, slot_step long, times long"
+_ENTRY_TYPES = (pa.string(), *[pa.int64()] * 5)
+
+
 def plan(spark, counts: dict[str, int], weights: dict[str, float], block: int = BLOCK) -> DataFrame:
-    """``mix_source, mix_block, mix_slot``: the schedule, streamed out of one task that holds one entry per source."""
+    """``mix_source, mix_block, mix_slot``: the pattern, made in one task of bounded work, spread to every block."""
     blocks = {s: -(-n // block) for s, n in counts.items()}
 
     def run(batches):
         for _ in batches:
             pass
-        rows: list[tuple[int, str, int]] = []
-        for row in schedule(blocks, weights):
-            rows.append(row)
-            if len(rows) == 10_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+        entries = pattern(blocks, weights)
+        while rows := list(islice(entries, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY_TYPES, strict=True)], names=[x.split()[0] for x in _ENTRY.split(", ")])
 
-    return spark.range(1, numPartitions=1).mapInArrow(run, "mix_slot long, mix_source string, mix_block long")
+    entries = materialise(spark.range(1, numPartitions=1).mapInArrow(run, _ENTRY), "mix-pattern")
+    each = entries.repartition("mix_source", "block").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return each.select("mix_source", (F.col("block") + F.col("k") * F.col("block_step")).alias("mix_block"), (F.col("slot") + F.col("k") * F.col("slot_step")).alias("mix_slot"))
 
 
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["mix_slot", "mix_source", "mix_block"])
+def _offsets(sizes: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """``s, b, offset, first_block, slots`` of every (source, bucket) of ``sizes`` (``mix_source, bucket, n``)."""
+    grouped = sizes.withColumn("g", F.floor(F.col("bucket") / _GROUP))
+    until = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("mix_source", "g").agg(F.sum("n").alias("all"))
+    sums = sums.select("mix_source", "g", F.coalesce(F.sum("all").over(until(["mix_source"], "g")), F.lit(0)).alias("base"))
+    inside = grouped.withColumn("more", F.coalesce(F.sum("n").over(until(["mix_source", "g"], "bucket")), F.lit(0)))
+    placed = inside.join(sums, ["mix_source", "g"]).select("mix_source", "bucket", (F.col("base") + F.col("more")).alias("offset"), "n")
+    span = F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))
+    met = placed.select("mix_source", "bucket", "offset", F.explode(span).alias("mix_block")).join(slots, ["mix_source", "mix_block"])
+    listed = met.groupBy("mix_source", "bucket", "offset").agg(F.sort_array(F.collect_list(F.struct("mix_block", "mix_slot"))).alias("slots"))
+    return listed.select(F.col("mix_source").alias("s"), F.col("bucket").alias("b"), "offset", F.col("slots")[0]["mix_block"].alias("first_block"), F.col("slots.mix_slot").alias("slots"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, ranked_rows: int = RANKED_ROWS, seed: int = 42) -> DataFrame:
@@ -120,11 +174,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     placed as often as they come; rows that agree in every column are
     interchangeable.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    counts = source_counts(docs, source_col)
+    return _mixed(docs, source_counts(docs, source_col), weights, id_col, source_col, block, ranked_rows, seed)
+
+
+def _mixed(docs: DataFrame, counts: dict[str, int], weights: dict[str, float] | None, id_col: str, source_col: str, block: int, ranked_rows: int, seed: int) -> DataFrame:
     weights = smoothed(counts) if weights is None else weights
     buckets = -(-max(counts.values(), default=1) // ranked_rows)
-    schedule_rows = materialise(plan(spark, counts, weights, block), "schedule")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(
         row.alias("row"),
@@ -132,22 +187,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
         F.col(id_col).alias("i"),
     ).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sizes = keyed.groupBy("mix_source", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("mix_source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    sizes = materialise(keyed.groupBy("mix_source", "bucket").agg(F.count("*").alias("n")), "mix-buckets")
+    offsets = materialise(_offsets(sizes, plan(docs.sparkSession, counts, weights, block), block), "mix-offsets")
     within = Window.partitionBy("mix_source", "bucket").orderBy("h", "i", *([F.xxhash64("row")] if docs.columns else []))
     ranked = keyed.withColumn("rn", F.row_number().over(within) - 1)
-    placed = ranked.join(offsets, (F.col("mix_source") == F.col("s")) & (F.col("bucket") == F.col("b"))).select(
-        "row", "mix_source", (F.col("offset") + F.col("rn")).alias("mix_rank")
-    )
+    placed = ranked.join(offsets, (F.col("mix_source") == F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("mix_rank", F.col("offset") + F.col("rn"))
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long"))
-    return placed.join(schedule_rows, ["mix_source", "mix_block"]).select(
-        "row", "mix_source", "mix_rank", "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("mix_rank") % block).alias("mix_position")
-    )
+    placed = placed.withColumn("mix_slot", F.get("slots", (F.col("mix_block") - F.col("first_block")).cast("int")))
+    return placed.select("row", "mix_source", "mix_rank", "mix_block", "mix_slot", (F.col("mix_slot") * block + F.col("mix_rank") % block).alias("mix_position"))
+
 
+def in_order(
+    docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, ranked_rows: int = RANKED_ROWS, seed: int = 42
+) -> DataFrame:
+    """The rows of ``docs``, columns as they are, in the mixture's order (over partitions and within them).
 
-def in_order(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, **options) -> DataFrame:
-    """The rows of ``docs``, columns as they are, in the mixture's order (over partitions and within them)."""
-    mixed = mix(docs, weights, **options)
-    ranged = mixed.repartitionByRange(partitions, "mix_position") if partitions else mixed.repartitionByRange("mix_position")
-    return ranged.sortWithinPartitions("mix_position").select("row.*")
+    There are ``partitions`` of equally many slots (as many as the session's
+    shuffles have, if not given); slots are known, so nothing has to be sampled.
+    """
+    counts = source_counts(docs, source_col)
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(1, sum(-(-c // block) for c in counts.values()))
+    mixed = _mixed(docs, counts, weights, id_col, source_col, block, ranked_rows, seed)
+    dealt = mixed.repartitionById(n, F.floor(F.col("mix_slot") * n / slots).cast("int"))
+    return dealt.sortWithinPartitions("mix_position").select("row.*")

@@ -206,6 +206,26 @@ def test_schedule_stays_within_one_block(spec):
             start, done = slot + 1, dict.fromkeys(blocks, 0)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 300), st.integers(0, 5)), min_size=1))
+def test_pattern_is_the_schedule(spec):
+    blocks = {s: n for s, (n, _) in spec.items()}
+    weights = {s: w / 8 for s, (_, w) in spec.items()}
+    whole = list(mixing.schedule(blocks, weights))
+    spread = [(slot + k * c, s, b + k * a) for s, b, slot, a, c, times in mixing.pattern(blocks, weights) for k in range(times)]
+    assert sorted(spread) == whole
+    # a source of weight 0 comes after all others
+    late = [slot for slot, s, _ in whole if not weights[s]]
+    assert not late or min(late) == sum(n for s, n in blocks.items() if weights[s])
+
+
+def test_pattern_does_not_grow_with_the_table():
+    blocks, weights = {"a": 10**9, "b": 10**9, "c": 10**8}, {"a": 0.5, "b": 0.375, "c": 0.125}
+    assert sum(1 for _ in mixing.pattern(blocks, weights)) < 100
+    with pytest.raises(ValueError):
+        list(mixing.schedule({"a": 1}, {"a": -1.0}))
+
+
 def test_mix_places_every_row_once(spark):
     rows = [(i, "t", None if i % 7 == 0 else f"s{i % 3}" if i % 2 else "s0", 1, "s", 2, "r") for i in range(300)]
     docs = spark.createDataFrame(rows + rows[:5] + [(None, None, None, None, None, None, None)], DOCS)
@@ -214,8 +234,14 @@ def test_mix_places_every_row_once(spark):
     for s in {r.mix_source for r in got}:
         ranks = sorted(r.mix_rank for r in got if r.mix_source == s)
         assert ranks == list(range(len(ranks)))
+    sizes = {s: sum(r.mix_source == s for r in got) for s in {r.mix_source for r in got}}
+    due = {(s, b): slot for slot, s, b in mixing.schedule({s: -(-n // 4) for s, n in sizes.items()}, {"s0": 0.7, "s1": 0.2})}
+    assert all(r.mix_block == r.mix_rank // 4 and due[r.mix_source, r.mix_block] == r.mix_slot for r in got)
     ordered = mixing.in_order(docs, block=4)
     assert ordered.columns == docs.columns and ordered.count() == 306
+    places = {(r.row.doc_id, r.row.source): r.mix_position for r in mixing.mix(docs, block=4).collect()}
+    in_files = [places[r.doc_id, r.source] for r in ordered.collect() if (r.doc_id or 9) >= 5]
+    assert in_files == sorted(in_files)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.in_order(docs.limit(0)).count() == 0
 
 
