@@ -145,18 +145,24 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, modulus: int
     return known.groupBy(key.alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``sample`` (``id, label, ...``) with the ``text`` of each id, read once and written; of an id that comes with several texts the smallest."""
+    sample = materialise(sample, "sample")
+    # the sample has a proven size bound, so it may be broadcast
+    met = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    return materialise(met.groupBy(*sample.columns).agg(F.min("text").alias("text")), "sampled-texts")
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int = 1, rows: int = SAMPLE) -> Trees:
     """Fit on a bounded sample of the labelled rows whose ``crc32(id) % modulus`` is not ``held_out``."""
-    sample = materialise(labelled_sample(labels, label_col, id_col, modulus, held_out, rows), "quality-labels")
+    texts = sampled_texts(docs, labelled_sample(labels, label_col, id_col, modulus, held_out, rows), id_col, text_col)
 
     def run(batches):
         for batch in batches:
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
-    # The sample has a proven size bound, so it may be broadcast.
-    joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
-    found = joined.mapInArrow(run, "label int, x array<double>").toPandas()
+    found = texts.select("label", "text").mapInArrow(run, "label int, x array<double>").toPandas()
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = found["label"].to_numpy(dtype=float)
     order = np.lexsort((*x.T, y))  # the same rows give the same trees, in whatever order they arrive

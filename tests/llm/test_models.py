@@ -88,6 +88,58 @@ def test_kneser_ney_sums_to_one():
     assert len(model.differences(["a"])) == 1 and len(model.differences([])) == 0
 
 
+def plain_kneser_ney(counts, others, word):
+    """log P(word) under one class, by dictionaries: ``counts`` and ``others`` are {word: times} of this class and of the other."""
+    begin, end = "<", ">"
+    alphabet = set("".join([*counts, *others]))
+    pooled = {w: counts.get(w, 0) + others.get(w, 0) for w in {*counts, *others}}
+    known = lambda w: begin + "".join(c if c in alphabet else "?" for c in w) + end
+
+    def grams(table, n):
+        raw, kinds = {}, {}
+        for w, times in table.items():
+            s = known(w)
+            for i in range(n - 1, len(s)):
+                if times:
+                    g = s[i - n + 1 : i + 1]
+                    raw[g] = raw.get(g, 0) + times
+                    if i >= n:
+                        kinds.setdefault(g, set()).add(s[i - n])
+        if n == toxicity.ORDER:
+            return raw
+        return {g: v if g[0] == begin or g not in kinds else len(kinds[g]) for g, v in raw.items()}
+
+    met = {}
+    for w in {*counts, *others}:
+        s = known(w)
+        for a, b in zip(s, s[1:], strict=False):
+            met.setdefault(b, set()).add(a)
+    shared = {c: len(met.get(c, ())) + 0.5 for c in met}
+    total = sum(len(v) for v in met.values()) + 0.5 * 2**toxicity._BITS
+    tables = {n: grams(pooled if n <= toxicity.SHARED else counts, n) for n in range(2, toxicity.ORDER + 1)}
+    out, s = 0.0, known(word)
+    for i in range(1, len(s)):
+        p = shared.get(s[i], 0.5) / total
+        for n in range(2, min(toxicity.ORDER, i + 1) + 1):
+            gram = s[i - n + 1 : i + 1]
+            after = {g: v for g, v in tables[n].items() if g[:-1] == gram[:-1]}
+            if not after:
+                continue
+            p = (max(tables[n].get(gram, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * p) / sum(after.values())
+        out += np.log(p)
+    return out
+
+
+def test_kneser_ney_against_dictionaries():
+    words = ["idiot", "idea", "ideal", "the", "then", "moron", "idiotic", "a", "an"]
+    toxic, ordinary = np.array([5.0, 0, 0, 3, 1, 4, 2, 0, 1]), np.array([0.0, 4, 2, 9, 3, 0, 0, 7, 1])
+    model = toxicity.fit_models(words, toxic, ordinary)
+    sides = [{w: int(n) for w, n in zip(words, x, strict=True) if n} for x in (toxic, ordinary)]
+    asked = [*words, "zzz", "idiots", "b", "thenidiot", "x"]
+    want = [plain_kneser_ney(sides[0], sides[1], w) - plain_kneser_ney(sides[1], sides[0], w) for w in asked]
+    assert model.differences(asked) == pytest.approx(want, abs=1e-9)
+
+
 # -- language models -----------------------------------------------------------
 
 
