@@ -184,6 +184,13 @@ class Model:
 
     def normalise(self, data: bytes, prefix: bool = True) -> tuple[bytes, list[int]]:
         """Normalised bytes and, for each of them and the end, its place in ``data``."""
+        space = _MARK if self.escape else b" "
+        if not self.map.units and not self.squeeze and data:
+            try:
+                data.decode()
+                return self._identity(data, space, prefix)
+            except UnicodeDecodeError:
+                pass  # stray bytes are replaced below
         out, source, at = bytearray(), [], 0
         if self.squeeze:
             while at < len(data):
@@ -193,7 +200,6 @@ class Model:
                 at += size
         if at >= len(data):
             return b"", [at]
-        space = _MARK if self.escape else b" "
         if prefix and self.dummy_prefix:
             out += space
             source += [at] * len(space)
@@ -217,6 +223,19 @@ class Model:
                 del source[len(out) :]
         return bytes(out), [*source, at]
 
+    def _identity(self, data: bytes, space: bytes, prefix: bool) -> tuple[bytes, list[int]]:
+        """``normalise`` where the map is empty: every character stands for itself, only spaces are written otherwise."""
+        before = space if prefix and self.dummy_prefix else b""
+        source, at, wide = [0] * len(before), 0, len(space)
+        for n, word in enumerate(data.split(b" ")):
+            if n:
+                source += [at] * wide
+                at += 1
+            source += range(at, at + len(word))
+            at += len(word)
+        source.append(at)
+        return before + data.replace(b" ", space), source
+
     # -- merges ------------------------------------------------------------
 
     def merge(self, text: str) -> list[str]:
@@ -279,16 +298,18 @@ class Model:
     def encode_spans(self, data: bytes, prefix: bool = True) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece; of an unknown character's bytes the last has its span."""
         normal, source = self.normalise(data, prefix)
-        out, at = [], 0
+        out, at, begin, lookup = [], 0, source[0], self.lookup
         for piece in self.merge(normal.decode()):
-            ids, size = self._ids(piece), len(piece.encode())
-            begin, end = source[at], source[at + size]
-            out += [(i, begin, begin) for i in ids[:-1]]
-            if ids == [self.unk] and out and out[-1][0] == self.unk:
-                out[-1] = (self.unk, out[-1][1], end)
-            else:
-                out.append((ids[-1], begin, end))
-            at += size
+            at += len(piece) if piece.isascii() else len(piece.encode())
+            end = source[at]
+            last = lookup.get(piece)
+            if last is None:
+                *spelt, last = self._ids(piece)
+                out += [(i, begin, begin) for i in spelt]
+                if not spelt and last == self.unk and out and out[-1][0] == self.unk:
+                    begin = out.pop()[1]
+            out.append((last, begin, end))
+            begin = end
         return out
 
     def decode_bytes(self, ids) -> bytes:
@@ -356,21 +377,8 @@ class _Memory(dict):
 
     def _encoded(self, chunk: str) -> bytes:
         flat = array("i")
-        if self.model.map.units:
-            for i, begin, end in self.model.encode_spans(chunk.encode(), prefix=False):
-                flat.extend((i, end - begin))
-        else:  # without a map every character stands for itself
-            lookup, at = self.model.lookup, 0
-            for piece in self.model.merge(chunk.replace(" ", MARK)):
-                to = at + len(piece)
-                size = len(chunk[at:to].encode())
-                i = lookup.get(piece)
-                if i is None:
-                    *first, i = self.model._ids(piece)
-                    for byte in first:
-                        flat.extend((byte, 0))
-                flat.extend((i, size))
-                at = to
+        for i, begin, end in self.model.encode_spans(chunk.encode(), prefix=False):
+            flat.extend((i, end - begin))
         return flat.tobytes()
 
 
