@@ -7,10 +7,12 @@ begin with the shorter one, the template has rewritten history, and the turn is
 marked as such.  The text inside a turn is found the same way, from renderings
 with an empty text in its place.
 
-Every prefix is rendered whole, so a conversation of n turns takes n renderings of
-up to n turns and is held in memory.  Only where a template is known to look back
-at no more than ``Template.context`` turns may that bound be given; turns before it
-are then neither rendered nor compared.
+Every prefix is rendered whole, so a conversation of n turns takes 3 n renderings of
+up to n turns and is held in memory.  A template that is said to look back at no
+more than ``Template.context`` turns is rendered over those alone, which takes time
+in proportion to n; the claim is not trusted: what such a conversation comes to is
+compared with one rendering of all its turns, and where they differ every prefix is
+rendered whole after all.
 """
 
 from __future__ import annotations
@@ -73,6 +75,8 @@ class Template:
 
 
 HOUSE = Template()
+#: Rows of an outgoing batch, about.
+_ROWS = 5_000
 #: Two texts (characters of private use) whose renderings show where a turn's own marks end and begin.
 _PROBES = ("\ue000", "\ue001")
 
@@ -83,15 +87,16 @@ class Piece:
     content_begin: int
     content_end: int
     rewrites: bool
+    placed: bool
 
 
 class Incremental:
-    """Renders one conversation turn by turn."""
+    """Renders one conversation turn by turn, over ``template.context`` turns before each where that is given."""
 
     def __init__(self, template: Template = HOUSE) -> None:
         self.template = template
         self.window: deque[Turn] = deque(maxlen=template.context)
-        self.before = template.render([])
+        self.before = self.opening = template.render([])
         self.whole = template.context is None
 
     def add(self, turn: Turn) -> Piece:
@@ -106,20 +111,26 @@ class Incremental:
         one, two = (show([*past, (turn[0], p)])[common:] for p in _PROBES)
         head = len(commonprefix((one, two)))
         tail = len(commonprefix((one[head:][::-1], two[head:][::-1])))
-        begin, end = (head, len(piece) - tail) if one != two and head + tail <= len(piece) else (0, len(piece))
+        # a template that does not show a text as it is has no span for it
+        placed = one != two and head + tail <= len(piece)
+        begin, end = (head, len(piece) - tail) if placed else (0, 0)
         self.window.append(turn)
         if self.whole:
             self.before = after
-        return Piece(piece, begin, end, rewrites)
+        return Piece(piece, begin, end, rewrites, placed)
 
 
 def rendered(turns: list[Turn], template: Template = HOUSE) -> list[Piece]:
+    """The pieces of a conversation; a bound on what the template looks back at is checked against the whole rendering."""
     held = Incremental(template)
-    return [held.add(t) for t in turns]
+    pieces = [held.add(t) for t in turns]
+    if template.context is None or (not any(p.rewrites for p in pieces) and held.opening + "".join([p.text for p in pieces]) == template.render(turns)):
+        return pieces
+    return rendered(turns, Template(template.render))
 
 
-PIECES = "conv_id long, turn_index long, role string, piece string, begin long, end long, loss_begin long, loss_end long, rewrites boolean"
-_PIECE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+PIECES = "conv_id long, turn_index long, role string, piece string, begin long, end long, loss_begin long, loss_end long, rewrites boolean, placed boolean"
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
 
 def _emit(rows, schema: str, types) -> pa.RecordBatch:
@@ -133,26 +144,37 @@ def format_turns(conversations: DataFrame, template: Template = HOUSE, trained:
     ``piece`` is what the turn adds to the conversation's output (the output is
     the pieces in order); ``begin`` and ``end`` are its span there in characters;
     ``loss_begin`` and ``loss_end`` the span of a trained turn's text, else null;
-    ``rewrites`` marks a turn whose rendering changed what came before.
+    ``rewrites`` marks a turn whose rendering changed what came before; ``placed``
+    is false where the template does not show the text in one place, which then has
+    no span, so nothing but a text is ever trained on.
 
     Turns go by ``turn`` (null first), then role, then text, so ties and repeated
     rows have one order; each row is a turn.  Null texts and roles count as
     empty; rows of a null ``conv_id`` are one conversation.
     """
 
+    def rows_of(key, turns):
+        at = 0
+        for index, ((role, _), p) in enumerate(zip(turns, rendered(turns, template), strict=True)):
+            loss = role in trained and p.placed
+            yield key, index, role, p.text, at, at + len(p.text), at + p.content_begin if loss else None, at + p.content_end if loss else None, p.rewrites, p.placed
+            at += len(p.text)
+
     def run(batches):
-        held, index, at, conv = None, 0, 0, object()
+        turns, conv, rows = [], None, []
         for batch in batches:
-            rows = []
             for key, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held is None or key != conv:
-                    held, index, at, conv = Incremental(template), 0, 0, key
-                p = held.add((role, text))
-                loss = role in trained
-                rows.append((key, index, role, p.text, at, at + len(p.text), at + p.content_begin if loss else None, at + p.content_end if loss else None, p.rewrites))
-                index, at = index + 1, at + len(p.text)
-            if rows:
-                yield _emit(rows, PIECES, _PIECE_TYPES)
+                if turns and key != conv:
+                    rows += rows_of(conv, turns)
+                    turns = []
+                    if len(rows) >= _ROWS:
+                        yield _emit(rows, PIECES, _PIECE_TYPES)
+                        rows = []
+                conv = key
+                turns.append((role, text))
+        rows += rows_of(conv, turns)
+        for i in range(0, len(rows), _ROWS):
+            yield _emit(rows[i : i + _ROWS], PIECES, _PIECE_TYPES)
 
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -161,8 +183,8 @@ def format_turns(conversations: DataFrame, template: Template = HOUSE, trained:
     return ordered.select("conv_id", "role", "text").mapInArrow(run, PIECES)
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long"
-_DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long, n_unplaced long"
+_DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -173,17 +195,17 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
     class State:
         def __init__(self, key):
-            self.key, self.n, self.chars, self.size, self.rewrites = key, 0, 0, 0, 0
+            self.key, self.n, self.chars, self.size, self.rewrites, self.unplaced = key, 0, 0, 0, 0, 0
             self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
         def row(self):
-            return self.key, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size, self.rewrites
+            return self.key, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size, self.rewrites, self.unplaced
 
     def run(batches):
         state = None
         for batch in batches:
             done = []
-            for key, piece, begin, loss_begin, loss_end, rewrites in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, piece, begin, loss_begin, loss_end, rewrites, placed in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if state is None or key != state.key:
                     if state is not None:
                         done.append(state.row())
@@ -193,6 +215,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
                 state.n += 1
                 state.size += len(piece)
                 state.rewrites += rewrites
+                state.unplaced += not placed
                 if loss_begin is not None:
                     text = unescape(piece[loss_begin - begin : loss_end - begin])
                     state.chars += len(text)
@@ -202,4 +225,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if state is not None:
             yield _emit([state.row()], DIGESTS, _DIGEST_TYPES)
 
-    return pieces.select("conv_id", "piece", "begin", "loss_begin", "loss_end", "rewrites").mapInArrow(run, DIGESTS)
+    return pieces.select("conv_id", "piece", "begin", "loss_begin", "loss_end", "rewrites", "placed").mapInArrow(run, DIGESTS)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 ORDER = 5
+#: Size of the vocabulary at least.
 SYMBOLS = 128
 #: Bits of a symbol in a gram's key, which is two whole numbers: the first two symbols, and the last three.
 BITS = 21
@@ -38,118 +39,16 @@ CHUNK = 16_000_000
 _STEP = 4_000_000
 #: Grams that a task sums up before it passes them on.
 _HELD = 2_000_000
-#: Slots of a hashed table (see ``slots``); grams of up to ``EXACT`` characters need no hash.
-SLOTS, EXACT = 1 << 21, 3
-#: Symbol 0 stands before a text, symbol 1 for characters outside the vocabulary.
-_START, _UNKNOWN = 0, 1
-_CODES = 0x110000
+#: Symbol 0 stands before a text.
+_START = 0
 #: Strength of the lower order in each context, in tokens.
 PRIOR = 4.0
-#: Characters looked at together.
-_TOGETHER = 500_000
 
 
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Symbol of every code point: the most frequent characters of all texts, ties to the smaller code point."""
-
-    def run(batches):
-        counts = np.zeros(_CODES, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    codes = _code_points(text)
-                    n = np.bincount(codes)
-                    counts[: len(n)] += n
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["code", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.col("n").desc(), "code").limit(SYMBOLS - 2).collect()
-    table = np.full(_CODES, _UNKNOWN, dtype=np.int32)
-    for i, row in enumerate(sorted(r["code"] for r in top)):
-        table[row] = i + 2
-    return table
-
-
-def _slot(key: np.ndarray, length: int) -> np.ndarray:
-    if length <= EXACT:
-        return key
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
-
-
-def keys(symbols: np.ndarray) -> list[np.ndarray]:
-    """For each length from 0 to ``ORDER`` the key of the gram that ends at each symbol; texts begin with start symbols."""
-    padded = np.concatenate((np.full(ORDER, _START, dtype=np.int64), symbols))
-    n = len(symbols)
-    out = [np.zeros(n, dtype=np.int64)]
-    for back in range(ORDER):
-        at = ORDER - back
-        out.append(out[-1] + (padded[at : at + n] << (7 * back)))
-    return out
-
-
-def contexts(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Key of the ``length`` symbols before each symbol."""
-    padded = np.concatenate((np.full(ORDER, _START, dtype=np.int64), symbols))
-    n, key = len(symbols), np.zeros(len(symbols), dtype=np.int64)
-    for back in range(length):
-        at = ORDER - 1 - back
-        key += padded[at : at + n] << (7 * back)
-    return key
-
-
-#: What is counted: (name, length, whether it is a context).
-TABLES = [(f"g{n}", n, False) for n in range(EXACT, ORDER + 1)] + [(f"h{n}", n - 1, True) for n in range(EXACT + 1, ORDER + 1)]
-
-
-def _parts(symbols: np.ndarray):
-    """Pieces of a long text with the symbols before them, and how many of those to leave out."""
-    for at in range(0, len(symbols), _TOGETHER):
-        first = max(0, at - ORDER)
-        yield symbols[first : at + _TOGETHER], at - first
-
-
-def slots(symbols: np.ndarray) -> dict[str, np.ndarray]:
-    """Slot in every hashed table of each symbol of a text.  Only tests use ``slots``, ``counts`` and ``vocabulary``: the models count grams exactly, of all characters."""
-    if len(symbols) <= _TOGETHER:
-        by_length = keys(symbols)
-        return {name: _slot(contexts(symbols, n) if context else by_length[n], n) for name, n, context in TABLES}
-    found = [{name: v[skip:] for name, v in slots(part).items()} for part, skip in _parts(symbols)]
-    return {name: np.concatenate([f[name] for f in found]) for name, _, _ in TABLES}
-
-
-def counts(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Every hashed table's counts over all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def count(batches):
-        held = {name: np.zeros(SLOTS, dtype=np.int64) for name, _, _ in TABLES}
-        for batch in batches:
-            for text in batch.column(0):
-                symbols = sent.value[_code_points(text.as_py() or "")]
-                for part, skip in _parts(symbols):
-                    for name, where in slots(part).items():
-                        np.add.at(held[name], where[skip:], 1)
-        for t, (name, _, _) in enumerate(TABLES):
-            met = np.flatnonzero(held[name])
-            for at in range(0, len(met), 100_000):
-                some = met[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(held[name][some])], names=["t", "slot", "n"])
-
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "t int, slot int, n long")
-    found = parts.groupBy("t", "slot").agg(F.sum("n").alias("n")).toArrow()
-    which, slot, n = (found.column(c).to_numpy() for c in ("t", "slot", "n"))
-    out = {}
-    for t, (name, _, _) in enumerate(TABLES):
-        out[name] = np.zeros(SLOTS, dtype=np.float32)
-        out[name][slot[which == t]] = n[which == t]
-    return out
-
-
 def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (code points and one) of texts one after the other, each behind start symbols, and the number of symbols of each text."""
     starts = np.full(ORDER - 1, _START, dtype=np.int32)
@@ -379,7 +278,13 @@ def _scored(texts: list[str | None], hi: np.ndarray, lo: np.ndarray, bits: tuple
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, loss_target, loss_background, difference`` (bits a token) for every row and whole text."""
+    """``id, n_tokens, loss_target, loss_background, difference`` (bits a token) for every row and whole text.
+
+    Rows that repeat are scored as often as they come, each for itself; there is
+    nothing to tie.  A null or empty text has no tokens and losses of 0; an empty
+    table gives an empty result.  Other columns, whatever their names, are neither
+    read nor returned.
+    """
     chunks = materialise(_chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "lm-chunks")
     met = chunks.select("chunk", "text").mapInArrow(_counted, "chunk long, hi long, lo long, n long")
     asked = materialise(met.drop("n"), "lm-asked")

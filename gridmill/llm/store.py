@@ -20,13 +20,19 @@ _folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Where the setting is absent, the folder given to ``setCheckpointDir`` is taken;
+    where neither is there, a temporary folder, but only on one machine (tests):
+    executors elsewhere would not see each other's files, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not base and given.isDefined():
+            base = given.get()
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="gridmill-")
         _folders[app] = f"{base.rstrip('/')}/gridmill-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])

@@ -78,6 +78,22 @@ def test_flattened_trees_against_a_walk():
         assert total == pytest.approx(raw)
 
 
+def test_first_split_against_brute_force():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 4))
+    y = (x[:, 2] + 0.3 * rng.normal(size=120) > 0.2).astype(float)
+    trees = quality.fit(x, y, rounds=1, depth=1, rate=1.0, bins=8)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    best = max(
+        ((g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1), f, cut) for f in range(4) for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])) for low in [x[:, f] <= cut]),
+        key=lambda b: b[0],
+    )
+    assert (trees.feature[0, 0], trees.threshold[0, 0]) == best[1:]
+    low = x[:, best[1]] <= best[2]
+    assert trees.leaf[0].tolist() == pytest.approx([g[s].sum() / (h[s].sum() + 1) for s in (low, ~low)])
+
+
 def test_kneser_ney_sums_to_one():
     words = ["idiot", "idea", "ideal", "the", "then", "moron"]
     model = toxicity.fit_models(words, np.array([5.0, 0, 0, 3, 1, 4]), np.array([0.0, 4, 2, 9, 3, 0]))
@@ -143,30 +159,6 @@ def test_kneser_ney_against_dictionaries():
 # -- language models -----------------------------------------------------------
 
 
-def test_language_model_against_plain_counts(spark):
-    texts = ["abab", "abc", "", None, "xyz" * 300, "é日"]
-    docs = spark.createDataFrame([(i, t, None, 1, "s", 2, "r") for i, t in enumerate(texts)], DOCS).repartition(3)
-    table = lm_scoring.vocabulary(docs)
-    found = lm_scoring.counts(docs, table)
-    for name, n, context in lm_scoring.TABLES:
-        want = np.zeros(lm_scoring.SLOTS)
-        for t in texts:
-            s = [0] * lm_scoring.ORDER + [int(table[ord(c)]) for c in t or ""]
-            for i in range(lm_scoring.ORDER, len(s)):
-                part = s[i - n : i] if context else s[i - n + 1 : i + 1]
-                key = sum(v << (7 * (n - 1 - k)) for k, v in enumerate(part))
-                want[lm_scoring._slot(np.array([key]), n)[0]] += 1
-        assert np.array_equal(found[name], want), name
-
-
-def test_long_texts_are_cut_without_a_trace(monkeypatch):
-    symbols = np.random.default_rng(0).integers(1, 128, 997)
-    whole = lm_scoring.slots(symbols)
-    monkeypatch.setattr(lm_scoring, "_TOGETHER", 100)
-    cut = lm_scoring.slots(symbols)
-    assert all(np.array_equal(whole[k], cut[k]) for k in whole)
-
-
 def test_language_model_scores(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat " * 5, None, 1, "s", 2, "r"), (2, "zqx jkv wpq " * 9, None, 1, "s", 2, "r"), (3, None, None, 1, "s", 2, "r"), (None, "", None, 1, "s", 2, "r")], DOCS)
     models = lm_scoring.fit(docs.where("doc_id = 1").select("text"), docs)
@@ -329,6 +321,27 @@ def test_prefixes_are_compared_unless_a_bound_is_given():
     assert chat.HOUSE.context is None
 
 
+def test_a_bound_is_not_trusted():
+    def last_only(turns):
+        return "".join(f"[{r}]{'...' if i < len(turns) - 1 else t}" for i, (r, t) in enumerate(turns))
+
+    turns = [("u", "one"), ("a", "two"), ("u", "three")]
+    for context in (0, 1, 2, None):
+        pieces = chat.rendered(turns, chat.Template(last_only, context))
+        assert [p.rewrites for p in pieces] == [False, True, True]
+    # and one that holds gives what whole prefixes give
+    assert chat.rendered(turns, chat.Template(chat.render, 0)) == chat.rendered(turns)
+
+
+def test_texts_without_a_place_have_no_span(spark):
+    twice = chat.Template(lambda turns: "".join(f"({t.upper()}|{len(t)})" for _, t in turns))
+    hidden = chat.Template(lambda turns: "*" * len(turns))
+    assert [p.placed for p in chat.rendered([("a", "xy")], hidden)] == [False]
+    assert [p.text[p.content_begin : p.content_end] for p in chat.rendered([("a", "xy")], twice)] == ["XY"]
+    rows = chat.format_turns(spark.createDataFrame([(1, 0, "assistant", "t")], "conv_id long, turn long, role string, text string"), hidden).collect()
+    assert [(r.loss_begin, r.loss_end, r.placed) for r in rows] == [(None, None, False)]
+
+
 def test_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, piece string, begin int"
     rows = [(1, 0, "user", "hi", "p", 0), (1, 1, "assistant", "<|end|>\n", "p", 0), (1, 1, "assistant", "<|end|>\n", "p", 0), (1, None, None, None, "p", 0), (None, 0, "assistant", None, "p", 0), (2, 5, "assistant", "é" * 50_000, "p", 0), (2, 4, "system", "\\", "p", 0)]
