@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions.paths import checked_path
-from .operators import decide, documents, export, tables
+from .operators import decide, documents, evaluate, export, tables
+from .plans import store
 from .plans.extraction import Extraction, extract
+from .plans.manifest import load_manifest
 from .plans.profile import Profile, builtin_profiles, load
 from .sources import files
 
@@ -24,9 +28,10 @@ def _source(path: str) -> str:
     return path if "://" in path else checked_path(path)
 
 
-def parsed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All documents below ``path``, parsed once and kept."""
-    return files.load(spark, _source(path)).persist()
+def parsed_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All documents below ``path`` (or each of several), parsed once: what was read lies in shared storage."""
+    found = files.load(spark, [_source(p) for p in path] if isinstance(path, list) else _source(path))
+    return store.materialise(found, "parsed-documents")
 
 
 def page_count(spark: SparkSession, path: str) -> DataFrame:
@@ -35,11 +40,18 @@ def page_count(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_text(spark: SparkSession, path: str, page: int | None = None) -> DataFrame:
-    """``doc_id, page, text, warning`` of PDF pages; the warning is there where no page of the document has text."""
+    """``doc_id, page, text, warning`` of PDF pages; the warning is there where no page of the document has text.
+
+    A document that has no such ``page`` has one row, without text, whose warning says so.
+    """
     parsed = parsed_documents(spark, path).where("type = 'pdf'")
     silent = ~F.exists("texts", lambda t: F.trim(t["text"]) != "")
     found = parsed.select("doc_id", F.when(silent, F.lit(documents.NO_PAGE_TEXT)).alias("warning"), F.inline("texts"))
-    return documents.select_page(found, page).select("doc_id", "page", "text", "warning")
+    chosen = documents.select_page(found, page).select("doc_id", "page", "text", "warning")
+    if page is None:
+        return chosen
+    beyond = F.concat(F.lit("page must be between 1 and "), F.col("pages").cast("string"), F.lit(f" (received {page})"))
+    return chosen.unionByName(parsed.where(F.col("pages") < page).select("doc_id", F.lit(page).alias("page"), F.lit(None).cast("string").alias("text"), beyond.alias("warning")))
 
 
 def extract_docx_text(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +103,7 @@ def list_extraction_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(builtin_profiles(), "id string, version string, description string, columns array<string>, sha256 string")
 
 
-def extract_with_profile(spark: SparkSession, path: str, profile: str | dict | Profile = "lab-coa-v1") -> tuple[Extraction, DataFrame]:
+def extract_with_profile(spark: SparkSession, path: str | list[str], profile: str | dict | Profile = "lab-coa-v1") -> tuple[Extraction, DataFrame]:
     """The extraction and the documents (with hash and fingerprint) of everything below ``path``.
 
     A file that cannot be read is a rejected document with its error.
@@ -104,6 +116,67 @@ def extract_with_profile(spark: SparkSession, path: str, profile: str | dict | P
     return extract(docs, found, rows, checked), docs
 
 
+#: Fixed value: what a report says of itself.
+PRIVACY = "Report contains hashes and metrics, not extracted or expected cell values."
+
+
+def evaluate_manifest(spark: SparkSession, path: str, output: str | None = None) -> dict:
+    """The report of a manifest's cases held against their ground truth: metrics, minimums and whether they are reached.
+
+    The cases are one batch, whatever their number.  A document that cannot be
+    read is a rejected case.  With ``output`` the report is also stored as a local
+    JSON file.
+    """
+    manifest = load_manifest(path)
+    expected, cases = manifest.frames(spark)
+    documents = sorted(r["document"] for r in cases.select("document").collect())
+    found, docs = extract_with_profile(spark, documents, manifest.profile)
+    named = docs.select("doc_id", "sha256", "fingerprint", F.regexp_replace("doc_id", "^file:/+", "/").alias("document"))
+    placed = cases.join(named, "document", "left")
+    values = found.record_fields.join(placed.select("case_id", "doc_id"), "doc_id")
+    predicted = values.select("case_id", F.col("record_index").alias("row"), F.col("name").alias("field"), "value")
+    decisions = placed.join(found.documents.select("doc_id", "decision"), "doc_id", "left").select("case_id", F.coalesce("decision", F.lit("rejected")).alias("decision"), "expected_decision")
+    counts = store.materialise(evaluate.case_counts(predicted, expected, decisions), "case-counts")
+    by_case = {r["case_id"]: r for r in evaluate.metrics(counts, by_case=True).collect()}
+    facts = {r["case_id"]: r for r in counts.join(placed.select("case_id", "sha256", "fingerprint"), "case_id").collect()}
+    gate = evaluate.gate(evaluate.metrics(counts), manifest.minimums).first()
+    engine = {"name": ENGINE, "version": __version__}
+    report = {
+        "evaluation_report_schema_version": "1.0",
+        "evidence_label": manifest.label,
+        "passed": gate["passed"],
+        "gridmill_version": __version__,
+        "evaluation_manifest_sha256": manifest.sha256,
+        "profile": {"id": manifest.profile.raw["id"], "version": manifest.profile.raw["version"], "sha256": manifest.profile.sha256},
+        "metrics": {m: gate[m] for m in evaluate.METRICS},
+        "minimums": manifest.minimums,
+        "cases": [_case_report(facts[c["id"]], by_case[c["id"]], engine) for c in manifest.cases],
+        "privacy": PRIVACY,
+    }
+    found.release()
+    if output:
+        place = checked_path(output)
+        os.makedirs(os.path.dirname(place) or ".", exist_ok=True)
+        with open(place, "w", encoding="utf-8") as file:
+            file.write(json.dumps(report, indent=2) + "\n")
+    return report
+
+
+def _case_report(fact, rates, engine: dict) -> dict:
+    return {
+        "id": fact["case_id"],
+        "document_sha256": fact["sha256"],
+        "extraction_fingerprint": fact["fingerprint"],
+        "engine": engine,
+        "decision": fact["decision"],
+        "expected_decision": fact["expected_decision"],
+        "decision_correct": bool(fact["decision_correct"]),
+        "expected_records": fact["expected_records"],
+        "extracted_records": fact["predicted_records"],
+        **{m: rates[m] for m in ("field_precision", "field_recall", "field_f1", "exact_record_rate")},
+    }
+
+
 def export_document_tables(spark: SparkSession, path: str, output: str, kind: str, merge_multipage: bool = True) -> DataFrame:
     """Write all tables below ``path`` as xlsx, csv or json below ``output``; returns a row per document."""
     found = extract_tables(spark, path, merge_multipage=merge_multipage)
@@ -135,8 +208,6 @@ def export_with_profile(spark: SparkSession, path: str, profile: str | dict | Pr
 
 def save_workbooks(workbooks: DataFrame, folder: str) -> int:
     """Store ``doc_id, content`` as files of a local folder, one at a time; returns how many."""
-    import os
-
     root = checked_path(folder)
     os.makedirs(root, exist_ok=True)
     n = 0

@@ -7,13 +7,15 @@ convert stays as it was read.
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from ..plans.profile import Column as Field
 
@@ -45,13 +47,31 @@ def _compare_long(value: pd.Series, bound: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else int(Decimal(v).compare(Decimal(b))) for v, b in zip(value, bound, strict=True)], dtype="Int32")
 
 
-def canonical_integer(raw: Column) -> Column:
-    """Digits without leading zeros, with a minus sign; null where it is no whole number."""
+@pandas_udf(StringType())
+def _exotic_integer(raw: pd.Series) -> pd.Series:
+    """Digits of whole numbers written in digits of other scripts."""
+    return raw.map(lambda text: None if text is None else str(int(text)))
+
+
+def plain_integer(raw: Column) -> Column:
+    """Digits without leading zeros, with a minus sign; null where they are no ASCII digits."""
     digits = F.regexp_replace(raw, r"^[+-]?0*(?=[0-9])", "")
     value = F.when(raw.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
     return F.when(raw.rlike(r"^[+-]?[0-9]+$") & ~raw.contains("\n"), value)
 
 
+def _other_digits(raw: Column, plain: Column) -> Column:
+    """Whole numbers in digits of other scripts; only those go through an Arrow function."""
+    odd = F.when(plain.isNull() & raw.rlike(r"(?U)^[+-]?\d+\z"), raw)
+    return F.when(odd.isNotNull(), _exotic_integer(odd))
+
+
+def canonical_integer(raw: Column) -> Column:
+    """Digits without leading zeros, with a minus sign; null where it is no whole number."""
+    plain = plain_integer(raw)
+    return F.coalesce(plain, _other_digits(raw, plain))
+
+
 def plain_decimal(raw: Column) -> Column:
     """Canonical text of decimals in plain notation, zeros after the point kept; else null."""
     body = F.regexp_replace(raw, r"^[+-]", "")
@@ -62,13 +82,16 @@ def plain_decimal(raw: Column) -> Column:
     return F.when(raw.rlike(_PLAIN) & ~raw.contains("\n"), text)
 
 
-def canonical_decimal(raw: Column, exotic: bool = True) -> Column:
-    """As ``plain_decimal``; exponents, underscores and other digits go through an Arrow function, and only those."""
-    plain = plain_decimal(raw)
-    if not exotic:
-        return plain
+def _other_decimals(raw: Column, plain: Column) -> Column:
+    """Decimals with exponents, underscores or other digits; only those go through an Arrow function."""
     odd = F.when(plain.isNull() & raw.rlike(_EXOTIC), raw)
-    return F.coalesce(plain, F.when(odd.isNotNull(), _exotic_decimal(odd)))
+    return F.when(odd.isNotNull(), _exotic_decimal(odd))
+
+
+def canonical_decimal(raw: Column) -> Column:
+    """As ``plain_decimal``, in whatever notation the number is written."""
+    plain = plain_decimal(raw)
+    return F.coalesce(plain, _other_decimals(raw, plain))
 
 
 def canonical_boolean(raw: Column) -> Column:
@@ -98,23 +121,44 @@ def _date_format(directive: str) -> tuple[str, str]:
     return pattern, shape + "$"
 
 
+def _any_date(formats: tuple[str, ...]):
+    """Function that reads dates by directives which Spark's patterns do not have."""
+
+    def one(text):
+        for f in formats:
+            try:
+                return datetime.strptime(text, f).date().isoformat()
+            except (ValueError, TypeError):
+                pass
+        return None
+
+    @pandas_udf(StringType())
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(one)
+
+    return read
+
+
 def canonical_date(raw: Column, formats: tuple[str, ...]) -> Column:
     """ISO text by the first format that reads it, else null."""
+    try:
+        shapes = [_date_format(f) for f in formats]
+    except ValueError:
+        return _any_date(tuple(formats))(raw)
     tried = []
-    for f in formats:
-        pattern, shape = _date_format(f)
+    for pattern, shape in shapes:
         tidy = F.initcap(raw) if "MMM" in pattern else raw
         tried.append(F.when(raw.rlike(shape), F.try_to_date(tidy, pattern)))
     return F.date_format(F.coalesce(*tried), "yyyy-MM-dd")
 
 
-def canonical(raw: Column, field: Field) -> Column:
-    """Canonical text of ``raw``, null where it is not of the field's type."""
+def plain(raw: Column, field: Field) -> Column:
+    """Canonical text as far as it needs no Python; null where it is not of the field's type, or in other notation."""
     match field.kind:
         case "integer":
-            return canonical_integer(raw)
+            return plain_integer(raw)
         case "decimal":
-            return canonical_decimal(raw)
+            return plain_decimal(raw)
         case "boolean":
             return canonical_boolean(raw)
         case "date":
@@ -122,6 +166,21 @@ def canonical(raw: Column, field: Field) -> Column:
     return raw
 
 
+def completed(raw: Column, simple: Column, field: Field) -> Column:
+    """Canonical text from ``simple`` (what ``plain`` gave, best a column of its own) and, where it is null, from other notations."""
+    match field.kind:
+        case "integer":
+            return F.coalesce(simple, _other_digits(raw, simple))
+        case "decimal":
+            return F.coalesce(simple, _other_decimals(raw, simple))
+    return simple
+
+
+def canonical(raw: Column, field: Field) -> Column:
+    """Canonical text of ``raw``, null where it is not of the field's type."""
+    return completed(raw, plain(raw, field), field)
+
+
 def _sign(value: Column, bound: Decimal) -> Column:
     """-1, 0 or 1 as a canonical number is below, at or above ``bound``; exact at any length."""
     limit = format(bound, "f")
@@ -133,6 +192,24 @@ def _sign(value: Column, bound: Decimal) -> Column:
     return F.coalesce(quick, F.when(slow.isNotNull(), _compare_long(slow, F.lit(limit))))
 
 
+#: Patterns that Java reads as Python does: plain characters, digits, simple classes, groups, repeats and alternatives.
+_COMMON = re.compile(r"(?:[A-Za-z0-9 _#%@,:;/'\"=!~-]|\\[.\-+*?()\[\]{}|^$\\/d]|\[\^?(?:[A-Za-z0-9 _.#%@,:;/+*()-]|\\[.\-\]\\/d])+\]|\((?!\?)|\(\?:|[)|.]|[*+?]\??|\{[0-9]+(?:,[0-9]*)?\})*")
+
+
+def _matches(value: Column, pattern: str) -> Column:
+    """Whether the whole text matches, as Python's ``fullmatch`` has it; patterns beyond ``_COMMON`` go through an Arrow function."""
+    body = pattern.removeprefix("^").removesuffix("$") if pattern.endswith("$") and not pattern.endswith("\\$") else pattern
+    if _COMMON.fullmatch(body):
+        return value.rlike(rf"(?dU)^(?:{body})\z")
+    whole = re.compile(pattern)
+
+    @pandas_udf(BooleanType())
+    def found(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else whole.fullmatch(t) is not None)
+
+    return found(value)
+
+
 def _shown(value: Column, field: Field) -> Column:
     """The text that a pattern is held against."""
     return F.initcap(value) if field.kind == "boolean" else value
@@ -166,23 +243,28 @@ def message(code: str, field: Field) -> str:
     }[code]
 
 
-def check(raw: Column, field: Field) -> Column:
-    """``struct<value string, codes array<string>>`` of stripped text."""
-    value = canonical(raw, field)
-    bad = value.isNull()
-    later: list[Column] = []
+def codes(raw: Column, value: Column, field: Field) -> Column:
+    """Issue codes (``array<string>``) of stripped text and what ``canonical`` made of it.
+
+    Built by concatenation, which stays inside code generation; ``value`` is read
+    several times and had best be a column of its own.
+    """
+    none = F.array().cast("array<string>")
+    found = lambda bad, code: F.when(bad, F.array(F.lit(code))).otherwise(none)
+    later = []
     if field.pattern is not None:
-        body = field.pattern.removeprefix("^").removesuffix("$") if field.pattern.endswith("$") and not field.pattern.endswith("\\$") else field.pattern
-        later.append(F.when(~_shown(value, field).rlike(rf"^(?:{body})\z"), F.lit("pattern_mismatch")))
+        later.append(found(~_matches(_shown(value, field), field.pattern), "pattern_mismatch"))
     if field.enum is not None:
-        later.append(F.when(~value.isin(*_enum_texts(field)) if _enum_texts(field) else F.lit(True), F.lit("value_not_allowed")))
+        later.append(found(~value.isin(*_enum_texts(field)) if _enum_texts(field) else F.lit(True), "value_not_allowed"))
     if field.minimum is not None:
-        later.append(F.when(_sign(value, field.minimum) < 0, F.lit("below_minimum")))
+        later.append(found(_sign(value, field.minimum) < 0, "below_minimum"))
     if field.maximum is not None:
-        later.append(F.when(_sign(value, field.maximum) > 0, F.lit("above_maximum")))
-    none = F.array().cast("array<string>")
-    codes = F.filter(F.array(*later), lambda c: c.isNotNull()) if later else none
+        later.append(found(_sign(value, field.maximum) > 0, "above_maximum"))
     blank = none if field.allow_blank else F.array(F.lit("blank_required_value"))
-    return F.when(raw == "", F.struct(F.lit(None).cast("string").alias("value"), blank.alias("codes"))).otherwise(
-        F.struct(F.coalesce(value, raw).alias("value"), F.when(bad, F.array(F.lit("invalid_type"))).otherwise(codes).alias("codes"))
-    )
+    return F.when(raw == "", blank).when(value.isNull(), F.array(F.lit("invalid_type"))).otherwise(F.concat(*later) if later else none)
+
+
+def check(raw: Column, field: Field) -> Column:
+    """``struct<value string, codes array<string>>`` of stripped text."""
+    value = canonical(raw, field)
+    return F.struct(F.when(raw != "", F.coalesce(value, raw)).alias("value"), codes(raw, value, field).alias("codes"))

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as white space at the ends of a cell (Unicode white space and the four separators).
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_EDGES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def strip(value: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(value, _EDGES, "")
+    return F.btrim(value, F.lit(_EDGES))
 
 
 def is_blank(value: Column) -> Column:
     return strip(value) == ""
 
 
+#: What case folding does to characters other than lower case does, by Unicode's rules as Python has them.
+_FOLDS = json.dumps({chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()})
+
+
+def casefold(value: Column) -> Column:
+    """Unicode case folding; texts of ASCII alone, or without any of the characters that fold otherwise, are only lowered."""
+    table = F.from_json(F.lit(_FOLDS), "map<string,string>")
+    each = F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(table, c), F.lower(c)))
+    return F.when(value.rlike(r"[^\x00-\x7f]"), F.array_join(each, "")).otherwise(F.lower(value))
+
+
 def normalize_header(value: Column) -> Column:
     """Case folded, every run of characters that are no letter, digit or underscore one space, trimmed."""
-    folded = F.lower(F.replace(F.replace(F.replace(value, F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s")), F.lit("µ"), F.lit("μ")))
-    return F.trim(F.regexp_replace(folded, _NOT_WORD, " "))
+    return F.trim(F.regexp_replace(casefold(value), _NOT_WORD, " "))
 
 
 _CONTROLS = [chr(c) for c in range(32) if c not in (9, 10, 13)]

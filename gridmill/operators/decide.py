@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.profile import Profile, canonical_json
-from .records import ISSUE, issue
+from .records import ISSUE, issue, source_of
 
 # Codes that reject a document.
 FATAL = ("no_matching_table", "no_compatible_table", "insufficient_records")
 
 
-def document_counts(documents: DataFrame, matched: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per document, documents without tables or records included."""
-    kinds = matched.groupBy("doc_id").agg(
+def document_counts(documents: DataFrame, flagged: DataFrame) -> DataFrame:
+    """One row per document, documents without tables or records included, from the tables of ``table_flags``."""
+    kinds = flagged.groupBy("doc_id").agg(
         F.count("*").alias("detected_tables"),
         F.count_if(F.col("kind").isin("compatible", "rejected")).alias("matched_tables"),
         F.count_if(F.col("kind") == "compatible").alias("compatible_tables"),
         F.count_if(F.col("kind") == "continued").alias("headerless_continuations"),
+        F.sum("record_count").alias("records"),
+        F.sum("accepted_count").alias("accepted_records"),
     )
-    counted = records.groupBy("doc_id").agg(F.count("*").alias("records"))
-    joined = documents.select("doc_id").distinct().join(kinds, "doc_id", "left").join(counted, "doc_id", "left")
-    return joined.na.fill(0)
+    return documents.select("doc_id").distinct().join(kinds, "doc_id", "left").na.fill(0)
 
 
 def document_issues(counts: DataFrame, profile: Profile) -> DataFrame:
@@ -37,12 +37,10 @@ def document_issues(counts: DataFrame, profile: Profile) -> DataFrame:
     return counts.select("doc_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("n", "issue"))
 
 
-def table_flags(issued: DataFrame, records: DataFrame) -> DataFrame:
-    """Issues of tables, with the one that depends on their rows: a matched table without records."""
-    used = records.groupBy("doc_id", "table_seq").agg(F.count("*").alias("record_count"))
-    t = issued.join(used, ["doc_id", "table_seq"], "left").withColumn("record_count", F.coalesce("record_count", F.lit(0)))
-    from .records import source_of
-
+def table_flags(issued: DataFrame, unique: DataFrame) -> DataFrame:
+    """Tables with ``record_count``, ``accepted_count`` and the one issue that depends on their rows: a matched table without records."""
+    used = unique.groupBy("doc_id", "table_seq").agg(F.count("*").alias("record_count"), F.count_if(F.col("status") == "accepted").alias("accepted_count"))
+    t = issued.join(used, ["doc_id", "table_seq"], "left").na.fill(0, ["record_count", "accepted_count"])
     empty = issue("warning", "empty_matched_table", "table matched the profile but contained no data records", source=source_of())
     no_rows = F.col("kind").isin("compatible", "continued") & (F.col("record_count") == 0)
     none = F.array().cast(f"array<{ISSUE}>")
@@ -54,26 +52,38 @@ def canonical_issue(value: Column) -> Column:
     return F.to_json(value)
 
 
-def all_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame, profile: Profile) -> DataFrame:
+def _every_issue(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> DataFrame:
+    """Issues of documents, tables and records with their order; those of a duplicate key hang on the document and on two records and come once."""
+    numbered = lambda df, scope: df.select("doc_id", F.lit(scope).alias("scope"), "a", "b", "issue")
+    whole = numbered(documents.select("doc_id", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"), "issue"), 0)
+    of_tables = numbered(flagged.select("doc_id", F.col("table_seq").cast("long").alias("a"), F.posexplode("table_issues").alias("b", "issue")), 1)
+    # a repeated key comes after the document's own issues, in the order of its records
+    own = F.transform("issues", lambda i, b: F.struct(F.lit(2).alias("scope"), F.col("record_index").alias("a"), b.cast("long").alias("b"), i.alias("issue")))
+    key = F.struct(F.lit(0).alias("scope"), F.lit(1).cast("long").alias("a"), F.col("record_index").alias("b"), F.col("duplicate").alias("issue"))
+    listed = F.when(F.col("duplicate").isNotNull(), F.concat(F.array(key), own)).otherwise(own)
+    cells = unique.where((F.size("issues") > 0) | F.col("duplicate").isNotNull()).select("doc_id", F.inline(listed))
+    return whole.unionByName(of_tables).unionByName(cells).withColumn("json", canonical_issue(F.col("issue")))
+
+
+def all_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> DataFrame:
     """Every distinct issue of a document in order: the document's, its tables', its records'.
 
-    Of issues with the same JSON the first stays.  Duplicate-key issues hang on
-    the document and on two records and are listed once.
+    Of issues with the same JSON the first stays.
     """
-    numbered = lambda df, scope: df.select("doc_id", F.lit(scope).alias("scope"), "a", "b", "issue")
-    whole = numbered(documents.select("doc_id", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"), "issue"), 0)
-    keys = numbered(unique.where(F.col("duplicate").isNotNull()).select("doc_id", F.lit(1).cast("long").alias("a"), F.col("record_index").alias("b"), F.col("duplicate").alias("issue")), 0)
-    tables = numbered(flagged.select("doc_id", F.col("table_seq").cast("long").alias("a"), F.posexplode("table_issues").alias("b", "issue")), 1)
-    cells = numbered(unique.select("doc_id", F.col("record_index").alias("a"), F.posexplode("issues").alias("b", "issue")), 2)
-    every = whole.unionByName(keys).unionByName(tables).unionByName(cells).withColumn("json", canonical_issue(F.col("issue")))
     order = Window.partitionBy("doc_id", "json").orderBy("scope", "a", "b")
-    first = every.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    first = _every_issue(documents, flagged, unique).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("scope", "a", "b"))
     return first.select("doc_id", position.alias("issue_number"), "scope", "issue", "json")
 
 
-def record_status(unique: DataFrame) -> DataFrame:
-    """Records with ``status`` and all issues that hang on them, duplicate keys of later records included."""
+def issue_totals(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> DataFrame:
+    """``doc_id, issues, fatal``: the number of distinct issues, and whether one rejects the document."""
+    distinct = _every_issue(documents, flagged, unique).groupBy("doc_id", "json").agg(F.max(F.col("issue.code").isin(*FATAL)).alias("fatal"))
+    return distinct.groupBy("doc_id").agg(F.count("*").alias("issues"), F.max("fatal").alias("fatal"))
+
+
+def record_issues(unique: DataFrame) -> DataFrame:
+    """Records with all issues that hang on them, duplicate keys of later records included."""
     later = unique.where(F.col("duplicate").isNotNull()).groupBy("doc_id", F.col("first_of_key").alias("record_index")).agg(
         F.sort_array(F.collect_list(F.struct("record_index", "duplicate"))).alias("repeats")
     )
@@ -81,15 +91,12 @@ def record_status(unique: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{ISSUE}>")
     own = F.when(F.col("duplicate").isNotNull(), F.array("duplicate")).otherwise(none)
     others = F.coalesce(F.transform("repeats", lambda r: r["duplicate"]), none)
-    joined = joined.withColumn("issues", F.concat("issues", own, others)).drop("repeats", "duplicate", "first_of_key")
-    return joined.withColumn("status", F.when((F.size("issues") > 0) | F.col("table_flagged"), F.lit("needs_review")).otherwise(F.lit("accepted")))
+    return joined.withColumn("issues", F.concat("issues", own, others)).drop("repeats", "duplicate", "first_of_key")
 
 
-def decisions(counts: DataFrame, issues: DataFrame, statuses: DataFrame) -> DataFrame:
+def decisions(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Decision and summary of every document."""
-    found = issues.groupBy("doc_id").agg(F.count("*").alias("issues"), F.max(F.col("issue.code").isin(*FATAL)).alias("fatal"))
-    good = statuses.groupBy("doc_id").agg(F.count_if(F.col("status") == "accepted").alias("accepted_records"))
-    d = counts.join(found, "doc_id", "left").join(good, "doc_id", "left")
+    d = counts.join(totals, "doc_id", "left")
     decision = F.when(F.coalesce("fatal", F.lit(False)), F.lit("rejected")).when(F.coalesce("issues", F.lit(0)) > 0, F.lit("needs_review")).otherwise(F.lit("accepted"))
     return d.select(
         "doc_id",
@@ -99,7 +106,7 @@ def decisions(counts: DataFrame, issues: DataFrame, statuses: DataFrame) -> Data
         "compatible_tables",
         "headerless_continuations",
         "records",
-        F.coalesce("accepted_records", F.lit(0)).alias("accepted_records"),
+        "accepted_records",
         F.coalesce("issues", F.lit(0)).alias("issues"),
     )
 

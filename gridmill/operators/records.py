@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.convert import check, message
+from ..functions.convert import codes, completed, message, plain
 from ..functions.text import normalize_header, strip
 from ..plans.profile import Profile
-from .match import fields_of
+from .match import alias_map
 from .tables import TABLE
 
 #: An issue: context that is null is left out of its JSON, whose keys are in alphabetical order.
@@ -48,11 +48,13 @@ def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFram
     joined = rows.repartition("doc_id").join(usable.repartition("doc_id"), TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
     joined = joined.where(F.exists("cells", lambda c: strip(c) != ""))
     names = F.array(*[F.lit(f) for f in profile.fields])
-    own = F.col("own_fields")
     mapped = F.filter(F.col("mapping"), lambda x: x.isNotNull())
+    lookup = alias_map(profile)
+    # stops at the first mapped cell that does not name its field, which for data is the first one
     same = F.forall(
         F.sequence(F.lit(0), F.lit(len(profile.columns) - 1)),
-        lambda i: F.get(F.col("mapping"), i).isNull() | F.coalesce(F.get(own, F.get(F.col("mapping"), i)) == F.get(names, i), F.lit(False)),
+        lambda i: F.get(F.col("mapping"), i).isNull()
+        | F.coalesce(F.element_at(lookup, normalize_header(F.get(F.col("cells"), F.get(F.col("mapping"), i)))) == F.get(names, i), F.lit(False)),
     )
     extras = F.forall(
         F.transform(F.col("cells"), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
@@ -62,7 +64,7 @@ def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFram
     )
     # only rows whose mapped cells all name a field can repeat the header, so others skip the rest
     repeated = (F.size(mapped) > 0) & same & extras
-    return joined.withColumn("own_fields", fields_of(F.col("cells"), profile)).where(~repeated).drop("own_fields")
+    return joined.where(~repeated)
 
 
 def table_issues(matched: DataFrame, profile: Profile) -> DataFrame:
@@ -109,32 +111,31 @@ def table_issues(matched: DataFrame, profile: Profile) -> DataFrame:
 
 def typed(data: DataFrame, profile: Profile) -> DataFrame:
     """Add ``fields``: for each profile column ``name, column, raw, value, codes``, in profile order."""
-    out = data
-    for i, f in enumerate(profile.columns):
-        at = F.get(F.col("mapping"), F.lit(i))
-        out = out.withColumn(f"__raw{i}", F.when(at.isNotNull(), strip(F.coalesce(F.get(F.col("cells"), at), F.lit("")))))
+    at = [F.get(F.col("mapping"), F.lit(i)) for i in range(len(profile.columns))]
+    # raw texts, then plain values, then the rest: each is read several times by the next
+    out = data.select("*", *[F.when(p.isNotNull(), strip(F.coalesce(F.get(F.col("cells"), p), F.lit("")))).alias(f"__raw{i}") for i, p in enumerate(at)])
+    out = out.select("*", *[plain(F.col(f"__raw{i}"), f).alias(f"__plain{i}") for i, f in enumerate(profile.columns)])
     parts = []
     for i, f in enumerate(profile.columns):
-        raw, at = F.col(f"__raw{i}"), F.get(F.col("mapping"), F.lit(i))
-        checked = check(raw, f)
-        inside = at < F.size("cells")
+        raw = F.col(f"__raw{i}")
+        value = completed(raw, F.col(f"__plain{i}"), f)
         parts.append(
             F.struct(
                 F.lit(f.name).alias("name"),
-                at.alias("column"),
+                at[i].alias("column"),
                 F.coalesce(raw, F.lit("")).alias("raw"),
-                F.when(at.isNotNull(), checked["value"]).alias("value"),
-                F.when(at.isNotNull(), checked["codes"]).otherwise(F.array().cast("array<string>")).alias("codes"),
-                F.coalesce(inside, F.lit(False)).alias("has_evidence"),
-                (F.get(F.col("boxes"), at) if "boxes" in data.columns else F.lit(None).cast("array<double>")).alias("bbox"),
+                F.when(raw != "", F.coalesce(value, raw)).alias("value"),
+                F.when(raw.isNotNull(), codes(raw, value, f)).otherwise(F.array().cast("array<string>")).alias("codes"),
+                F.coalesce(at[i] < F.size("cells"), F.lit(False)).alias("has_evidence"),
+                (F.get(F.col("boxes"), at[i]) if "boxes" in data.columns else F.lit(None).cast("array<double>")).alias("bbox"),
             )
         )
-    return out.withColumn("fields", F.array(*parts)).drop(*[f"__raw{i}" for i in range(len(profile.columns))])
+    return out.select(*[F.col(f"`{c}`") for c in data.columns], F.array(*parts).alias("fields"))
 
 
 def _cell_issues(profile: Profile) -> Column:
     texts = F.create_map(*[x for f in profile.columns for code in ("blank_required_value", "invalid_type", "pattern_mismatch", "value_not_allowed", "below_minimum", "above_maximum") for x in (F.lit(f"{f.name} {code}"), F.lit(message(code, f)))])
-    return F.flatten(
+    listed = F.flatten(
         F.transform(
             "fields",
             lambda f: F.transform(
@@ -143,6 +144,8 @@ def _cell_issues(profile: Profile) -> Column:
             ),
         )
     )
+    clean = sum((F.size(F.col("fields")[i]["codes"]) for i in range(len(profile.columns))), F.lit(0)) == 0
+    return F.when(clean, F.array().cast(f"array<{ISSUE}>")).otherwise(listed)
 
 
 def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
@@ -175,21 +178,29 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
 
 
 def unique_check(records: DataFrame, profile: Profile) -> DataFrame:
-    """Add ``duplicate``: for a record whose key was met before, the issue that names both; ``duplicated``: those of the records that repeat this one.
+    """Add ``duplicate``: for a record whose key was met before, the issue that names both; ``first_of_key``, and ``status``.
 
-    Keys with a null part are not held against others.
+    Keys with a null part are not held against others.  Both records of a
+    repeated key need review, as do those with issues of their own or their table's.
     """
     keys = profile.table["unique_by"]
+    review = (F.size("issues") > 0) | F.col("table_flagged")
+    status = lambda bad: F.when(bad, F.lit("needs_review")).otherwise(F.lit("accepted")).alias("status")
     if not keys:
-        return records.withColumn("duplicate", F.lit(None).cast(ISSUE)).withColumn("first_of_key", F.lit(None).cast("long"))
+        return records.select("*", F.lit(None).cast(ISSUE).alias("duplicate"), F.lit(None).cast("long").alias("first_of_key"), status(review))
     at = {name: i for i, name in enumerate(profile.fields)}
     values = [F.col("fields")[at[k]]["value"] for k in keys]
     whole = F.lit(True)
     for v in values:
         whole &= v.isNotNull()
-    keyed = records.withColumn("__whole", whole).withColumn("__key", F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)]))
-    first = F.min("record_index").over(Window.partitionBy("doc_id", "__whole", "__key"))
-    keyed = keyed.withColumn("first_of_key", F.when(F.col("__whole"), first))
-    repeated = F.col("__whole") & (F.col("first_of_key") < F.col("record_index"))
-    found = issue("error", "duplicate_record_key", f"duplicate record key for {', '.join(keys)}", records=F.array("first_of_key", "record_index"))
-    return keyed.withColumn("duplicate", F.when(repeated, found)).drop("__whole", "__key")
+    keyed = records.select("*", whole.alias("__whole"), F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)]).alias("__key"))
+    same = Window.partitionBy("doc_id", "__whole", "__key")
+    keyed = keyed.select("*", F.min("record_index").over(same).alias("__first"), F.count("*").over(same).alias("__times"))
+    repeated = F.col("__whole") & (F.col("__first") < F.col("record_index"))
+    found = issue("error", "duplicate_record_key", f"duplicate record key for {', '.join(keys)}", records=F.array("__first", "record_index"))
+    return keyed.select(
+        *records.columns,
+        F.when(repeated, found).alias("duplicate"),
+        F.when(F.col("__whole"), F.col("__first")).alias("first_of_key"),
+        status(review | (F.col("__whole") & (F.col("__times") > 1))),
+    )

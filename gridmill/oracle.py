@@ -165,6 +165,15 @@ decided as (
   left join (select doc_id, count(*) filter (where status = 'accepted') as accepted_records from stated group by doc_id) s using (doc_id)
   left join (select doc_id, count(*) as issues from every group by doc_id) e using (doc_id))"""
 
+#: What the CSV export says of a record's issues: its cells by column, its own repeated key, then later records that repeat it.
+ISSUE_TEXTS = """
+said as (
+  select doc_id, record_index, case field when 'item' then 0 when 'quantity' then 1 else 2 end as place, 0 as other, code || ': ' || field || case code
+    when 'blank_required_value' then ' may not be blank' when 'invalid_type' then ' is not a valid decimal' when 'below_minimum' then ' is below its minimum' else ' is above its maximum' end as text from cell_issues
+  union all select doc_id, record_index, 3, 0, 'duplicate_record_key: duplicate record key for item' from dups
+  union all select doc_id, first_index, 4, record_index, 'duplicate_record_key: duplicate record key for item' from dups),
+texts as (select doc_id, record_index, string_agg(text, '; ' order by place, other) as listed from said group by doc_id, record_index)"""
+
 #: Ground truth of the order grid: what was asked for, with an error in every 29th line; expected decisions from the order's number.
 TRUTH = """
 truth as (
@@ -212,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "sha256_docs": "select doc_id, sha256(text) as sha256, cast(octet_length(encode(text)) as bigint) as bytes from documents",
         "upload_check": "select page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as filename, contains(html[:1024], '<!DOCTYPE') as signature_ok, octet_length(encode(html)) <= 26214400 as size_ok from pages",
         "output_filename": r"select page_id, case when substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) = '' then 'document' else substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) end || '-tables.csv' as filename from pages",
-        "header_normalize": _with(PARAGRAPHS, f"select doc_id, para_index, {_norm('substring(text, 1, 80)')} as header from paras"),
+        "header_normalize": _with(PARAGRAPHS, f"select doc_id, para_index, {_norm('text')} as header from paras"),
         "sheet_safe": _with(PARAGRAPHS, f"select doc_id, para_index, {_safe('t')} as safe from (select doc_id, para_index, ['=', '  +', '-', ' @', chr(9), ''][doc_id % 6 + 1] || text as t from paras)"),
         "csv_line": _with(LINES, f"select doc_id, ix, {_csv('a')} || ',' || {_csv('b')} || ',' || {_csv('c')} as line from (select doc_id, ix, item as a, qty || case when doc_id % 3 = 0 then ', ' || chr(34) || price || chr(34) else '' end as b, case when doc_id % 4 = 0 then 'x' || chr(10) || price else price end as c from lines)"),
         "clipped_text": "select doc_id, case when length(text) > 160 then substring(text, 1, 157) || '...' else text end as shown from documents",
@@ -242,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "continuation": _with(f"{ORDER}, {MATCH}", "select doc_id, table_seq, page, kind, c_item, c_quantity, c_price from carried"),
         "blank_row_filter": _with(ORDER, f"select doc_id, table_seq, row from rws where len(list_filter(cells, lambda x: {_strip('x')} <> '')) = 0"),
         "record_index": _with(_ISSUED, "select doc_id, table_seq, row, record_index from recs"),
-        "record_wide": _with(_ISSUED, "select doc_id, record_index, status, item, case when qty = '' then null else qty end as quantity, price as unit_price from stated"),
+        "record_wide": _with(_ISSUED, "select doc_id, record_index, status, item, case when qty = '' then null else qty end as quantity, price as unit_price, cast(null as varchar) as note from stated"),
         "evidence_lookup": _with(_ISSUED, "select doc_id, record_index, 'quantity' as field, qty as raw, page, table_index, row, c_quantity as source_column from recs"),
         "issue_long": _with(_ISSUED, "select doc_id, record_index, row, field, code from cell_issues"),
         "unique_by": _with(_ISSUED, "select doc_id, first_index, record_index from dups"),
@@ -263,7 +272,12 @@ def oracle_sql() -> dict[str, str]:
                 when 2 then 'looks_clean,' || case when len(warnings) = 0 then 'True' else 'False' end when 3 then 'warnings,' || {_csv("array_to_string(warnings, '; ')")} else '' end from assessed, range(1, 5) r(i)
             union all select doc_id, table_seq, 1, row, array_to_string(list_transform(cells, lambda c: {_csv(_safe('c'))}), ',') from rws
             union all select doc_id, table_seq, 2, 0, '' from assessed)"""),
-        "csv_export": _with(_ISSUED, f"select doc_id, record_index + 6 as line_no, (record_index + 1) || ',' || status || ',' || item || ',' || coalesce({_safe('qty')}, '') || ',' || price || ',' as line_start from stated"),
+        "csv_export": _with(f"{_ISSUED}, {ISSUE_TEXTS}", f"""
+            select doc_id, i as line_no, case i when 1 then 'decision,' || decision when 2 then 'profile,order-lines-v1' when 3 then 'document_sha256,' || sha256(cast(doc_id as varchar)) when 4 then ''
+                else 'record,status,item,quantity,unit_price,note,issues' end as line from decided, range(1, 6) r(i)
+            union all
+            select doc_id, record_index + 6, (record_index + 1) || ',' || status || ',' || {_csv(_safe('item'))} || ',' || {_csv(_safe("coalesce(qty, '')"))} || ',' || {_csv(_safe('price'))} || ',,' || {_csv("coalesce(t.listed, '')")}
+            from stated left join texts t using (doc_id, record_index)"""),
         "eval_cells": _with(f"{_ISSUED}, {TRUTH}", "select case_id, true_positive, false_positive, false_negative from cases"),
         "eval_records": _with(f"{_ISSUED}, {TRUTH}", "select case_id, exact_records, predicted_records, expected_records from cases"),
         "eval_micro": _with(f"{_ISSUED}, {TRUTH}", f"select {_COUNTERS} from summed where case_id is null"),

@@ -2,43 +2,97 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decide, match, records, tables
+from . import store
 from .profile import Profile, load
 
+#: Usable tables up to which their keys are broadcast, so that rows of other tables are not shuffled.
+BROADCAST_TABLES = 1_000_000
+
+TABLE_COLUMNS = {"page": "int", "table_index": "int", "has_merged_cells": "boolean", "bbox": "array<double>"}
+
 
-@dataclass(frozen=True)
 class Extraction:
-    """The frames of one run; all are lazy and keyed by ``doc_id``."""
+    """The frames of one run, keyed by ``doc_id``; each is made when it is first asked for.
+
+    Grid rows, matched tables, records and counted tables are read by several
+    frames.  They are written to shared storage once, so the parser runs once, a
+    lost executor takes nothing with it and later plans are short; ``release``
+    deletes them.
+    """
+
+    def __init__(self, documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: Profile) -> None:
+        self.profile = profile
+        self._documents, self._tables, self._rows, self._written = documents, table_rows, rows, []
 
-    profile: Profile
-    tables: DataFrame  # matched tables with their issues and record counts
-    records: DataFrame
-    issues: DataFrame
-    documents: DataFrame  # decision and summary
-    kept: tuple[DataFrame, ...] = ()
+    def _kept(self, frame: DataFrame, name: str) -> DataFrame:
+        self._written.append(store.new_path(frame.sparkSession, name))
+        return store.materialise(frame, name, self._written[-1])
 
     def release(self) -> None:
-        """Let go of what the run keeps on the executors (their disks where memory is short)."""
-        for frame in self.kept:
-            frame.unpersist()
+        """Delete what the run has written; its frames must not be read any more."""
+        for path in self._written:
+            store.remove(self._documents.sparkSession, path)
+        self._written.clear()
+
+    @cached_property
+    def _grid_rows(self) -> DataFrame:
+        return self._kept(prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes"), "grid-rows")
+
+    @cached_property
+    def _matched(self) -> DataFrame:
+        """Tables with their header, class, carried mapping and those issues that do not depend on their records."""
+        found = tables.assess(prepared(self._tables, TABLE_COLUMNS), self._grid_rows)
+        return self._kept(records.table_issues(match.match_tables(found, self._grid_rows, self.profile), self.profile), "matched-tables")
+
+    @cached_property
+    def _records(self) -> DataFrame:
+        """Records with their own issues, duplicate keys and status."""
+        rows, usable = self._grid_rows, self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
+        if usable.count() <= BROADCAST_TABLES:
+            rows = rows.join(F.broadcast(usable), tables.TABLE, "left_semi")
+        return self._kept(records.unique_check(records.extract_records(self._matched, rows, self.profile), self.profile), "records")
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        """Matched tables with all their issues, record counts and accepted records."""
+        return self._kept(decide.table_flags(self._matched, self._records), "counted-tables")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Records with every issue that hangs on them."""
+        return decide.record_issues(self._records)
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        return decide.document_counts(self._documents, self.tables)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        """Every distinct issue of a document, in order."""
+        return decide.all_issues(decide.document_issues(self._counts, self.profile), self.tables, self._records)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Decision and summary."""
+        return decide.decisions(self._counts, decide.issue_totals(decide.document_issues(self._counts, self.profile), self.tables, self._records))
 
     @property
     def record_fields(self) -> DataFrame:
         """One row per record and profile column."""
-        return self.records.select("doc_id", "record_index", "page", "table_index", "row", F.explode("fields").alias("f")).select(
+        return self._records.select("doc_id", "record_index", "page", "table_index", "row", F.explode("fields").alias("f")).select(
             "doc_id", "record_index", "f.name", "f.raw", "f.value", F.when(F.col("f.has_evidence"), F.struct("page", "table_index", "row", "f.column", "f.bbox")).alias("evidence")
         )
 
     @property
     def wide(self) -> DataFrame:
         """Records with one column per profile column, holding canonical text."""
-        return self.records.select("doc_id", "record_index", "status", *[F.col("fields")[i]["value"].alias(name) for i, name in enumerate(self.profile.fields)])
+        return self._records.select("doc_id", "record_index", "status", *[F.col("fields")[i]["value"].alias(name) for i, name in enumerate(self.profile.fields)])
 
     @property
     def reports(self) -> DataFrame:
@@ -65,12 +119,6 @@ class Extraction:
         )
 
 
-#: Kept frames spill to the executors' disks.
-KEEP = StorageLevel.MEMORY_AND_DISK
-
-TABLE_COLUMNS = {"page": "int", "table_index": "int", "has_merged_cells": "boolean", "bbox": "array<double>"}
-
-
 def prepared(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``frame`` with columns it lacks as nulls."""
     for name, kind in columns.items():
@@ -87,26 +135,14 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     bbox``); ``rows`` one per table row (``doc_id, table_seq, row, cells``, and
     ``boxes`` where the places of cells are known).
 
-    Grid rows, matched tables and records are each read by several of the frames
-    that come out, so they are kept on the executors from their first use on; a
-    lost executor's part is computed again.
-
-    Assessment and header search aggregate the rows where they lie; only the rows
-    of usable tables are shuffled, once, by document, and the windows above that
-    join need no other exchange where
+    Assessment and header search aggregate the rows where they lie.  Rows of tables
+    that have no use are left out before anything is shuffled where the keys of the
+    others, which are counted first, may be broadcast; the rest is shuffled once, by
+    document, and the windows above that join need no other exchange where
     ``spark.sql.requireAllClusterKeysForCoPartition`` is false (``plans.session``
     sets it).
     """
-    profile = load(profile)
-    rows = prepared(rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes").persist(KEEP)
-    found = prepared(table_rows, TABLE_COLUMNS)
-    issued = records.table_issues(match.match_tables(tables.assess(found, rows), rows, profile), profile).persist(KEEP)
-    unique = records.unique_check(records.extract_records(issued, rows, profile), profile).persist(KEEP)
-    counts = decide.document_counts(documents, issued, unique)
-    flagged = decide.table_flags(issued, unique)
-    issues = decide.all_issues(decide.document_issues(counts, profile), flagged, unique, profile)
-    statuses = decide.record_status(unique)
-    return Extraction(profile, flagged, statuses, issues, decide.decisions(counts, issues, statuses), (rows, issued, unique))
+    return Extraction(documents, table_rows, rows, load(profile))
 
 
 def from_grids(grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

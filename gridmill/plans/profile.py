@@ -38,7 +38,7 @@ class ProfileError(ValueError):
 
 def normalize_header_text(value: object) -> str:
     """Driver-side twin of ``functions.text.normalize_header``, for aliases and tests."""
-    text = str(value).replace("ß", "ss").replace("ſ", "s").replace("µ", "μ").lower()
+    text = str(value).casefold()
     kept = "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in text)
     return " ".join(kept.split(" ")).strip() if "  " not in kept else re.sub(" +", " ", kept).strip(" ")
 

@@ -98,7 +98,7 @@ def page_count(spark, sf_dir):
 @query
 def header_normalize(spark, sf_dir):
     paras = documents.paragraphs(table(spark, sf_dir, "documents"))
-    return paras.select("doc_id", "para_index", text.normalize_header(F.substring("text", 1, 80)).alias("header"))
+    return paras.select("doc_id", "para_index", text.normalize_header(F.col("text")).alias("header"))
 
 
 @query
@@ -303,7 +303,7 @@ def record_index(spark, sf_dir):
 
 @query
 def record_wide(spark, sf_dir):
-    return _extraction(spark, sf_dir).wide.drop("note")
+    return _extraction(spark, sf_dir).wide
 
 
 @query
@@ -403,9 +403,7 @@ def tables_csv_export(spark, sf_dir):
 @query
 def csv_export(spark, sf_dir):
     grid = order_grid(tune(spark), sf_dir)
-    lines = export.extraction_csv_lines(extract(*grid, _profile()), _named(grid[0])).where("line_no > 5")
-    # up to the note column, which is always empty here; the issue text follows it
-    return lines.select("doc_id", "line_no", F.concat(F.substring_index("line", ",", 5), F.lit(",")).alias("line_start"))
+    return export.extraction_csv_lines(extract(*grid, _profile()), _named(grid[0]))
 
 
 @query
@@ -419,10 +417,10 @@ def result_json(spark, sf_dir):
 
 def _evaluation(spark, sf_dir):
     found = _extraction(spark, sf_dir)
-    predicted = found.record_fields.where("name <> 'note'").select(F.col("doc_id").alias("case_id"), F.col("record_index").alias("row"), F.col("name").alias("field"), "value")
+    predicted = found.record_fields.select(F.col("doc_id").alias("case_id"), F.col("record_index").alias("row"), F.col("name").alias("field"), "value")
     lines = order_lines(spark, sf_dir).where("doc_id % 13 <> 0")
     asked = F.when((F.col("ix") % 29 == 3) | (F.col("doc_id") % 31 == 0), F.lit("1")).otherwise(F.nullif("qty", F.lit("")))
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("item", F.col("item")), ("quantity", asked), ("unit_price", F.col("price")))])
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("item", F.col("item")), ("quantity", asked), ("unit_price", F.col("price")), ("note", F.lit(None).cast("string")))])
     expected = lines.select(F.col("doc_id").alias("case_id"), F.col("ix").cast("long").alias("row"), F.inline(pairs))
     doc = F.col("doc_id")
     wanted = F.when(doc % 13 == 0, F.lit("rejected")).when(doc % 2 == 0, F.lit("needs_review")).otherwise(F.lit("accepted"))

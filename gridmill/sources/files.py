@@ -65,8 +65,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PARSED)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Every .pdf and .docx file below ``path``, parsed.  (Spark's binary source passes over files without any byte.)"""
+def load(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every .pdf and .docx file below ``path`` (or each of several), parsed.  (Spark's binary source passes over files without any byte.)"""
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(path))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans import store
 from ..plans.extraction import extract
 from ..plans.profile import Profile, load
 from ..sources import files
@@ -47,13 +48,14 @@ def run(spark: SparkSession, folder: str, profile: str | dict | Profile, output:
     checked = load(profile)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = _new(batch, number, output).persist()
-        batch.count()  # before this batch's own folder is written
+        # written before this batch's own folder is
+        place = store.new_path(batch.sparkSession, "arrivals")
+        batch = store.materialise(_new(batch, number, output), "arrivals", place)
         found = extract(batch.select("doc_id"), *files.tables_and_rows(batch), checked)
         found.documents.join(batch.select("doc_id", "sha256", "error"), "doc_id").write.mode("overwrite").parquet(f"{output}/documents/batch={number}")
         found.wide.write.mode("overwrite").parquet(f"{output}/records/batch={number}")
         found.release()
-        batch.unpersist()
+        store.remove(batch.sparkSession, place)
 
     writer = arrivals(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

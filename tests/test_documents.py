@@ -1,6 +1,7 @@
 """Word and PDF files end to end: sources, API, exports, stream, manifest, command line."""
 
 import csv
+import hashlib
 import io
 import json
 import os
@@ -113,7 +114,7 @@ def test_extraction_of_files(spark, folder):
 def test_tables_text_and_csv(spark, folder):
     path = str(folder)
     assert {name(r): r.pages for r in api.page_count(spark, path).collect()}["two.pdf"] == 2
-    assert api.extract_text(spark, path, 2).count() == 1
+    assert api.extract_text(spark, path, 2).where("text is not null").count() == 1
     assert [r.text for r in api.extract_docx_text(spark, path).collect()] == ["x"]
     apart, merged = api.extract_tables(spark, path), api.extract_tables(spark, path, merge_multipage=True)
     assert apart.tables.count() == 4 and merged.tables.count() == 3
@@ -220,6 +221,30 @@ def test_manifest(spark, folder, tmp_path):
             load_manifest(str(path))
 
 
+def test_evaluation(spark, folder, tmp_path):
+    rows = [dict(zip(("item", "quantity", "unit_price"), r, strict=True)) for r in INVOICE[1:]]
+    good = {"id": "one", "document": str(folder / "invoice.pdf"), "expected_decision": "accepted", "expected_records": rows}
+    bad = {"id": "two", "document": str(folder / "broken.pdf"), "expected_decision": "rejected", "expected_records": []}
+    body = {"evaluation_schema_version": "1.0", "evidence_label": "synthetic", "profile": "invoice-lines-v1", "minimums": {"field_f1": 1.0}, "cases": [good, bad]}
+    path, out = tmp_path / "m.json", tmp_path / "reports" / "r.json"
+    path.write_text(json.dumps(body))
+    report = api.evaluate_manifest(spark, str(path), str(out))
+    assert report == json.loads(out.read_text()) and report["passed"] and report["metrics"] == {"field_precision": 1.0, "field_recall": 1.0, "field_f1": 1.0, "exact_record_rate": 1.0, "decision_accuracy": 1.0, "cases": 2}
+    assert [(c["id"], c["decision"], c["decision_correct"], c["expected_records"], c["extracted_records"]) for c in report["cases"]] == [("one", "accepted", True, 3, 3), ("two", "rejected", True, 0, 0)]
+    assert all(len(c["extraction_fingerprint"]) == len(c["document_sha256"]) == 64 for c in report["cases"])
+    assert "Widget" not in out.read_text() and report["evaluation_manifest_sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+    wrong = dict(good, expected_records=[{"item": "Incorrect", "quantity": "3", "unit_price": "12.50"}])
+    path.write_text(json.dumps(dict(body, cases=[wrong])))
+    assert cli.main(["evaluate", str(path)]) == 1
+    path.write_text(json.dumps(body))
+    assert cli.main(["evaluate", str(path)]) == 0
+
+
+def test_pages_beyond_the_last(spark, folder):
+    found = {name(r): (r.page, r.text, r.warning) for r in api.extract_text(spark, str(folder), 2).collect()}
+    assert found["invoice.pdf"] == (2, None, "page must be between 1 and 1 (received 2)") and found["two.pdf"][2] is None
+
+
 def test_command_line(spark, folder, tmp_path):
     assert cli.main(["profiles"]) == 0
     assert cli.main(["tables", str(folder / "invoice.pdf"), str(tmp_path / "a")]) == 0

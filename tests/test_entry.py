@@ -14,8 +14,6 @@ from gridmill import oracle, queries
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
-#: Queries that run the whole extraction; two of them stand for the others here.
-WHOLE = {"record_index", "record_wide", "evidence_lookup", "issue_long", "unique_by", "issue_counts", "issue_dedupe", "document_issues", "table_reports", "csv_export", "eval_cells", "eval_records", "eval_by_case_grouping_sets", "gate", "decision_pivot", "decision"}
 
 
 def test_entry(spark):
@@ -27,7 +25,7 @@ def test_every_document_query_has_sql():
     assert set(queries.queries()) - set(oracle.oracle_sql()) == {"result_json"}
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle.oracle_sql()) - WHOLE))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_parity(spark, name):
     assert parity.compare(spark, SF, name, queries.queries()[name], oracle.oracle_sql()[name]) == ""
 

@@ -114,8 +114,8 @@ def test_dates_as_python(spark):
                 pass
 
     assert column(spark, values, lambda c: convert.canonical_date(c, formats)) == [one(v) for v in values]
-    with pytest.raises(ValueError):
-        convert.canonical_date(F.col("v"), ("%Q",))
+    # a directive that Python does not know reads nothing
+    assert column(spark, ["2024-01-05"], lambda c: convert.canonical_date(c, ("%Q",))) == [None]
 
 
 def test_bounds_are_exact(spark):
@@ -287,6 +287,28 @@ def test_metrics(spark):
         evaluate.gate(evaluate.metrics(counts), {"field_f1": True})
 
 
+def test_notations_of_other_scripts_and_formats(spark):
+    def column(kind, **more):
+        return profile.load({"profile_schema_version": "1.0", "id": "one", "version": "1", "description": "one", "table": {"columns": [{"name": "x", "type": kind, **more}]}}).columns[0]
+
+    def read(texts, field):
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+        return [(r.c.value, list(r.c.codes)) for r in frame.select("i", convert.check(F.col("x"), field).alias("c")).orderBy("i").collect()]
+
+    assert read(["٣٤", "-०७", "+00", "1٢", "²"], column("integer")) == [("34", []), ("-7", []), ("0", []), ("12", []), ("²", ["invalid_type"])]
+    assert read(["1e3", "1_000", "٣.٥", "x"], column("decimal")) == [("1000", []), ("1000", []), ("3.5", []), ("x", ["invalid_type"])]
+    assert read(["2024-060", "29 Feb 2024 13:05", "2024-02-30"], column("date", formats=["%Y-%j", "%d %b %Y %H:%M"])) == [("2024-02-29", []), ("2024-02-29", []), ("2024-02-30", ["invalid_type"])]
+    for pattern, good, bad in ((r"(?P<y>a)(?P=y)", "aa", "ab"), (r"\w+", "é_1", "a b"), (r"\d{2}", "٣٤", "3"), (r"[A-Z]{2}-[0-9]+", "AB-1", "AB-1x"), (r"a.c", "a\u2028c", "abcd"), (r"x(?=y)y", "xy", "xz")):
+        assert [c for _, c in read([good, bad], column("string", pattern=pattern))] == [[], ["pattern_mismatch"]], pattern
+
+
+@pytest.mark.parametrize("text", ["ΑΣ Σας", "ﬁne ﬂow", "STRASSE ẞ ß", "İstanbul", "ŉ ǰ ΐ", "Ꭰꭰ", "ſ µ ϐ ᾳ", "plain ASCII-text", ""])
+def test_headers_are_case_folded(spark, text):
+    from gridmill.functions.text import normalize_header
+
+    assert spark.createDataFrame([(text,)], "x string").select(normalize_header(F.col("x"))).first()[0] == profile.normalize_header_text(text)
+
+
 def test_sheet_titles():
     used = {"Review"}
     assert [export.safe_sheet_title(t, used) for t in ("Table 1", "Table 1", "a/b", "", "x" * 40, "x" * 40)] == ["Table 1", "Table 1 2", "a b", "Table", "x" * 31, "x" * 29 + " 2"]
