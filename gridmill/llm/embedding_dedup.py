@@ -10,8 +10,8 @@ and share a label are verified by their cosine in double precision.
 * A node's cells are computed once and written; they travel with its vector.
 * A cell of more than ``chunk`` nodes is cut into chunks that meet pairwise in
   tasks of bounded size, so no cell is gathered in one task.
-* A cell returns a spanning forest of its verified links, from which connected
-  components come, and for every node the number of its links.  A pair that meets
+* A cell returns its verified links (a large one a spanning forest of them), from
+  which connected components come, and for every node the number of its links.  A pair that meets
   in several cells is counted in the first of them, which both nodes' lists of
   cells tell, so each link that was found counts once and none is listed.
 """
@@ -37,6 +37,8 @@ SCALE = 0.75
 PARTS = 2
 #: Nodes of a cell that are compared with each other in one task, or with as many others.
 CHUNK = 2048
+#: Nodes up to which a cell's pairs are looked at together with those of other small cells.
+SMALL = 16
 #: Low bits of a cell's number, which hold its table.
 _TABLE_BITS = 6
 
@@ -128,19 +130,19 @@ def numbered(found: np.ndarray, space: np.ndarray) -> np.ndarray:
     return ((mixed & ~np.uint64((1 << _TABLE_BITS) - 1)) | tables).view(np.int64)
 
 
-def counted_here(x: np.ndarray, y: np.ndarray, cell: int) -> np.ndarray:
-    """Whether ``cell`` is the first one in which row i of ``x`` meets row i of ``y`` (rows, tables, 1 + probes).
+def counted_here(x: np.ndarray, y: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether cell i is the first one in which row i of ``x`` meets row i of ``y`` (rows, tables, 1 + probes).
 
     Two rows meet in a cell that is the own cell of one and in the list of the other.
     """
-    at = cell & ((1 << _TABLE_BITS) - 1)
-    first = np.ones(len(x), dtype=bool)
-    for t in range(at):
-        first &= ~((x[:, t, :1] == y[:, t]).any(axis=1) | (y[:, t, :1] == x[:, t]).any(axis=1))
-    own_x, own_y = x[:, at, 0], y[:, at, 0]
+    at = (cell & ((1 << _TABLE_BITS) - 1)).astype(np.int64)
+    first, rows = np.ones(len(x), dtype=bool), np.arange(len(x))
+    for t in range(int(at.max(initial=0))):
+        first &= (at <= t) | ~((x[:, t, :1] == y[:, t]).any(axis=1) | (y[:, t, :1] == x[:, t]).any(axis=1))
+    own_x, own_y = x[rows, at, 0], y[rows, at, 0]
     none = np.iinfo(np.int64).max
-    met_x = np.where((own_x[:, None] == y[:, at]).any(axis=1), own_x, none)
-    met_y = np.where((own_y[:, None] == x[:, at]).any(axis=1), own_y, none)
+    met_x = np.where((own_x[:, None] == y[rows, at]).any(axis=1), own_x, none)
+    met_y = np.where((own_y[:, None] == x[rows, at]).any(axis=1), own_y, none)
     return first & (np.minimum(met_x, met_y) == cell)
 
 
@@ -181,18 +183,18 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _grouped(batches, keys: list[str]):
-    """Tables of one group each from batches sorted by ``keys``."""
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups from batches sorted by ``keys``."""
     held = None
     for batch in batches:
-        table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+        table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         if not held.num_rows:
             continue
-        starts = _runs([np.asarray(held.column(k)) for k in keys]).tolist()
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield held.slice(a, b - a)
-        held = held.slice(starts[-1]).combine_chunks()
+        last = int(_runs([np.asarray(held.column(k)) for k in keys])[-1])
+        if last:
+            yield held.slice(0, last).combine_chunks()
+        held = held.slice(last).combine_chunks()
     if held is not None and held.num_rows:
         yield held
 
@@ -215,42 +217,70 @@ def _forest(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(threshold: float, width: int):
-    """Batches of ``a, b, links`` out of batches sorted by cell and chunks: links of a forest (``links`` null), and how many each node has (``b`` null)."""
+def _verified(threshold: float, width: int, small: int):
+    """Batches of ``a, b, links`` out of batches sorted by cell and chunks: links (``links`` null), and how many each node has (``b`` null).
+
+    Pairs of one chunk are looked at once, and pairs of two chunks across them.
+    """
+
+    def pairs_of(unit, lists, own, weight, chunk, cell, mixed, i, j, found):
+        """Verified pairs among (i, j) that are first met here; adds to ``found``."""
+        for k in range(0, len(i), 200_000):
+            x, y = i[k : k + 200_000], j[k : k + 200_000]
+            use = (own[x] | own[y]) & (~mixed[x] | (chunk[x] != chunk[y]))
+            x, y = x[use], y[use]
+            use = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+            x, y = x[use], y[use]
+            new = counted_here(lists[x], lists[y], cell[x])
+            x, y = x[new], y[new]
+            found += np.bincount(x, weight[y], len(found)).astype(np.int64) + np.bincount(y, weight[x], len(found)).astype(np.int64)
+            yield x, y
+
+    def large(unit, lists, own, weight, chunk, cell, mixed, found):
+        """A spanning forest of the links of one cell's rows; adds the pairs that are first met here to ``found``."""
+        n = len(unit)
+        close = np.zeros((n, n), dtype=bool)
+        for a in range(0, n, 256):
+            block = unit[a : a + 256] @ unit.T >= threshold
+            block &= own[a : a + 256, None] | own[None, :]
+            close[a : a + 256] = block
+            here = block & (np.arange(n)[None, :] > np.arange(a, a + len(block))[:, None])
+            if mixed:
+                here &= chunk[a : a + 256, None] != chunk[None, :]
+            x, y = np.nonzero(here)
+            for k in range(0, len(x), 200_000):
+                i, j = x[k : k + 200_000] + a, y[k : k + 200_000]
+                new = counted_here(lists[i], lists[j], cell[i])
+                found += np.bincount(i[new], weight[j[new]], n).astype(np.int64) + np.bincount(j[new], weight[i[new]], n).astype(np.int64)
+        return np.array(_forest(close | close.T), dtype=np.int64).reshape(-1, 2).T
+
+    def block(table):
+        cell, ca, cb, chunk, ids, weight = (table.column(c).to_numpy() for c in ("cell", "ca", "cb", "chunk", "node", "n"))
+        unit = _unit(_matrix(table.column("v").combine_chunks()))
+        lists = table.column("cells").combine_chunks().flatten().to_numpy().reshape(len(ids), -1, width)
+        own, mixed = (lists[:, :, 0] == cell[:, None]).any(axis=1), ca != cb
+        starts = _runs([cell, ca, cb])
+        sizes = np.diff(np.append(starts, len(ids)))
+        found, links = np.zeros(len(ids), dtype=np.int64), []
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]).tolist():  # all small groups of one size together
+            first, (one, two) = starts[sizes == size][:, None], np.triu_indices(size, 1)
+            links += pairs_of(unit, lists, own, weight, chunk, cell, mixed, (first + one).ravel(), (first + two).ravel(), found)
+        for at, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+            part = slice(at, at + size)
+            x, y = large(unit[part], lists[part], own[part], weight[part], chunk[part], cell[part], mixed[at], found[part])
+            links.append((x + at, y + at))
+        some = np.flatnonzero(found)
+        for x, y in links:
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.nulls(len(x), pa.int64())], names=["a", "b", "links"])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(found[some])], names=["a", "b", "links"])
 
     def run(batches):
-        for table in _grouped(batches, ["cell", "ca", "cb"]):
-            n = table.num_rows
-            cell, ca, cb = (table.column(c)[0].as_py() for c in ("cell", "ca", "cb"))
-            ids, weight, chunk = (table.column(c).to_numpy() for c in ("node", "n", "chunk"))
-            if n < 2 or (ca != cb and (chunk == ca).all() | (chunk == cb).all()):
-                continue
-            unit = _unit(_matrix(table.column("v").combine_chunks()))
-            lists = table.column("cells").combine_chunks().flatten().to_numpy().reshape(n, -1, width)
-            own = (lists[:, :, 0] == cell).any(axis=1)
-            close = np.zeros((n, n), dtype=bool)
-            found = np.zeros(n, dtype=np.int64)
-            # every pair once: of one chunk those above the diagonal, of two chunks those across
-            for a in range(0, n, 256):
-                block = unit[a : a + 256] @ unit.T >= threshold
-                block &= own[a : a + 256, None] | own[None, :]
-                close[a : a + 256] = block
-                here = block & (np.arange(n)[None, :] > np.arange(a, a + len(block))[:, None])
-                if ca != cb:
-                    here &= chunk[a : a + 256, None] != chunk[None, :]
-                x, y = np.nonzero(here)
-                for k in range(0, len(x), 200_000):
-                    i, j = x[k : k + 200_000] + a, y[k : k + 200_000]
-                    new = counted_here(lists[i], lists[j], cell)
-                    found += np.bincount(i[new], weight[j[new]], n).astype(np.int64) + np.bincount(j[new], weight[i[new]], n).astype(np.int64)
-            close |= close.T
-            links = [(ids[x], ids[y]) for x, y in _forest(close)]
-            some = np.flatnonzero(found)
-            if links:
-                a, b = (np.array(k, dtype=np.int64) for k in zip(*links, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "links"])
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(found[some])], names=["a", "b", "links"])
+        for table in _whole_groups(batches, ["cell", "ca", "cb"]):
+            dims = pc.list_value_length(table.column("v")).to_numpy()
+            for dim in np.unique(dims).tolist():
+                yield from block(table.filter(pa.array(dims == dim)).combine_chunks())
 
     return run
 
@@ -266,6 +296,7 @@ def embedding_groups(
     scale: float = SCALE,
     parts: int = PARTS,
     chunk: int = CHUNK,
+    small: int = SMALL,
     seed: int = 42,
 ) -> DataFrame:
     """``id, n_links, component_id`` for every row.
@@ -316,7 +347,7 @@ def embedding_groups(
     dealt = dealt.select("cell", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), "chunk", "node")
     met = dealt.join(placed.select("node", "n", "v", "cells"), "node")
     key = ["cell", "ca", "cb"]
-    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(threshold, width), "a long, b long, links long")
+    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(threshold, width, small), "a long, b long, links long")
     found = materialise(found, "links")
     comp = materialise(components(found.where("links is null").select("a", "b")), "embedding-components")
     linked = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

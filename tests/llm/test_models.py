@@ -437,8 +437,8 @@ def brute(rows, threshold=0.93):
     return sorted(((rows[i][0], int(link[i].sum()), least[label[i]]) for i in range(n)), key=repr)
 
 
-@pytest.mark.parametrize("chunk", [7, 2048])
-def test_embedding_groups_against_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "small"), [(7, 16), (2048, 16), (2048, 1), (20, 8)])
+def test_embedding_groups_against_brute_force(spark, chunk, small):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(25, 64))
     rows = []
@@ -454,7 +454,7 @@ def test_embedding_groups_against_brute_force(spark, chunk):
         else:
             given_rows = rows
         frame = spark.createDataFrame([(*r, "x", 1) for r in given_rows], f"vec_id long, embedding array<{kind}>, label int, node string, n int").repartition(4)
-        got = sorted(((r.id, r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(frame, chunk=chunk).collect()), key=repr)
+        got = sorted(((r.id, r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(frame, chunk=chunk, small=small).collect()), key=repr)
         assert got == brute(given_rows), kind
     assert embedding_dedup.embedding_groups(frame.limit(0)).count() == 0
 
