@@ -150,7 +150,9 @@ def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
     sample = materialise(sample, "sample")
     # the sample has a proven size bound, so it may be broadcast
     met = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    return materialise(met.groupBy(*sample.columns).agg(F.min("text").alias("text")), "sampled-texts")
+    found = materialise(met, "sampled-texts")
+    rows, ids = found.agg(F.count("*"), F.countDistinct("id")).first()
+    return found if rows == ids else materialise(found.groupBy(*sample.columns).agg(F.min("text").alias("text")), "sampled-texts")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int = 1, rows: int = SAMPLE) -> Trees:
