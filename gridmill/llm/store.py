@@ -1,60 +1,7 @@
-"""Shared storage for intermediate tables.
-
-Lineage is cut by writing a table to the folder that the cluster names in
-``spark.checkpoint.dir``.  Every executor and the driver see that folder, so a
-lost executor never takes an intermediate result with it, and what was written
-is read back as a plain scan (with file sizes the planner can use).
-"""
+"""Shared storage for intermediate tables, as the rest of the library has it."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
-
-    Where the setting is absent, the folder given to ``setCheckpointDir`` is taken;
-    where neither is there, a temporary folder, but only on one machine (tests):
-    executors elsewhere would not see each other's files, so that is an error.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not base and given.isDefined():
-            base = given.get()
-        if not base:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="gridmill-")
-        _folders[app] = f"{base.rstrip('/')}/gridmill-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _folders[app])
-    return _folders[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; the cluster clears its own folder
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
+from ..plans.store import materialise, new_path, shared_folder
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared storage and return it as a scan of what was written."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "new_path", "shared_folder"]
