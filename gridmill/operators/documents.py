@@ -58,12 +58,19 @@ def identity(contents: DataFrame) -> DataFrame:
 
 
 def upload_checks(uploads: DataFrame, mark: str = "%PDF-", within: int = 1024) -> DataFrame:
-    """File name, whether the content has ``mark`` near its start, and whether it is small enough."""
+    """File name, whether the content looks like what the name says, and whether it is small enough.
+
+    A Word document begins with ``PK``, anything else has ``mark`` near its start.  A
+    name of more than ``MAX_NAME`` characters keeps the first 160 of its stem, and its suffix.
+    """
     keys = [c for c in uploads.columns if c not in ("name", "content")]
     start = F.decode(F.substring("content", 1, within), "ISO-8859-1")
+    name = F.regexp_extract("name", r"([^/?#]*)(?:[?#].*)?$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    short = F.concat(F.substring(F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", ""), 1, 160), suffix)
     return uploads.select(
         *keys,
-        F.regexp_extract("name", r"([^/?#]*)(?:[?#].*)?$", 1).alias("filename"),
-        start.contains(mark).alias("signature_ok"),
+        F.when(F.length(name) > MAX_NAME, short).otherwise(name).alias("filename"),
+        F.when(suffix == ".docx", F.startswith(start, F.lit("PK"))).otherwise(start.contains(mark)).alias("signature_ok"),
         (F.octet_length("content") <= MAX_UPLOAD_BYTES).alias("size_ok"),
     )

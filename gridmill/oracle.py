@@ -219,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "text_warnings": _with(PARAGRAPHS, "select d.doc_id, count(p.doc_id) as n_paragraphs, case when count(p.doc_id) = 0 then 'no paragraph text detected in Word document' end as warning from documents d left join paras p using (doc_id) group by d.doc_id"),
         "full_text": _with(PARAGRAPHS, "select doc_id, string_agg(text, chr(10) order by para_index) as text from paras group by doc_id"),
         "sha256_docs": "select doc_id, sha256(text) as sha256, cast(octet_length(encode(text)) as bigint) as bytes from documents",
-        "upload_check": "select page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as filename, contains(html[:1024], '<!DOCTYPE') as signature_ok, octet_length(encode(html)) <= 26214400 as size_ok from pages",
+        "upload_check": r"select page_id, case when length(f) > 180 then substr(regexp_replace(f, '([^.])\.[^.]+$', '\1'), 1, 160) || lower(regexp_extract(f, '[^.](\.[^.]+)$', 1)) else f end as filename, case when lower(f) like '%.docx' then starts_with(html, 'PK') else contains(html[:1024], '<!DOCTYPE') end as signature_ok, octet_length(encode(html)) <= 26214400 as size_ok from (select *, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) as f from pages)",
         "output_filename": r"select page_id, case when substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) = '' then 'document' else substring(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 100) end || '-tables.csv' as filename from pages",
         "header_normalize": _with(PARAGRAPHS, f"select doc_id, para_index, {_norm('text')} as header from paras"),
         "sheet_safe": _with(PARAGRAPHS, f"select doc_id, para_index, {_safe('t')} as safe from (select doc_id, para_index, ['=', '  +', '-', ' @', chr(9), ''][doc_id % 6 + 1] || text as t from paras)"),

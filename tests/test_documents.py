@@ -240,6 +240,14 @@ def test_evaluation(spark, folder, tmp_path):
     assert cli.main(["evaluate", str(path)]) == 0
 
 
+def test_upload_rules(spark):
+    from gridmill.operators.documents import upload_checks
+
+    rows = [("a/b.pdf", b"x%PDF-1.4"), ("c.docx", b"PK\x03\x04"), ("c.docx", b"xPK"), ("d.PDF", b"PK"), ("n" * 190 + ".PDF", b"%PDF-")]
+    got = [(r.filename, r.signature_ok, r.size_ok) for r in upload_checks(spark.createDataFrame(rows, "name string, content binary")).collect()]
+    assert got == [("b.pdf", True, True), ("c.docx", True, True), ("c.docx", False, True), ("d.PDF", False, True), ("n" * 160 + ".pdf", True, True)]
+
+
 def test_pages_beyond_the_last(spark, folder):
     found = {name(r): (r.page, r.text, r.warning) for r in api.extract_text(spark, str(folder), 2).collect()}
     assert found["invoice.pdf"] == (2, None, "page must be between 1 and 1 (received 2)") and found["two.pdf"][2] is None
