@@ -6,6 +6,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,6 +212,20 @@ def test_language_model_scores_against_exact_grams(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(80)], want, rtol=0, atol=1e-4)
 
 
+def test_language_model_scores_a_chunk_in_parts(monkeypatch):
+    """A worker holds the symbols of some texts, not of the whole chunk; sums do not depend on where a part ends."""
+    texts = ["abcab" * 300, "", None, "\x00b\u00dfc" * 40, "a", "cabba" * 7] * 4
+    symbols, _ = lm_scoring._symbols(texts)
+    hi, lo, n = lm_scoring._distinct(symbols)
+    bits = (np.arange(len(hi), dtype=np.float32), n.astype(np.float32))
+    whole = lm_scoring._scored(pa.chunked_array([texts]), hi, lo, bits)
+    monkeypatch.setattr(lm_scoring, "_PART", 100)
+    sizes = [len(p[0]) for p in lm_scoring._parts(pa.chunked_array([texts]))]
+    assert len(sizes) > 4 and max(sizes) < 100 + 1500 + 5 and sum(sizes) == len(symbols)
+    for a, b in zip(whole, lm_scoring._scored(pa.chunked_array([texts]), hi, lo, bits), strict=True):
+        assert np.allclose(a, b)
+
+
 @pytest.mark.parametrize("characters", [300, 6000])
 def test_language_model_tells_rare_scripts_apart(spark, characters):
     """Every character is a symbol; beyond 4,095 of them a gram is too wide for one number."""
