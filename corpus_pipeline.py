@@ -1,7 +1,8 @@
 """A training-data pipeline out of five operators: filter, deduplicate, mix, encode.
 
 Each stage works on all that its predecessor kept; what it decides takes effect
-in what it returns.  All but the last return the columns of ``documents``.
+in what it returns.  All but the last return the columns of ``documents``; in
+``run`` the mixture adds each row's place, which the last stage returns.
 """
 
 from __future__ import annotations
@@ -27,20 +28,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_rows(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the rows in the order of a mixture with smoothed source weights; each row comes once."""
-    return mixing.in_order(docs)
+#: Column of a row's place in the mixture.
+PLACE = "mix_position"
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, place: str | None = None) -> DataFrame:
+    """Put the rows in the order of a mixture with smoothed source weights; each row comes once.
+
+    Files lose their order when they are read again, so ``run`` has each row's
+    place written with it, as column ``place``.
+    """
+    return mixing.in_order(docs, place=place)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, byte spans and their digests of every document, with its place in the mixture.
 
-    Files lose their order when they are read again, so ``mix_position`` states
-    the mixture's: it follows from the rows alone, and is the one that
-    ``mix_sources`` has put them in.  A null text counts as empty and has no ids;
-    repeated rows come out as often as they come in.
+    ``mix_position`` is the place that ``mix_sources`` has given a row; rows
+    without one are numbered as they lie.  A null text counts as empty and has no
+    ids; repeated rows come out as often as they come in.
     """
-    placed = mixing.mix(docs).select("row.doc_id", "row.text", "mix_position")
+    place = F.col(PLACE) if PLACE in docs.columns else F.monotonically_increasing_id()
+    placed = docs.select("doc_id", "text", place.alias("mix_position"))
     coded = sentencepiece_spans.encode(placed, queries.piece_model(), decode=True, carry=("mix_position",))
     return coded.select(
         F.col("id").alias("doc_id"),
@@ -70,5 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; every stage's rows are written to shared storage and read again."""
     docs = queries._table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        more = {"place": PLACE} if stage is mix_sources else {}
+        docs = store.materialise(stage(spark, docs, sf_dir, **more), f"pipeline-{name}")
     return docs

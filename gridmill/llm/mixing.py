@@ -198,10 +198,13 @@ def _mixed(docs: DataFrame, counts: dict[str, int], weights: dict[str, float] |
 
 
 def in_order(
-    docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, ranked_rows: int = RANKED_ROWS, seed: int = 42
+    docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, ranked_rows: int = RANKED_ROWS, seed: int = 42, place: str | None = None
 ) -> DataFrame:
     """The rows of ``docs``, columns as they are, in the mixture's order (over partitions and within them).
 
+    With ``place`` a last column of that name (which replaces one of ``docs``) holds
+    each row's ``mix_position``, so that the order outlasts files.
+
     There are ``partitions`` of equally many slots (as many as the session's
     shuffles have, if not given); slots are known, so nothing has to be sampled.
     """
@@ -210,4 +213,7 @@ def in_order(
     slots = max(1, sum(-(-c // block) for c in counts.values()))
     mixed = _mixed(docs, counts, weights, id_col, source_col, block, ranked_rows, seed)
     dealt = mixed.repartitionById(n, F.floor(F.col("mix_slot") * n / slots).cast("int"))
-    return dealt.sortWithinPartitions("mix_position").select("row.*")
+    ordered = dealt.sortWithinPartitions("mix_position")
+    if place is None:
+        return ordered.select("row.*")
+    return ordered.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != place], F.col("mix_position").alias(place))

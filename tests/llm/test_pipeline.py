@@ -75,6 +75,16 @@ def test_run_returns_the_order_of_the_mixture(spark):
     assert len(counts) > 1 and all(due[r.mix_position // mixing.BLOCK] == sources[r.doc_id] for r in rows)
 
 
+def test_encode_returns_the_places_that_the_mixture_gives(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    mixed = materialise(pipeline.mix_sources(spark, docs, SF, place=pipeline.PLACE), "test-placed")
+    assert mixed.columns == [*docs.columns, pipeline.PLACE]
+    # encode takes a row's place as it is given, also one that it would not have found itself
+    given = mixed.withColumn(pipeline.PLACE, mixed[pipeline.PLACE] * 2 + 1)
+    found = {r.doc_id: r.mix_position for r in pipeline.encode(spark, given, SF).collect()}
+    assert found == {r.doc_id: r[pipeline.PLACE] for r in given.collect()} and len(found) == 30
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, number int, __row string, component long, mix_slot int"
 
 
