@@ -25,16 +25,29 @@ def is_blank(value: Column) -> Column:
 _FOLDS = json.dumps({chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()})
 
 
+#: Characters of lower case that fold otherwise: those that are common, and ranges that hold all others.
+_COMMON_FOLDS = {c: c.casefold() for c in "\xdf\xb5\u017f\u03c2"}
+_RARE = "[\u0149\u01f0\u0345\u0390\u03b0\u03d0-\u03f5\u0587\u13a0-\u13fd\u1c80-\u1c88\u1e96-\u1e9e\u1f50-\u1fff\uab70-\uabbf\ufb00-\ufb17]"
+
+
+def is_ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.char_length(value)
+
+
 def casefold(value: Column) -> Column:
-    """Unicode case folding; texts of ASCII alone, or without any of the characters that fold otherwise, are only lowered."""
+    """Unicode case folding: lowered, then the few characters that fold otherwise; only texts with a rare one go letter by letter."""
     table = F.from_json(F.lit(_FOLDS), "map<string,string>")
     each = F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(table, c), F.lower(c)))
-    return F.when(value.rlike(r"[^\x00-\x7f]"), F.array_join(each, "")).otherwise(F.lower(value))
+    lowered = folded = F.lower(value)
+    for c, fold in _COMMON_FOLDS.items():
+        folded = F.replace(folded, F.lit(c), F.lit(fold))
+    return F.when(is_ascii(value), lowered).when(lowered.rlike(_RARE), F.array_join(each, "")).otherwise(folded)
 
 
 def normalize_header(value: Column) -> Column:
     """Case folded, every run of characters that are no letter, digit or underscore one space, trimmed."""
-    return F.trim(F.regexp_replace(casefold(value), _NOT_WORD, " "))
+    plain = F.regexp_replace(F.lower(value), "[^a-z0-9_]+", " ")
+    return F.trim(F.when(is_ascii(value), plain).otherwise(F.regexp_replace(casefold(value), _NOT_WORD, " ")))
 
 
 _CONTROLS = [chr(c) for c in range(32) if c not in (9, 10, 13)]
