@@ -22,15 +22,28 @@ from ..plans.profile import Column as Field
 # The words for true and false.
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
 _PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
+_CANONICAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 _EXOTIC = r"(?U)^[\s\d_.eE+-]+$"
 #: Plain numbers of up to so many characters compare as decimal(38, 18); longer ones by the slow path.
 _SHORT = 19
 
 
-@pandas_udf(StringType())
-def _exotic_decimal(raw: pd.Series) -> pd.Series:
-    """Canonical text of decimals in other than plain ASCII notation; null where it is no finite number."""
+def _of_given(one):
+    """Arrow function of ``one`` of each text that is not null; the others, which are nearly all, cost nothing.
 
+    Functions within functions are sent to workers whole, which then need no module of ours.
+    """
+
+    def run(raw: pd.Series) -> pd.Series:
+        out, given = pd.Series([None] * len(raw), dtype=object), raw.notna()
+        if given.any():
+            out[given.to_numpy()] = [one(v) for v in raw[given]]
+        return out
+
+    return pandas_udf(run, StringType())
+
+
+def _decimal_reader():
     def one(text):
         try:
             number = Decimal(text)
@@ -38,19 +51,23 @@ def _exotic_decimal(raw: pd.Series) -> pd.Series:
             return None
         return format(number, "f") if number.is_finite() and abs(number.adjusted()) < 10_000 else None
 
-    return raw.map(one)
+    return one
+
+
+#: Canonical text of decimals in other than plain ASCII notation; null where it is no finite number.
+_exotic_decimal = _of_given(_decimal_reader())
 
 
 @pandas_udf(IntegerType())
 def _compare_long(value: pd.Series, bound: pd.Series) -> pd.Series:
     """Sign of value minus bound, exactly."""
+    if not value.notna().any():
+        return pd.Series([None] * len(value), dtype="Int32")
     return pd.Series([None if v is None else int(Decimal(v).compare(Decimal(b))) for v, b in zip(value, bound, strict=True)], dtype="Int32")
 
 
-@pandas_udf(StringType())
-def _exotic_integer(raw: pd.Series) -> pd.Series:
-    """Digits of whole numbers written in digits of other scripts."""
-    return raw.map(lambda text: None if text is None else str(int(text)))
+#: Digits of whole numbers written in digits of other scripts.
+_exotic_integer = _of_given(lambda text: str(int(text)))
 
 
 def plain_integer(raw: Column) -> Column:
@@ -79,7 +96,8 @@ def plain_decimal(raw: Column) -> Column:
     whole = F.when(whole == "", F.lit("0")).otherwise(whole)
     part = F.when(body.contains("."), F.substring_index(body, ".", -1)).otherwise(F.lit(""))
     text = F.concat(F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit("")), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")))
-    return F.when(raw.rlike(_PLAIN) & ~raw.contains("\n"), text)
+    # most numbers are canonical as they are written
+    return F.when(raw.rlike(_CANONICAL), raw).when(raw.rlike(_PLAIN) & ~raw.contains("\n"), text)
 
 
 def _other_decimals(raw: Column, plain: Column) -> Column:
@@ -176,6 +194,16 @@ def completed(raw: Column, simple: Column, field: Field) -> Column:
     return simple
 
 
+def is_plain(field: Field) -> bool:
+    """Whether ``plain`` gives all there is, so that no Arrow function is needed."""
+    if field.kind == "date":
+        try:
+            return bool([_date_format(f) for f in field.formats])
+        except ValueError:
+            return False
+    return field.kind in ("string", "boolean")
+
+
 def canonical(raw: Column, field: Field) -> Column:
     """Canonical text of ``raw``, null where it is not of the field's type."""
     return completed(raw, plain(raw, field), field)

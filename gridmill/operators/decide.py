@@ -71,7 +71,9 @@ def all_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> D
     Of issues with the same JSON the first stays.
     """
     order = Window.partitionBy("doc_id", "json").orderBy("scope", "a", "b")
-    first = _every_issue(documents, flagged, unique).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    # both windows take rows as they lie, so issues are shuffled once
+    every = _every_issue(documents, flagged, unique).repartition("doc_id")
+    first = every.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("scope", "a", "b"))
     return first.select("doc_id", position.alias("issue_number"), "scope", "issue", "json")
 

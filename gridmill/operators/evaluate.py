@@ -13,33 +13,50 @@ from pyspark.sql import functions as F
 from ..functions.text import f1, ratio
 
 METRICS = ("field_precision", "field_recall", "field_f1", "exact_record_rate", "decision_accuracy", "cases")
-_CELL = ["case_id", "row", "field"]
 
 
-def compare_cells(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """``case_id, true_positive, false_positive, false_negative``.
+def nested(cells: DataFrame) -> DataFrame:
+    """``case_id, row, cells array<struct<field, value>>`` of long cells."""
+    return cells.groupBy("case_id", "row").agg(F.collect_list(F.struct("field", "value")).alias("cells"))
 
-    Cells are bags: a cell that comes twice on one side and once on the other
-    matches once.
+
+def compare_records(predicted: DataFrame, expected: DataFrame) -> DataFrame:
+    """Counts of cells (``true_positive, false_positive, false_negative``) and of records (``exact_records, predicted_records, expected_records``) of each ``case_id``.
+
+    Both sides are ``nested``, with one row per record, and are shuffled as such,
+    once.  Cells are bags: a cell that comes twice on one side and once on the other
+    matches once.  Records agree by position in every field.
     """
-    bag = lambda df, name: df.where(F.col("value").isNotNull()).groupBy(*_CELL, "value").agg(F.count("*").alias(name))
-    both = bag(predicted, "p").join(bag(expected, "e"), [*_CELL, "value"], "full").na.fill(0, ["p", "e"])
-    same = F.least("p", "e")
-    return both.groupBy("case_id").agg(F.sum(same).alias("true_positive"), F.sum(F.col("p") - same).alias("false_positive"), F.sum(F.col("e") - same).alias("false_negative"))
-
-
-def exact_records(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """``case_id, exact_records, predicted_records, expected_records``: records agree by position in every field."""
-    whole = lambda df, name: df.groupBy("case_id", "row").agg(F.sort_array(F.collect_list(F.struct("field", "value"))).alias(name))
-    both = whole(predicted, "p").join(whole(expected, "e"), ["case_id", "row"], "full")
-    return both.groupBy("case_id").agg(
-        F.count_if(F.col("p") == F.col("e")).alias("exact_records"), F.count("p").alias("predicted_records"), F.count("e").alias("expected_records")
+    both = predicted.withColumnRenamed("cells", "p").join(expected.withColumnRenamed("cells", "e"), ["case_id", "row"], "full")
+    equal = F.when(F.col("p") == F.col("e"), F.lit(True)).otherwise(F.sort_array("p") == F.sort_array("e"))
+    given = lambda side: F.filter(F.coalesce(side, F.array().cast(predicted.schema["cells"].dataType)), lambda c: c["value"].isNotNull())
+    sides = both.select("case_id", "p", "e", equal.alias("equal"), given(F.col("p")).alias("ps"), given(F.col("e")).alias("es"))
+    times = lambda side, x: F.size(F.filter(side, lambda c: (c["field"] == x["field"]) & (c["value"] == x["value"])))
+    bags = F.aggregate(F.array_distinct("ps"), F.lit(0), lambda n, x: n + F.least(times(F.col("ps"), x), times(F.col("es"), x)))
+    same = F.when(F.col("equal"), F.size("ps")).otherwise(bags)
+    counted = sides.select(
+        "case_id",
+        same.alias("same"),
+        F.size("ps").alias("ps"),
+        F.size("es").alias("es"),
+        F.col("equal").alias("equal"),
+        F.col("p").isNotNull().alias("p"),
+        F.col("e").isNotNull().alias("e"),
+    )
+    return counted.groupBy("case_id").agg(
+        F.sum("same").alias("true_positive"),
+        F.sum(F.col("ps") - F.col("same")).alias("false_positive"),
+        F.sum(F.col("es") - F.col("same")).alias("false_negative"),
+        F.count_if("equal").alias("exact_records"),
+        F.count_if("p").alias("predicted_records"),
+        F.count_if("e").alias("expected_records"),
     )
 
 
 def case_counts(predicted: DataFrame, expected: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Counts of every case of ``decisions`` (``case_id, decision, expected_decision``), also of those without cells."""
-    joined = decisions.join(compare_cells(predicted, expected), "case_id", "left").join(exact_records(predicted, expected), "case_id", "left").na.fill(0)
+    """Counts of every case of ``decisions`` (``case_id, decision, expected_decision``), also of those without cells; both sides long or ``nested``."""
+    sides = [side if "cells" in side.columns else nested(side) for side in (predicted, expected)]
+    joined = decisions.join(compare_records(*sides), "case_id", "left").na.fill(0)
     return joined.withColumn("record_denominator", F.greatest("predicted_records", "expected_records")).withColumn(
         "decision_correct", F.col("decision").eqNullSafe(F.col("expected_decision")).cast("long")
     )

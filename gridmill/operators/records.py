@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.convert import codes, completed, message, plain
+from ..functions.convert import codes, completed, is_plain, message, plain
 from ..functions.text import normalize_header, strip
 from ..plans.profile import Profile
 from .match import alias_map
@@ -44,11 +44,15 @@ def source_of(row: Column | None = None, column: Column | None = None, columns:
 def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
     """Rows below the header (all rows of a continued table) that are neither blank nor the header again."""
     usable = matched.where(F.col("kind").isin("compatible", "continued"))
+    if "table_issues" in usable.columns:
+        # all that rows need of their table's issues
+        usable = usable.select(*TABLE, "page", "table_index", "bbox", "header_row", "header", "mapping", (F.size("table_issues") > 0).alias("table_flagged"))
+    # once for each table instead of each row
+    usable = usable.withColumn("mapped", F.filter(F.col("mapping"), lambda x: x.isNotNull()))
     # both sides by document: the joins and windows above keep that partitioning
     joined = rows.repartition("doc_id").join(usable.repartition("doc_id"), TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
     joined = joined.where(F.exists("cells", lambda c: strip(c) != ""))
-    names = F.array(*[F.lit(f) for f in profile.fields])
-    mapped = F.filter(F.col("mapping"), lambda x: x.isNotNull())
+    names, mapped = F.array(*[F.lit(f) for f in profile.fields]), F.col("mapped")
     lookup = alias_map(profile)
     # stops at the first mapped cell that does not name its field, which for data is the first one
     same = F.forall(
@@ -113,7 +117,7 @@ def typed(data: DataFrame, profile: Profile) -> DataFrame:
     """Add ``fields``: for each profile column ``name, column, raw, value, codes``, in profile order."""
     at = [F.get(F.col("mapping"), F.lit(i)) for i in range(len(profile.columns))]
     # raw texts, then plain values, then the rest: each is read several times by the next
-    out = data.select("*", *[F.when(p.isNotNull(), strip(F.coalesce(F.get(F.col("cells"), p), F.lit("")))).alias(f"__raw{i}") for i, p in enumerate(at)])
+    out = data.select("*", *[_raw(profile, i).alias(f"__raw{i}") for i in range(len(at))])
     out = out.select("*", *[plain(F.col(f"__raw{i}"), f).alias(f"__plain{i}") for i, f in enumerate(profile.columns)])
     parts = []
     for i, f in enumerate(profile.columns):
@@ -133,6 +137,25 @@ def typed(data: DataFrame, profile: Profile) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in data.columns], F.array(*parts).alias("fields"))
 
 
+def _raw(profile: Profile, i: int) -> Column:
+    """Stripped text of profile column ``i``; null where it has no source column."""
+    at = F.get(F.col("mapping"), F.lit(i))
+    return F.when(at.isNotNull(), strip(F.coalesce(F.get(F.col("cells"), at), F.lit(""))))
+
+
+def _with_keys(frame: DataFrame, values: list[Column]) -> DataFrame:
+    """Add ``__whole`` (no part of the key is null), and the first record and number of records of each key."""
+    whole = F.lit(True)
+    for v in values:
+        whole &= v.isNotNull()
+    keyed = frame.select("*", whole.alias("__whole"), F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)]).alias("__key"))
+    same = Window.partitionBy("doc_id", "__whole", "__key")
+    return keyed.select(*frame.columns, "__whole", F.min("record_index").over(same).alias("__first"), F.count("*").over(same).alias("__times"))
+
+
+_KEYS = ["__whole", "__first", "__times"]
+
+
 def _cell_issues(profile: Profile) -> Column:
     texts = F.create_map(*[x for f in profile.columns for code in ("blank_required_value", "invalid_type", "pattern_mismatch", "value_not_allowed", "below_minimum", "above_maximum") for x in (F.lit(f"{f.name} {code}"), F.lit(message(code, f)))])
     listed = F.flatten(
@@ -157,8 +180,15 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
     order = Window.partitionBy("doc_id").orderBy("table_seq", "row")
     # numbered before conversion: an Arrow function in the plan hides how the rows are partitioned
     numbered = data_rows(issued, rows, profile).withColumn("record_index", (F.row_number().over(order) - 1).cast("long"))
+    keys = [(i, f) for i, f in enumerate(profile.columns) if f.name in profile.table["unique_by"]]
+    if keys and all(is_plain(f) for _, f in keys):
+        # keys that need no Arrow function are compared here, where rows lie by document and are narrow
+        texts = numbered.select("*", *[_raw(profile, i).alias(f"__text{i}") for i, _ in keys])
+        numbered = _with_keys(texts, [F.when(F.col(f"__text{i}") != "", F.coalesce(plain(F.col(f"__text{i}"), f), F.col(f"__text{i}"))) for i, f in keys]).select(*numbered.columns, *_KEYS)
     data = typed(numbered, profile)
-    mapped = F.filter(F.col("mapping"), lambda x: x.isNotNull())
+    mapped = F.col("mapped")
+    # the first columns, as many as the row has, are all mapped
+    covered = (F.array_max("mapped") + 1 == F.size("mapped")) & (F.size("cells") <= F.size("mapped"))
     rest = F.filter(
         F.transform(F.col("cells"), lambda c, i: F.struct(i.cast("int").alias("column"), F.coalesce(F.get(F.col("header"), i), F.lit("")).alias("header"), strip(c).alias("raw"))),
         lambda x: ~F.array_contains(mapped, x["column"]) & ((strip(x["header"]) != "") | (x["raw"] != "")),
@@ -171,9 +201,10 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
         "row",
         "record_index",
         "fields",
-        rest.alias("unmapped_values"),
+        F.when(F.coalesce(covered, F.lit(False)), F.array().cast("array<struct<column:int,header:string,raw:string>>")).otherwise(rest).alias("unmapped_values"),
         _cell_issues(profile).alias("issues"),
-        (F.size("table_issues") > 0).alias("table_flagged"),
+        "table_flagged",
+        *[c for c in _KEYS if c in numbered.columns],
     )
 
 
@@ -189,17 +220,12 @@ def unique_check(records: DataFrame, profile: Profile) -> DataFrame:
     if not keys:
         return records.select("*", F.lit(None).cast(ISSUE).alias("duplicate"), F.lit(None).cast("long").alias("first_of_key"), status(review))
     at = {name: i for i, name in enumerate(profile.fields)}
-    values = [F.col("fields")[at[k]]["value"] for k in keys]
-    whole = F.lit(True)
-    for v in values:
-        whole &= v.isNotNull()
-    keyed = records.select("*", whole.alias("__whole"), F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)]).alias("__key"))
-    same = Window.partitionBy("doc_id", "__whole", "__key")
-    keyed = keyed.select("*", F.min("record_index").over(same).alias("__first"), F.count("*").over(same).alias("__times"))
+    # what extract_records has found, or could not without an Arrow function
+    keyed = records if "__first" in records.columns else _with_keys(records, [F.col("fields")[at[k]]["value"] for k in keys])
     repeated = F.col("__whole") & (F.col("__first") < F.col("record_index"))
     found = issue("error", "duplicate_record_key", f"duplicate record key for {', '.join(keys)}", records=F.array("__first", "record_index"))
     return keyed.select(
-        *records.columns,
+        *[c for c in records.columns if c not in _KEYS],
         F.when(repeated, found).alias("duplicate"),
         F.when(F.col("__whole"), F.col("__first")).alias("first_of_key"),
         status(review | (F.col("__whole") & (F.col("__times") > 1))),

@@ -89,6 +89,11 @@ class Extraction:
             "doc_id", "record_index", "f.name", "f.raw", "f.value", F.when(F.col("f.has_evidence"), F.struct("page", "table_index", "row", "f.column", "f.bbox")).alias("evidence")
         )
 
+    @property
+    def record_cells(self) -> DataFrame:
+        """``doc_id, record_index, cells array<struct<field, value>>`` of every record."""
+        return self._records.select("doc_id", "record_index", F.transform("fields", lambda f: F.struct(f["name"].alias("field"), f["value"].alias("value"))).alias("cells"))
+
     @property
     def wide(self) -> DataFrame:
         """Records with one column per profile column, holding canonical text."""

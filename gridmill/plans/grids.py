@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, ix, item, qty, price`` of every order line."""
+    return _lines(spark, sf_dir).drop("final")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_lines``, and whether a line is the last of its order."""
     key = F.col("l_partkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     qty = F.when(key % 17 == 0, F.lit("many")).when(key % 19 == 0, F.lit("")).when(key % 23 == 0, F.lit("-3")).otherwise(F.col("l_quantity").cast("long").cast("string"))
@@ -44,6 +49,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("P"), key.cast("string")).alias("item"),
         qty.alias("qty"),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"),
+        F.lead(F.lit(True)).over(order).isNull().alias("final"),
     )
 
 
@@ -55,24 +61,25 @@ def _header(doc: Column) -> Column:
 
 
 def order_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, tables and rows of the order grid."""
+    """Documents, tables and rows of the order grid; each frame reads and shuffles the lines once."""
     doc = F.col("doc_id")
-    lines = order_lines(spark, sf_dir).withColumn("table_seq", F.floor(F.col("ix") / 5).cast("int")).withColumn("at", (F.col("ix") % 5).cast("int"))
+    lines = _lines(spark, sf_dir).withColumn("table_seq", F.floor(F.col("ix") / 5).cast("int")).withColumn("at", (F.col("ix") % 5).cast("int"))
     headed = (F.col("table_seq") == 0) | (doc % 3 != 0)
+    first, stray, after = F.col("at") == 0, F.col("final") & (doc % 7 == 0), F.col("table_seq") + 1
     cells = F.array("item", "qty", "price")
     cells = F.when(doc % 5 == 0, F.concat(cells, F.array(F.concat(F.lit("c"), F.col("ix").cast("string"))))).otherwise(cells)
-    data = lines.select("doc_id", "table_seq", (F.col("at") + headed.cast("int")).alias("row"), cells.alias("cells"))
-    pages = lines.where("at = 0").select("doc_id", "table_seq")
-    headers = pages.where(headed).select("doc_id", "table_seq", F.lit(0).alias("row"), _header(doc).alias("cells"))
-    last = pages.groupBy("doc_id").agg(F.max("table_seq").alias("last"))
-    stray = last.where(doc % 7 == 0)
     partial = F.array(F.array(F.lit("Item"), F.lit("Code")), F.array(F.lit("x"), F.lit("")))
     strange = F.array(F.array(F.lit("Date"), F.lit("Operator")), F.array(F.lit(""), F.lit("")))
-    stray_rows = stray.select("doc_id", (F.col("last") + 1).alias("table_seq"), F.posexplode(F.when(doc % 2 == 0, partial).otherwise(strange)).alias("row", "cells"))
-    tables = pages.select("doc_id", "table_seq", (F.col("table_seq") + 1).alias("page"), F.lit(0).alias("table_index")).unionByName(
-        stray.select("doc_id", (F.col("last") + 1).alias("table_seq"), (F.col("last") + 1).alias("page"), F.lit(1).alias("table_index"))
-    )
-    return last.select("doc_id"), tables, data.unionByName(headers).unionByName(stray_rows)
+    odd = F.when(doc % 2 == 0, partial).otherwise(strange)
+    row = lambda seq, n, texts: F.struct(seq.alias("table_seq"), n.alias("row"), texts.alias("cells"))
+    data = F.array(row(F.col("table_seq"), F.col("at") + headed.cast("int"), cells))
+    header = F.array(row(F.col("table_seq"), F.lit(0), _header(doc)))
+    strays = F.array(*[row(after, F.lit(i), odd[i]) for i in range(2)])
+    every = F.when(first & headed & stray, F.concat(data, header, strays)).when(first & headed, F.concat(data, header)).when(stray, F.concat(data, strays)).otherwise(data)
+    table_of = lambda seq, page, index: F.struct(seq.alias("table_seq"), page.alias("page"), F.lit(index).alias("table_index"))
+    page, extra = F.array(table_of(F.col("table_seq"), after, 0)), F.array(table_of(after, after, 1))
+    tables = lines.where(first | stray).select("doc_id", F.inline(F.when(first & stray, F.concat(page, extra)).when(first, page).otherwise(extra)))
+    return lines.where("ix = 0").select("doc_id"), tables, lines.select("doc_id", F.inline(every))
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -312,3 +312,50 @@ def test_headers_are_case_folded(spark, text):
 def test_sheet_titles():
     used = {"Review"}
     assert [export.safe_sheet_title(t, used) for t in ("Table 1", "Table 1", "a/b", "", "x" * 40, "x" * 40)] == ["Table 1", "Table 1 2", "a b", "Table", "x" * 31, "x" * 29 + " 2"]
+
+
+def test_casefold_and_headers_of_any_character(spark):
+    """Every character that folds otherwise than by lowering, alone and inside words, as Python folds it."""
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()]
+    texts = [f"A{c}b {c}" for c in odd] + ["ΟΔΟΣ Straße µ ſ", "İx", "Plain  Text_1!", "É À", "", "!!", "a\nB"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select("t", text.casefold(F.col("t")).alias("f"), text.normalize_header(F.col("t")).alias("h")).collect()
+    for r in got:
+        assert r.f == r.t.casefold()
+        if r.t.isascii():
+            assert r.h == re.sub(r"[^a-z0-9_]+", " ", r.t.lower()).strip(" ")
+    # the table of all folds is only met by texts with a rare character
+    assert re.search(text._RARE, "straße µ ſ ς") is None and all(re.search(text._RARE, c.lower()) or c.lower() in text._COMMON_FOLDS for c in odd)
+
+
+def test_cells_are_compared_as_bags_in_nested_records(spark):
+    from gridmill.operators import evaluate
+
+    rng = random.Random(4)
+    side = lambda: [(rng.randrange(3), rng.randrange(4), rng.choice("ab"), rng.choice(["x", "y", None])) for _ in range(60)]
+    p, e = side(), side()
+    frames = [spark.createDataFrame(x, "case_id long, row long, field string, value string") for x in (p, e)]
+    got = {r.case_id: (r.true_positive, r.false_positive, r.false_negative, r.exact_records, r.predicted_records, r.expected_records) for r in evaluate.compare_records(*map(evaluate.nested, frames)).collect()}
+    from collections import Counter
+
+    for case in {x[0] for x in p + e}:
+        mine, other = (Counter(x for x in s if x[0] == case and x[3] is not None) for s in (p, e))
+        rows = [{k: sorted((x[2:] for x in s if x[:2] == (case, k)), key=repr) for k in {x[1] for x in s if x[0] == case}} for s in (p, e)]
+        same = sum((mine & other).values())
+        exact = sum(rows[0][k] == rows[1].get(k) for k in rows[0])
+        assert got[case] == (same, sum(mine.values()) - same, sum(other.values()) - same, exact, len(rows[0]), len(rows[1]))
+
+
+def test_big_stages_are_left_to_methods_that_the_jvm_compiles(spark):
+    assert int(tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_keys_are_compared_before_an_arrow_function(spark):
+    """Above the first Arrow function nothing is shuffled: the windows over keys lie below it."""
+    from gridmill import queries
+    from gridmill.operators import records
+
+    found = queries._extraction(spark, "/root/testdata/sf0.001")
+    plan = records.unique_check(records.extract_records(found._matched, found._grid_rows, found.profile), found.profile)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan[: plan.index("ArrowEvalPython")] and plan.count("Window") >= 2
+    found.release()
