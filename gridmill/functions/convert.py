@@ -8,6 +8,8 @@ convert stays as it was read.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from datetime import datetime
 from decimal import Decimal, InvalidOperation
 
@@ -18,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from ..plans.profile import Column as Field
+from .text import strip
 
 # The words for true and false.
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -69,6 +72,48 @@ def _compare_long(value: pd.Series, bound: pd.Series) -> pd.Series:
 #: Digits of whole numbers written in digits of other scripts.
 _exotic_integer = _of_given(lambda text: str(int(text)))
 
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None]
+#: For ``translate``: digits of other scripts and the ASCII digits that they stand for.
+_OTHER_DIGITS = "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def _read_decimal(raw: Column) -> Column:
+    """What ``_exotic_decimal`` gives, without a Python worker: exponents written out, underscores left out, digits of other scripts read."""
+    # characters without a counterpart, here the underscore, are deleted
+    text = F.translate(strip(raw), _OTHER_DIGITS[0] + "_", _OTHER_DIGITS[1])
+    body = F.lower(F.regexp_replace(text, r"^[+-]", ""))
+    mantissa, exponent = F.substring_index(body, "e", 1), F.when(body.contains("e"), F.substring_index(body, "e", -1).try_cast("int")).otherwise(F.lit(0))
+    part = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.concat(F.substring_index(mantissa, ".", 1), part), r"^0+(?=[0-9])", "")
+    power = exponent.cast("long") - F.length(part)
+    fits = F.abs(power + F.length(digits) - 1) < 10_000
+    # a point inside the digits, which are filled with zeros before it
+    filled = F.when(F.length(digits) > -power, digits).otherwise(F.concat(F.repeat(F.lit("0"), (1 - power - F.length(digits)).cast("int")), digits))
+    split = (F.length(filled) + power).cast("int")
+    plain = (
+        F.when(power == 0, digits)
+        .when(power > 0, F.when(digits == "0", digits).otherwise(F.concat(digits, F.repeat(F.lit("0"), power.cast("int")))))
+        .otherwise(F.concat(F.substring(filled, F.lit(1), split), F.lit("."), F.substring(filled, split + 1, F.length(filled))))
+    )
+    number = text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
+    return F.when(number & fits, F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), plain))
+
+
+def _compare_texts(value: Column, limit: str) -> Column:
+    """What ``_compare_long`` gives, without a Python worker: sign, length and digits of canonical numbers are compared."""
+    sign = (Decimal(limit) > 0) - (Decimal(limit) < 0)
+    whole_at, _, part_at = limit.lstrip("-").partition(".")
+    part_at = part_at.rstrip("0")
+    body = F.regexp_replace(value, "^-", "")
+    whole = F.substring_index(body, ".", 1)
+    part = F.when(body.contains("."), F.rtrim(F.substring_index(body, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    own = F.when((whole == "0") & (part == ""), F.lit(0)).when(value.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    size = (
+        F.when(F.length(whole) < len(whole_at), F.lit(-1)).when(F.length(whole) > len(whole_at), F.lit(1))
+        .when(whole < whole_at, F.lit(-1)).when(whole > whole_at, F.lit(1)).when(part < part_at, F.lit(-1)).when(part > part_at, F.lit(1)).otherwise(F.lit(0))
+    )
+    return F.when(value.isNotNull(), F.when(own < sign, F.lit(-1)).when(own > sign, F.lit(1)).when(own == 0, F.lit(0)).otherwise(own * size))
+
 
 def plain_integer(raw: Column) -> Column:
     """Digits without leading zeros, with a minus sign; null where they are no ASCII digits."""
@@ -77,10 +122,10 @@ def plain_integer(raw: Column) -> Column:
     return F.when(raw.rlike(r"^[+-]?[0-9]+$") & ~raw.contains("\n"), value)
 
 
-def _other_digits(raw: Column, plain: Column) -> Column:
-    """Whole numbers in digits of other scripts; only those go through an Arrow function."""
+def _other_digits(raw: Column, plain: Column, jvm: bool = False) -> Column:
+    """Whole numbers in digits of other scripts; only those go through an Arrow function, with ``jvm`` none."""
     odd = F.when(plain.isNull() & raw.rlike(r"(?U)^[+-]?\d+\z"), raw)
-    return F.when(odd.isNotNull(), _exotic_integer(odd))
+    return F.when(odd.isNotNull(), plain_integer(F.translate(odd, *_OTHER_DIGITS)) if jvm else _exotic_integer(odd))
 
 
 def canonical_integer(raw: Column) -> Column:
@@ -100,10 +145,10 @@ def plain_decimal(raw: Column) -> Column:
     return F.when(raw.rlike(_CANONICAL), raw).when(raw.rlike(_PLAIN) & ~raw.contains("\n"), text)
 
 
-def _other_decimals(raw: Column, plain: Column) -> Column:
-    """Decimals with exponents, underscores or other digits; only those go through an Arrow function."""
+def _other_decimals(raw: Column, plain: Column, jvm: bool = False) -> Column:
+    """Decimals with exponents, underscores or other digits; only those go through an Arrow function, with ``jvm`` none."""
     odd = F.when(plain.isNull() & raw.rlike(_EXOTIC), raw)
-    return F.when(odd.isNotNull(), _exotic_decimal(odd))
+    return F.when(odd.isNotNull(), _read_decimal(odd) if jvm else _exotic_decimal(odd))
 
 
 def canonical_decimal(raw: Column) -> Column:
@@ -184,18 +229,24 @@ def plain(raw: Column, field: Field) -> Column:
     return raw
 
 
-def completed(raw: Column, simple: Column, field: Field) -> Column:
-    """Canonical text from ``simple`` (what ``plain`` gave, best a column of its own) and, where it is null, from other notations."""
+def completed(raw: Column, simple: Column, field: Field, jvm: bool = False) -> Column:
+    """Canonical text from ``simple`` (what ``plain`` gave, best a column of its own) and, where it is null, from other notations.
+
+    With ``jvm`` numbers are read without Arrow functions, which every row passes
+    through, to the same text.
+    """
     match field.kind:
         case "integer":
-            return F.coalesce(simple, _other_digits(raw, simple))
+            return F.coalesce(simple, _other_digits(raw, simple, jvm))
         case "decimal":
-            return F.coalesce(simple, _other_decimals(raw, simple))
+            return F.coalesce(simple, _other_decimals(raw, simple, jvm))
     return simple
 
 
-def is_plain(field: Field) -> bool:
-    """Whether ``plain`` gives all there is, so that no Arrow function is needed."""
+def is_plain(field: Field, jvm: bool = False) -> bool:
+    """Whether the canonical text needs no Arrow function."""
+    if jvm and field.kind in ("integer", "decimal"):
+        return True
     if field.kind == "date":
         try:
             return bool([_date_format(f) for f in field.formats])
@@ -209,7 +260,7 @@ def canonical(raw: Column, field: Field) -> Column:
     return completed(raw, plain(raw, field), field)
 
 
-def _sign(value: Column, bound: Decimal) -> Column:
+def _sign(value: Column, bound: Decimal, jvm: bool = False) -> Column:
     """-1, 0 or 1 as a canonical number is below, at or above ``bound``; exact at any length."""
     limit = format(bound, "f")
     exact = len(limit.lstrip("-")) <= _SHORT
@@ -217,7 +268,7 @@ def _sign(value: Column, bound: Decimal) -> Column:
     number, at = F.when(short, value.try_cast("decimal(38,18)")), F.lit(limit if exact else "0").cast("decimal(38,18)")
     quick = F.when(number < at, F.lit(-1)).when(number > at, F.lit(1)).when(number == at, F.lit(0))
     slow = F.when(~short, value)
-    return F.coalesce(quick, F.when(slow.isNotNull(), _compare_long(slow, F.lit(limit))))
+    return F.coalesce(quick, F.when(slow.isNotNull(), _compare_texts(slow, limit) if jvm else _compare_long(slow, F.lit(limit))))
 
 
 #: Patterns that Java reads as Python does: plain characters, digits, simple classes, groups, repeats and alternatives.
@@ -271,7 +322,7 @@ def message(code: str, field: Field) -> str:
     }[code]
 
 
-def codes(raw: Column, value: Column, field: Field) -> Column:
+def codes(raw: Column, value: Column, field: Field, jvm: bool = False) -> Column:
     """Issue codes (``array<string>``) of stripped text and what ``canonical`` made of it.
 
     Built by concatenation, which stays inside code generation; ``value`` is read
@@ -285,9 +336,9 @@ def codes(raw: Column, value: Column, field: Field) -> Column:
     if field.enum is not None:
         later.append(found(~value.isin(*_enum_texts(field)) if _enum_texts(field) else F.lit(True), "value_not_allowed"))
     if field.minimum is not None:
-        later.append(found(_sign(value, field.minimum) < 0, "below_minimum"))
+        later.append(found(_sign(value, field.minimum, jvm) < 0, "below_minimum"))
     if field.maximum is not None:
-        later.append(found(_sign(value, field.maximum) > 0, "above_maximum"))
+        later.append(found(_sign(value, field.maximum, jvm) > 0, "above_maximum"))
     blank = none if field.allow_blank else F.array(F.lit("blank_required_value"))
     return F.when(raw == "", blank).when(value.isNull(), F.array(F.lit("invalid_type"))).otherwise(F.concat(*later) if later else none)
 

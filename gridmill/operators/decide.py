@@ -61,7 +61,8 @@ def _every_issue(documents: DataFrame, flagged: DataFrame, unique: DataFrame) ->
     own = F.transform("issues", lambda i, b: F.struct(F.lit(2).alias("scope"), F.col("record_index").alias("a"), b.cast("long").alias("b"), i.alias("issue")))
     key = F.struct(F.lit(0).alias("scope"), F.lit(1).cast("long").alias("a"), F.col("record_index").alias("b"), F.col("duplicate").alias("issue"))
     listed = F.when(F.col("duplicate").isNotNull(), F.concat(F.array(key), own)).otherwise(own)
-    cells = unique.where((F.size("issues") > 0) | F.col("duplicate").isNotNull()).select("doc_id", F.inline(listed))
+    flawed = F.col("flawed") if "flawed" in unique.columns else F.size("issues") > 0
+    cells = unique.where(flawed | F.col("duplicate").isNotNull()).select("doc_id", F.inline(listed))
     return whole.unionByName(of_tables).unionByName(cells).withColumn("json", canonical_issue(F.col("issue")))
 
 
@@ -80,8 +81,14 @@ def all_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> D
 
 def issue_totals(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> DataFrame:
     """``doc_id, issues, fatal``: the number of distinct issues, and whether one rejects the document."""
-    distinct = _every_issue(documents, flagged, unique).groupBy("doc_id", "json").agg(F.max(F.col("issue.code").isin(*FATAL)).alias("fatal"))
-    return distinct.groupBy("doc_id").agg(F.count("*").alias("issues"), F.max("fatal").alias("fatal"))
+    return distinct_issues(documents, flagged, unique).groupBy("doc_id").agg(F.count("*").alias("issues"), F.max(F.col("code").isin(*FATAL)).alias("fatal"))
+
+
+def distinct_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame) -> DataFrame:
+    """``doc_id, scope, code`` of every distinct issue of a document, without its number and text."""
+    # what is grouped by document later on stays where it is
+    every = _every_issue(documents, flagged, unique).select("doc_id", "scope", F.col("issue.code").alias("code"), "json").repartition("doc_id")
+    return every.groupBy("doc_id", "json", "code").agg(F.min("scope").alias("scope")).select("doc_id", "scope", "code")
 
 
 def record_issues(unique: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def record_issues(unique: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{ISSUE}>")
     own = F.when(F.col("duplicate").isNotNull(), F.array("duplicate")).otherwise(none)
     others = F.coalesce(F.transform("repeats", lambda r: r["duplicate"]), none)
-    return joined.withColumn("issues", F.concat("issues", own, others)).drop("repeats", "duplicate", "first_of_key")
+    return joined.withColumn("issues", F.concat("issues", own, others)).drop("repeats", "duplicate", "first_of_key", "flawed")
 
 
 def decisions(counts: DataFrame, totals: DataFrame) -> DataFrame:

@@ -43,6 +43,10 @@ def compare_records(predicted: DataFrame, expected: DataFrame) -> DataFrame:
         F.col("p").isNotNull().alias("p"),
         F.col("e").isNotNull().alias("e"),
     )
+    return _case_sums(counted)
+
+
+def _case_sums(counted: DataFrame) -> DataFrame:
     return counted.groupBy("case_id").agg(
         F.sum("same").alias("true_positive"),
         F.sum(F.col("ps") - F.col("same")).alias("false_positive"),
@@ -53,10 +57,35 @@ def compare_records(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def compare_wide(predicted: DataFrame, expected: DataFrame) -> DataFrame:
+    """``compare_records`` of sides with one row per record and one column per field, which both have: ``case_id, row`` and the fields.
+
+    Every field is there once, so cells match by their place and no name is shuffled.
+    """
+    fields = [c for c in predicted.columns if c not in ("case_id", "row")]
+    side = lambda frame, mark: frame.select("case_id", "row", *[F.col(f).alias(f"{mark}{i}") for i, f in enumerate(fields)], F.lit(True).alias(mark))
+    both = side(predicted, "p").join(side(expected, "e"), ["case_id", "row"], "full")
+    pairs = [(F.col(f"p{i}"), F.col(f"e{i}")) for i in range(len(fields))]
+    total = lambda conditions: sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))
+    exact = F.col("p").isNotNull() & F.col("e").isNotNull()
+    for p, e in pairs:
+        exact &= p.eqNullSafe(e)
+    counted = both.select("case_id", total(p == e for p, e in pairs).alias("same"), total(p.isNotNull() for p, _ in pairs).alias("ps"), total(e.isNotNull() for _, e in pairs).alias("es"), exact.alias("equal"), "p", "e")
+    return _case_sums(counted.withColumns({"p": F.col("p").isNotNull(), "e": F.col("e").isNotNull()}))
+
+
+def record_counts(predicted: DataFrame, expected: DataFrame, cases: DataFrame) -> DataFrame:
+    """``cases`` (``case_id``, ...) with their counts of cells and records, also those without cells; both sides long, ``nested`` or as in ``compare_wide``."""
+    if any("cells" in side.columns or "field" in side.columns for side in (predicted, expected)):
+        compared = compare_records(*[side if "cells" in side.columns else nested(side) for side in (predicted, expected)])
+    else:
+        compared = compare_wide(predicted, expected)
+    return cases.join(compared, "case_id", "left").na.fill(0)
+
+
 def case_counts(predicted: DataFrame, expected: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Counts of every case of ``decisions`` (``case_id, decision, expected_decision``), also of those without cells; both sides long or ``nested``."""
-    sides = [side if "cells" in side.columns else nested(side) for side in (predicted, expected)]
-    joined = decisions.join(compare_records(*sides), "case_id", "left").na.fill(0)
+    """``record_counts`` of every case of ``decisions`` (``case_id, decision, expected_decision``), and whether its decision is right."""
+    joined = record_counts(predicted, expected, decisions)
     return joined.withColumn("record_denominator", F.greatest("predicted_records", "expected_records")).withColumn(
         "decision_correct", F.col("decision").eqNullSafe(F.col("expected_decision")).cast("long")
     )

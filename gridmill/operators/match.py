@@ -7,6 +7,7 @@ so they are a literal map inside the expression, not a join.
 
 from __future__ import annotations
 
+import string
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_header
 from ..plans.profile import Profile
-from .tables import TABLE
+from .tables import TABLE, assessed, row_statistics
 
 
 def alias_map(profile: Profile) -> Column:
@@ -23,20 +24,23 @@ def alias_map(profile: Profile) -> Column:
 
 def fields_of(cells: Column, profile: Profile) -> Column:
     """The profile column that each cell names as a header, or null."""
-    lookup = alias_map(profile)
-    return F.transform(cells, lambda c: F.element_at(lookup, normalize_header(c)))
+    lookup, foreign = alias_map(profile), foreign_letters(profile)
+    # most cells have a digit or letter that no alias has, which is seen sooner than their normalised text
+    return F.transform(cells, lambda c: F.when(~c.rlike(foreign), F.element_at(lookup, normalize_header(c))))
+
+
+def foreign_letters(profile: Profile) -> str:
+    """Pattern of the ASCII letters and digits that no alias holds; normalising keeps each as its small letter, so a text with one is no alias."""
+    known = set("".join(profile.aliases))
+    foreign = [c for c in string.digits + string.ascii_letters if c.lower() not in known]
+    return f"[{''.join(foreign)}]" if foreign else "(?!)"
 
 
 def header_candidates(rows: DataFrame, profile: Profile) -> DataFrame:
     """Every row that may be a header with its mapping, duplicates and scores."""
     found = rows.where(F.col("row") < profile.table["header_search_rows"]).select(*TABLE, "row", "cells", fields_of(F.col("cells"), profile).alias("f"))
     n = len(profile.columns)
-    mapping = F.array(*[F.nullif(F.array_position("f", F.lit(c)), F.lit(0).cast("long")).cast("int") - 1 for c in profile.fields])
-    # later columns of a field, in the order in which their fields first repeat
-    doubles = F.filter(
-        F.transform(F.col("f"), lambda name, i: F.struct(i.cast("int").alias("column"), name.alias("field"))),
-        lambda x: x["field"].isNotNull() & (F.array_position(F.col("f"), x["field"]) - 1 < x["column"]),
-    )
+    mapping, doubles = _mapped(F.col("f"), profile)
     got = found.withColumn("mapping", mapping).withColumn("doubles", doubles)
     count = F.size(F.filter("mapping", lambda x: x.isNotNull()))
     needed = [i for i, c in enumerate(profile.columns) if c.required]
@@ -124,3 +128,39 @@ def carry_mappings(classified: DataFrame) -> DataFrame:
 def match_tables(tables: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
     """Header match, class and carried mapping of every table."""
     return carry_mappings(classify(header_match(tables, rows, profile), profile))
+
+
+def _mapped(f: Column, profile: Profile) -> tuple[Column, Column]:
+    """Source column of each profile column, and later columns of a field, of the fields ``f`` that cells name."""
+    mapping = F.array(*[F.nullif(F.array_position(f, F.lit(c)), F.lit(0).cast("long")).cast("int") - 1 for c in profile.fields])
+    # later columns of a field, in the order in which their fields first repeat
+    doubles = F.filter(
+        F.transform(f, lambda name, i: F.struct(i.cast("int").alias("column"), name.alias("field"))),
+        lambda x: x["field"].isNotNull() & (F.array_position(f, x["field"]) - 1 < x["column"]),
+    )
+    return mapping, doubles
+
+
+def assess_and_match(tables: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
+    """``match_tables`` of ``assess``, from one aggregation of the rows; of a header only what it needs is kept until the best is known."""
+    n, needed = len(profile.columns), [c.name for c in profile.columns if c.required]
+    searched = rows.withColumn("f", F.when(F.col("row") < profile.table["header_search_rows"], fields_of(F.col("cells"), profile)))
+    have = lambda names: sum((F.coalesce(F.array_contains("f", F.lit(c)), F.lit(False)).cast("int") for c in names), F.lit(0))
+    # the better header has more required columns, then more columns, then comes earlier; other rows have no rank and are never taken
+    rank = F.when(F.col("row") < profile.table["header_search_rows"], F.struct(have(needed).alias("required"), have(profile.fields).alias("mapped"), (-F.col("row")).alias("row")))
+    ranked = searched.select(*TABLE, "row", "cells", "f", rank.alias("rank"))
+    best = F.max_by(F.struct("row", "cells", "f", F.col("rank.required").alias("required"), F.col("rank.mapped").alias("mapped")), "rank").alias("m")
+    found = assessed(tables.join(ranked.groupBy(*TABLE).agg(*row_statistics(), best), TABLE, "left"), [*tables.columns, "m"])
+    mapping, doubles = _mapped(F.col("m.f"), profile)
+    none = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: F.lit(None).cast("int"))
+    met = F.col("m.f").isNotNull()
+    headed = found.select(
+        *[F.col(c) for c in found.columns if c != "m"],
+        F.coalesce("m.row", F.lit(0)).alias("header_row"),
+        F.coalesce("m.cells", F.array().cast("array<string>")).alias("header"),
+        F.when(met, mapping).otherwise(none).alias("mapping"),
+        F.when(met, doubles).otherwise(F.array().cast("array<struct<column:int,field:string>>")).alias("doubles"),
+        F.coalesce(F.col("m.mapped") / F.lit(n), F.lit(0.0)).alias("score"),
+        F.coalesce((F.col("m.required") / F.lit(len(needed))) if needed else F.when(F.col("m").isNotNull(), F.lit(1.0)), F.lit(0.0)).alias("required_score"),
+    )
+    return carry_mappings(classify(headed, profile))

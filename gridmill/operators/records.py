@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.convert import codes, completed, is_plain, message, plain
 from ..functions.text import normalize_header, strip
 from ..plans.profile import Profile
-from .match import alias_map
+from .match import alias_map, foreign_letters
 from .tables import TABLE
 
 #: An issue: context that is null is left out of its JSON, whose keys are in alphabetical order.
@@ -41,8 +41,11 @@ def source_of(row: Column | None = None, column: Column | None = None, columns:
     )
 
 
-def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
-    """Rows below the header (all rows of a continued table) that are neither blank nor the header again."""
+def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile, laid: bool = False) -> DataFrame:
+    """Rows below the header (all rows of a continued table) that are neither blank nor the header again.
+
+    ``laid`` tells that all rows of a document lie in one partition already.
+    """
     usable = matched.where(F.col("kind").isin("compatible", "continued"))
     if "table_issues" in usable.columns:
         # all that rows need of their table's issues
@@ -50,8 +53,9 @@ def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFram
     # once for each table instead of each row
     usable = usable.withColumn("mapped", F.filter(F.col("mapping"), lambda x: x.isNotNull()))
     # both sides by document: the joins and windows above keep that partitioning
-    joined = rows.repartition("doc_id").join(usable.repartition("doc_id"), TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
-    joined = joined.where(F.exists("cells", lambda c: strip(c) != ""))
+    joined = (rows if laid else rows.repartition("doc_id")).join(usable.repartition("doc_id"), TABLE).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row")))
+    # a visible ASCII character in the first cell tells most rows from blank ones
+    joined = joined.where(F.coalesce(F.get("cells", F.lit(0)).rlike("[!-~]"), F.lit(False)) | F.exists("cells", lambda c: strip(c) != ""))
     names, mapped = F.array(*[F.lit(f) for f in profile.fields]), F.col("mapped")
     lookup = alias_map(profile)
     # stops at the first mapped cell that does not name its field, which for data is the first one
@@ -66,8 +70,12 @@ def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile) -> DataFram
         | (strip(x["c"]) == "")
         | F.coalesce(normalize_header(x["c"]) == normalize_header(F.get(F.col("header"), x["i"])), F.lit(False)),
     )
+    other = foreign_letters(profile)
+    foreign = F.lit(False)
+    for i in range(len(profile.columns)):
+        foreign |= F.coalesce(F.get("cells", F.get("mapping", F.lit(i))).rlike(other), F.lit(False))
     # only rows whose mapped cells all name a field can repeat the header, so others skip the rest
-    repeated = (F.size(mapped) > 0) & same & extras
+    repeated = ~foreign & (F.size(mapped) > 0) & same & extras
     return joined.where(~repeated)
 
 
@@ -113,28 +121,31 @@ def table_issues(matched: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def typed(data: DataFrame, profile: Profile) -> DataFrame:
-    """Add ``fields``: for each profile column ``name, column, raw, value, codes``, in profile order."""
+#: What there is of each profile column, as columns of its own: ``raw0, value0, codes0, ..., raw1, ...``.
+_PARTS = ("column", "raw", "value", "codes", "has_evidence", "bbox")
+
+
+def typed(data: DataFrame, profile: Profile, jvm: bool = False) -> DataFrame:
+    """Add ``_PARTS`` of each profile column, in profile order."""
     at = [F.get(F.col("mapping"), F.lit(i)) for i in range(len(profile.columns))]
     # raw texts, then plain values, then the rest: each is read several times by the next
     out = data.select("*", *[_raw(profile, i).alias(f"__raw{i}") for i in range(len(at))])
     out = out.select("*", *[plain(F.col(f"__raw{i}"), f).alias(f"__plain{i}") for i, f in enumerate(profile.columns)])
+    if jvm:
+        out = out.select("*", *[completed(F.col(f"__raw{i}"), F.col(f"__plain{i}"), f, jvm).alias(f"__full{i}") for i, f in enumerate(profile.columns)])
     parts = []
     for i, f in enumerate(profile.columns):
         raw = F.col(f"__raw{i}")
-        value = completed(raw, F.col(f"__plain{i}"), f)
-        parts.append(
-            F.struct(
-                F.lit(f.name).alias("name"),
-                at[i].alias("column"),
-                F.coalesce(raw, F.lit("")).alias("raw"),
-                F.when(raw != "", F.coalesce(value, raw)).alias("value"),
-                F.when(raw.isNotNull(), codes(raw, value, f)).otherwise(F.array().cast("array<string>")).alias("codes"),
-                F.coalesce(at[i] < F.size("cells"), F.lit(False)).alias("has_evidence"),
-                (F.get(F.col("boxes"), at[i]) if "boxes" in data.columns else F.lit(None).cast("array<double>")).alias("bbox"),
-            )
-        )
-    return out.select(*[F.col(f"`{c}`") for c in data.columns], F.array(*parts).alias("fields"))
+        value = F.col(f"__full{i}") if jvm else completed(raw, F.col(f"__plain{i}"), f)
+        parts += [
+            at[i].alias(f"column{i}"),
+            F.coalesce(raw, F.lit("")).alias(f"raw{i}"),
+            F.when(raw != "", F.coalesce(value, raw)).alias(f"value{i}"),
+            F.when(raw.isNotNull(), codes(raw, value, f, jvm)).otherwise(F.array().cast("array<string>")).alias(f"codes{i}"),
+            F.coalesce(at[i] < F.size("cells"), F.lit(False)).alias(f"has_evidence{i}"),
+            (F.get(F.col("boxes"), at[i]) if "boxes" in data.columns else F.lit(None).cast("array<double>")).alias(f"bbox{i}"),
+        ]
+    return out.select(*[F.col(f"`{c}`") for c in data.columns], *parts)
 
 
 def _raw(profile: Profile, i: int) -> Column:
@@ -167,8 +178,31 @@ def _cell_issues(profile: Profile) -> Column:
             ),
         )
     )
-    clean = sum((F.size(F.col("fields")[i]["codes"]) for i in range(len(profile.columns))), F.lit(0)) == 0
-    return F.when(clean, F.array().cast(f"array<{ISSUE}>")).otherwise(listed)
+    return F.when(_flawed(profile), listed).otherwise(F.array().cast(f"array<{ISSUE}>"))
+
+
+def _flawed(profile: Profile) -> Column:
+    """Whether a record has issues of its own."""
+    return sum((F.size(f"codes{i}") for i in range(len(profile.columns))), F.lit(0)) > 0
+
+
+def _nested(values: DataFrame, profile: Profile) -> DataFrame:
+    """``values`` with ``fields``, an array of structs of ``name`` and ``_PARTS``."""
+    parts = [F.struct(F.lit(f.name).alias("name"), *[F.col(f"{part}{i}").alias(part) for part in _PARTS]) for i, f in enumerate(profile.columns)]
+    return values.withColumn("fields", F.array(*parts))
+
+
+def _unnested(values: DataFrame, profile: Profile) -> list[str]:
+    """Columns of ``values`` that are not of one profile column."""
+    single = {f"{part}{i}" for part in _PARTS for i in range(len(profile.columns))}
+    return [c for c in values.columns if c not in single]
+
+
+def viewed(kept: DataFrame, profile: Profile) -> DataFrame:
+    """Records as ``unique_check`` gives them, from what is kept of them: ``record_values`` with ``status`` and ``first_of_key``."""
+    names = [c for c in _unnested(kept, profile) if c not in ("status", "first_of_key")]
+    found = _nested(kept, profile).withColumn("issues", _cell_issues(profile))
+    return found.select(*names, "fields", "issues", _duplicate(profile).alias("duplicate"), "first_of_key", "status")
 
 
 def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
@@ -177,15 +211,26 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
     ``table_flagged`` tells whether the record's table has issues, which send the
     record to review without being its own.
     """
+    values = record_values(issued, rows, profile)
+    names = [c for c in _unnested(values, profile) if c not in ("flawed", "unmapped_values", "table_flagged", *_KEYS)]
+    return _nested(values, profile).select(*names, "fields", "unmapped_values", _cell_issues(profile).alias("issues"), "table_flagged", *[c for c in _KEYS if c in values.columns])
+
+
+def record_values(issued: DataFrame, rows: DataFrame, profile: Profile, jvm: bool = False, laid: bool = False) -> DataFrame:
+    """Records with one column for each part of a field, and ``flawed`` (there are issues of its own).
+
+    So nested values need not be written, and parts that nobody reads are never made.
+    ``jvm`` is that of ``convert.completed``, ``laid`` that of ``data_rows``.
+    """
     order = Window.partitionBy("doc_id").orderBy("table_seq", "row")
     # numbered before conversion: an Arrow function in the plan hides how the rows are partitioned
-    numbered = data_rows(issued, rows, profile).withColumn("record_index", (F.row_number().over(order) - 1).cast("long"))
+    numbered = data_rows(issued, rows, profile, laid).withColumn("record_index", (F.row_number().over(order) - 1).cast("long"))
     keys = [(i, f) for i, f in enumerate(profile.columns) if f.name in profile.table["unique_by"]]
-    if keys and all(is_plain(f) for _, f in keys):
+    if keys and all(is_plain(f, jvm) for _, f in keys):
         # keys that need no Arrow function are compared here, where rows lie by document and are narrow
         texts = numbered.select("*", *[_raw(profile, i).alias(f"__text{i}") for i, _ in keys])
-        numbered = _with_keys(texts, [F.when(F.col(f"__text{i}") != "", F.coalesce(plain(F.col(f"__text{i}"), f), F.col(f"__text{i}"))) for i, f in keys]).select(*numbered.columns, *_KEYS)
-    data = typed(numbered, profile)
+        numbered = _with_keys(texts, [F.when(F.col(f"__text{i}") != "", F.coalesce(completed(F.col(f"__text{i}"), plain(F.col(f"__text{i}"), f), f, jvm), F.col(f"__text{i}"))) for i, f in keys]).select(*numbered.columns, *_KEYS)
+    data = typed(numbered, profile, jvm)
     mapped = F.col("mapped")
     # the first columns, as many as the row has, are all mapped
     covered = (F.array_max("mapped") + 1 == F.size("mapped")) & (F.size("cells") <= F.size("mapped"))
@@ -200,14 +245,20 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
         "bbox",
         "row",
         "record_index",
-        "fields",
+        *[f"{part}{i}" for i in range(len(profile.columns)) for part in _PARTS],
         F.when(F.coalesce(covered, F.lit(False)), F.array().cast("array<struct<column:int,header:string,raw:string>>")).otherwise(rest).alias("unmapped_values"),
-        _cell_issues(profile).alias("issues"),
+        _flawed(profile).alias("flawed"),
         "table_flagged",
         *[c for c in _KEYS if c in numbered.columns],
     )
 
 
+def _duplicate(profile: Profile) -> Column:
+    """The issue of a record whose key was met before."""
+    text = f"duplicate record key for {', '.join(profile.table['unique_by'])}"
+    return F.when(F.col("first_of_key") < F.col("record_index"), issue("error", "duplicate_record_key", text, records=F.array("first_of_key", "record_index")))
+
+
 def unique_check(records: DataFrame, profile: Profile) -> DataFrame:
     """Add ``duplicate``: for a record whose key was met before, the issue that names both; ``first_of_key``, and ``status``.
 
@@ -215,18 +266,18 @@ def unique_check(records: DataFrame, profile: Profile) -> DataFrame:
     repeated key need review, as do those with issues of their own or their table's.
     """
     keys = profile.table["unique_by"]
-    review = (F.size("issues") > 0) | F.col("table_flagged")
+    review = (F.col("flawed") if "flawed" in records.columns else F.size("issues") > 0) | F.col("table_flagged")
     status = lambda bad: F.when(bad, F.lit("needs_review")).otherwise(F.lit("accepted")).alias("status")
     if not keys:
         return records.select("*", F.lit(None).cast(ISSUE).alias("duplicate"), F.lit(None).cast("long").alias("first_of_key"), status(review))
     at = {name: i for i, name in enumerate(profile.fields)}
     # what extract_records has found, or could not without an Arrow function
-    keyed = records if "__first" in records.columns else _with_keys(records, [F.col("fields")[at[k]]["value"] for k in keys])
-    repeated = F.col("__whole") & (F.col("__first") < F.col("record_index"))
-    found = issue("error", "duplicate_record_key", f"duplicate record key for {', '.join(keys)}", records=F.array("__first", "record_index"))
+    value = lambda k: F.col("fields")[at[k]]["value"] if "fields" in records.columns else F.col(f"value{at[k]}")
+    keyed = records if "__first" in records.columns else _with_keys(records, [value(k) for k in keys])
+    keyed = keyed.withColumn("first_of_key", F.when(F.col("__whole"), F.col("__first")))
     return keyed.select(
         *[c for c in records.columns if c not in _KEYS],
-        F.when(repeated, found).alias("duplicate"),
-        F.when(F.col("__whole"), F.col("__first")).alias("first_of_key"),
+        _duplicate(profile).alias("duplicate"),
+        "first_of_key",
         status(review | (F.col("__whole") & (F.col("__times") > 1))),
     )

@@ -7,7 +7,7 @@ page, table_index, has_merged_cells, ...``), ``rows`` one per table row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLE = ["doc_id", "table_seq"]
@@ -27,13 +27,22 @@ def assess(tables: DataFrame, rows: DataFrame) -> DataFrame:
     ``column_count`` is null where rows differ in width.  More than two fifths
     of empty cells (by the ratio rounded to three places) is a warning.
     """
-    stats = rows.groupBy(*TABLE).agg(
+    stats = rows.groupBy(*TABLE).agg(*row_statistics())
+    return assessed(tables.join(stats, TABLE, "left"), tables.columns)
+
+
+def row_statistics() -> list[Column]:
+    """What ``assess`` needs of a table's rows, as aggregates."""
+    return [
         F.count("*").alias("n_rows"),
         F.array_sort(F.collect_set(F.size("cells"))).alias("widths"),
         F.sum(F.size("cells")).alias("n_cells"),
-        F.sum(F.size(F.filter("cells", lambda c: c == ""))).alias("n_empty"),
-    )
-    joined = tables.join(stats, TABLE, "left")
+        F.sum(F.size("cells") - F.size(F.array_remove("cells", F.lit("")))).alias("n_empty"),
+    ]
+
+
+def assessed(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of tables joined with their ``row_statistics``, and what ``assess`` adds."""
     empty = F.col("n_rows").isNull()
     ragged = F.size("widths") > 1
     ratio = F.when(empty, F.lit(None)).when(F.col("n_cells") == 0, F.lit(1.0)).otherwise(F.round(F.col("n_empty") / F.col("n_cells"), 3))
@@ -44,7 +53,7 @@ def assess(tables: DataFrame, rows: DataFrame) -> DataFrame:
     merged = F.coalesce(F.col("has_merged_cells"), F.lit(False))
     warnings = F.when(merged, F.concat(found, F.array(F.lit(MERGED_CELLS)))).otherwise(found)
     return joined.select(
-        *[F.col(c) for c in tables.columns],
+        *[F.col(c) for c in columns],
         F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
         F.when(~empty & ~ragged, F.col("widths")[0]).alias("column_count"),
         F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"),

@@ -24,10 +24,15 @@ class Extraction:
     frames.  They are written to shared storage once, so the parser runs once, a
     lost executor takes nothing with it and later plans are short; ``release``
     deletes them.
+
+    With ``laid`` all rows of a document lie in one partition and are cheap to make
+    again: they are not written, and not shuffled once more.  With ``once`` records
+    are read by one frame and one action only, so they are not written either; what
+    that frame does not need of them is never made.
     """
 
-    def __init__(self, documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: Profile) -> None:
-        self.profile = profile
+    def __init__(self, documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: Profile, laid: bool = False, once: bool = False) -> None:
+        self.profile, self.laid, self.once = profile, laid, once
         self._documents, self._tables, self._rows, self._written = documents, table_rows, rows, []
 
     def _kept(self, frame: DataFrame, name: str) -> DataFrame:
@@ -42,26 +47,36 @@ class Extraction:
 
     @cached_property
     def _grid_rows(self) -> DataFrame:
-        return self._kept(prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes"), "grid-rows")
+        rows = prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes")
+        return rows if self.laid else self._kept(rows, "grid-rows")
 
     @cached_property
     def _matched(self) -> DataFrame:
         """Tables with their header, class, carried mapping and those issues that do not depend on their records."""
-        found = tables.assess(prepared(self._tables, TABLE_COLUMNS), self._grid_rows)
-        return self._kept(records.table_issues(match.match_tables(found, self._grid_rows, self.profile), self.profile), "matched-tables")
+        found = match.assess_and_match(prepared(self._tables, TABLE_COLUMNS), self._grid_rows, self.profile)
+        return self._kept(records.table_issues(found, self.profile), "matched-tables")
+
+    @cached_property
+    def _values(self) -> DataFrame:
+        """What is kept of records: the parts of their fields, first records of keys and status."""
+        rows = self._grid_rows
+        if not self.laid:
+            usable = self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
+            if usable.count() <= BROADCAST_TABLES:
+                rows = rows.join(F.broadcast(usable), tables.TABLE, "left_semi")
+        found = records.unique_check(records.record_values(self._matched, rows, self.profile, jvm=True, laid=self.laid), self.profile).drop("duplicate")
+        return found if self.once else self._kept(found, "records")
 
     @cached_property
     def _records(self) -> DataFrame:
         """Records with their own issues, duplicate keys and status."""
-        rows, usable = self._grid_rows, self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
-        if usable.count() <= BROADCAST_TABLES:
-            rows = rows.join(F.broadcast(usable), tables.TABLE, "left_semi")
-        return self._kept(records.unique_check(records.extract_records(self._matched, rows, self.profile), self.profile), "records")
+        return records.viewed(self._values, self.profile)
 
     @cached_property
     def tables(self) -> DataFrame:
         """Matched tables with all their issues, record counts and accepted records."""
-        return self._kept(decide.table_flags(self._matched, self._records), "counted-tables")
+        found = decide.table_flags(self._matched, self._values)
+        return found if self.once else self._kept(found, "counted-tables")
 
     @cached_property
     def records(self) -> DataFrame:
@@ -77,11 +92,49 @@ class Extraction:
         """Every distinct issue of a document, in order."""
         return decide.all_issues(decide.document_issues(self._counts, self.profile), self.tables, self._records)
 
+    @cached_property
+    def issue_codes(self) -> DataFrame:
+        """``doc_id, scope, code`` of every distinct issue of a document."""
+        return decide.distinct_issues(decide.document_issues(self._counts, self.profile), self.tables, self._records)
+
+    @cached_property
+    def whole_document_issues(self) -> DataFrame:
+        """``doc_id, n, issue`` of the issues of whole documents, which are all distinct and need no cell's value."""
+        return decide.document_issues(self._counts, self.profile)
+
     @cached_property
     def documents(self) -> DataFrame:
         """Decision and summary."""
         return decide.decisions(self._counts, decide.issue_totals(decide.document_issues(self._counts, self.profile), self.tables, self._records))
 
+    @property
+    def places(self) -> DataFrame:
+        """``doc_id, table_seq, row, record_index`` of every record."""
+        return self._values.select("doc_id", "table_seq", "row", "record_index")
+
+    @property
+    def repeats(self) -> DataFrame:
+        """``doc_id, first_index, record_index`` of every record whose key was met before: these issues are all distinct."""
+        return self._values.where("first_of_key < record_index").select("doc_id", F.col("first_of_key").alias("first_index"), "record_index")
+
+    @property
+    def cell_issues(self) -> DataFrame:
+        """``doc_id, record_index, row, field, code`` of every issue of a cell."""
+        found = self._values.select("doc_id", "record_index", "row", "flawed", *[f"codes{i}" for i in range(len(self.profile.fields))])
+        # written, because a filter on codes that are still expressions would repeat them without end
+        found = self._kept(found, "cell-codes") if self.once else found
+        each = found.where("flawed").select("doc_id", "record_index", "row", F.inline(F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"codes{i}").alias("codes")) for i, name in enumerate(self.profile.fields)])))
+        return each.select("doc_id", "record_index", "row", "field", F.explode("codes").alias("code"))
+
+    def field(self, name: str) -> DataFrame:
+        """The rows of ``record_fields`` of one profile column."""
+        return self._values.select(*self._field_columns(self.profile.fields.index(name)))
+
+    def _field_columns(self, i: int) -> list:
+        part = lambda p: F.col(f"{p}{i}").alias(p)
+        evidence = F.when(F.col(f"has_evidence{i}"), F.struct("page", "table_index", "row", part("column"), part("bbox")))
+        return ["doc_id", "record_index", F.lit(self.profile.fields[i]).alias("name"), part("raw"), part("value"), evidence.alias("evidence")]
+
     @property
     def record_fields(self) -> DataFrame:
         """One row per record and profile column."""
@@ -97,7 +150,7 @@ class Extraction:
     @property
     def wide(self) -> DataFrame:
         """Records with one column per profile column, holding canonical text."""
-        return self._records.select("doc_id", "record_index", "status", *[F.col("fields")[i]["value"].alias(name) for i, name in enumerate(self.profile.fields)])
+        return self._values.select("doc_id", "record_index", "status", *[F.col(f"value{i}").alias(name) for i, name in enumerate(self.profile.fields)])
 
     @property
     def reports(self) -> DataFrame:
@@ -132,7 +185,7 @@ def prepared(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     return frame
 
 
-def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: str | dict | Profile) -> Extraction:
+def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: str | dict | Profile, laid: bool = False, once: bool = False) -> Extraction:
     """Extract every document by one profile.
 
     ``documents`` has ``doc_id``; ``table_rows`` one row per table (``doc_id,
@@ -145,9 +198,9 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     others, which are counted first, may be broadcast; the rest is shuffled once, by
     document, and the windows above that join need no other exchange where
     ``spark.sql.requireAllClusterKeysForCoPartition`` is false (``plans.session``
-    sets it).
+    sets it).  ``laid`` and ``once`` are those of ``Extraction``.
     """
-    return Extraction(documents, table_rows, rows, load(profile))
+    return Extraction(documents, table_rows, rows, load(profile), laid, once)
 
 
 def from_grids(grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

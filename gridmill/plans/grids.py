@@ -41,15 +41,19 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``order_lines``, and whether a line is the last of its order."""
     key = F.col("l_partkey")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # named before the window, so that what is above knows how lines are laid; texts are made after it, so that they are not shuffled
+    numbered = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
+    ).withColumns({"ix": F.row_number().over(order) - 1, "final": F.lead(F.lit(True)).over(order).isNull()})
     qty = F.when(key % 17 == 0, F.lit("many")).when(key % 19 == 0, F.lit("")).when(key % 23 == 0, F.lit("-3")).otherwise(F.col("l_quantity").cast("long").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"),
-        (F.row_number().over(order) - 1).alias("ix"),
+    return numbered.select(
+        "doc_id",
+        "ix",
         F.concat(F.lit("P"), key.cast("string")).alias("item"),
         qty.alias("qty"),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"),
-        F.lead(F.lit(True)).over(order).isNull().alias("final"),
+        "final",
     )
 
 
@@ -61,9 +65,9 @@ def _header(doc: Column) -> Column:
 
 
 def order_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, tables and rows of the order grid; each frame reads and shuffles the lines once."""
+    """Documents, tables and rows of the order grid; the last two read and shuffle the lines once each, by document."""
     doc = F.col("doc_id")
-    lines = _lines(spark, sf_dir).withColumn("table_seq", F.floor(F.col("ix") / 5).cast("int")).withColumn("at", (F.col("ix") % 5).cast("int"))
+    lines = _lines(spark, sf_dir).withColumn("table_seq", F.expr("ix div 5").cast("int")).withColumn("at", (F.col("ix") % 5).cast("int"))
     headed = (F.col("table_seq") == 0) | (doc % 3 != 0)
     first, stray, after = F.col("at") == 0, F.col("final") & (doc % 7 == 0), F.col("table_seq") + 1
     cells = F.array("item", "qty", "price")
@@ -79,7 +83,8 @@ def order_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     table_of = lambda seq, page, index: F.struct(seq.alias("table_seq"), page.alias("page"), F.lit(index).alias("table_index"))
     page, extra = F.array(table_of(F.col("table_seq"), after, 0)), F.array(table_of(after, after, 1))
     tables = lines.where(first | stray).select("doc_id", F.inline(F.when(first & stray, F.concat(page, extra)).when(first, page).otherwise(extra)))
-    return lines.where("ix = 0").select("doc_id"), tables, lines.select("doc_id", F.inline(every))
+    documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    return documents, tables, lines.select("doc_id", F.inline(every))
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
