@@ -37,9 +37,13 @@ def document_issues(counts: DataFrame, profile: Profile) -> DataFrame:
     return counts.select("doc_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("n", "issue"))
 
 
-def table_flags(issued: DataFrame, unique: DataFrame) -> DataFrame:
-    """Tables with ``record_count``, ``accepted_count`` and the one issue that depends on their rows: a matched table without records."""
-    used = unique.groupBy("doc_id", "table_seq").agg(F.count("*").alias("record_count"), F.count_if(F.col("status") == "accepted").alias("accepted_count"))
+def table_flags(issued: DataFrame, unique: DataFrame, flaws: bool = False) -> DataFrame:
+    """Tables with ``record_count``, ``accepted_count`` and the one issue that depends on their rows: a matched table without records.
+
+    With ``flaws`` also ``flaw_count``, the records that have issues of their own or repeat a key.
+    """
+    more = [F.count_if(F.col("flawed") | F.coalesce(F.col("first_of_key") < F.col("record_index"), F.lit(False))).alias("flaw_count")] if flaws else []
+    used = unique.groupBy("doc_id", "table_seq").agg(F.count("*").alias("record_count"), F.count_if(F.col("status") == "accepted").alias("accepted_count"), *more)
     t = issued.join(used, ["doc_id", "table_seq"], "left").na.fill(0, ["record_count", "accepted_count"])
     empty = issue("warning", "empty_matched_table", "table matched the profile but contained no data records", source=source_of())
     no_rows = F.col("kind").isin("compatible", "continued") & (F.col("record_count") == 0)
@@ -120,6 +124,23 @@ def decisions(counts: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def verdicts(documents: DataFrame, flagged: DataFrame, profile: Profile) -> DataFrame:
+    """``doc_id, decision`` as in ``decisions``, from tables with ``flaw_count``.
+
+    Issues need not be told apart or counted for that: those of whole documents are
+    those that reject, and any other calls for review.
+    """
+    kinds = flagged.groupBy("doc_id").agg(
+        F.count_if(F.col("kind").isin("compatible", "rejected")).alias("matched_tables"),
+        F.count_if(F.col("kind") == "compatible").alias("compatible_tables"),
+        F.sum("record_count").alias("records"),
+        F.count_if((F.size("table_issues") > 0) | (F.coalesce("flaw_count", F.lit(0)) > 0)).alias("flawed_tables"),
+    )
+    d = documents.select("doc_id").distinct().join(kinds, "doc_id", "left").na.fill(0)
+    rejected = (F.col("matched_tables") == 0) | (F.col("compatible_tables") == 0) | (F.col("records") < profile.table["min_records"])
+    return d.select("doc_id", F.when(rejected, F.lit("rejected")).when(F.col("flawed_tables") > 0, F.lit("needs_review")).otherwise(F.lit("accepted")).alias("decision"))
+
+
 def fingerprint(document_sha256: Column, profile: Profile, engine: str, engine_version: str, version_key: str, version: str, schema: str = "1.0") -> Column:
     """SHA-256 of the sorted, compact JSON of what went into an extraction."""
     basis = {"document_sha256": "\x00", "profile_sha256": profile.sha256, version_key: version, "engine": {"name": engine, "version": engine_version}, "result_schema_version": schema}

@@ -25,8 +25,19 @@ def alias_map(profile: Profile) -> Column:
 def fields_of(cells: Column, profile: Profile) -> Column:
     """The profile column that each cell names as a header, or null."""
     lookup, foreign = alias_map(profile), foreign_letters(profile)
+    # an alias as it is written needs no normalising
+    written = F.create_map(*[F.lit(x) for x in chain.from_iterable(spellings(profile).items())])
     # most cells have a digit or letter that no alias has, which is seen sooner than their normalised text
-    return F.transform(cells, lambda c: F.when(~c.rlike(foreign), F.element_at(lookup, normalize_header(c))))
+    named = F.transform(cells, lambda c: F.when(~c.rlike(foreign), F.coalesce(F.element_at(written, c), F.element_at(lookup, normalize_header(c)))))
+    # most rows have no other cells, which is seen without going through them one by one
+    letters = foreign[1:-1] if foreign.startswith("[") else ""
+    some = F.array_join(cells, "\0").rlike(rf"(?:^|\x00)[^{letters}\x00]*+(?:\x00|\z)")
+    return F.when(some, named).when(cells.isNotNull(), F.array_repeat(F.lit(None).cast("string"), F.size(cells)))
+
+
+def spellings(profile: Profile) -> dict[str, str]:
+    """Fields by their aliases, both as the profile writes them and normalised."""
+    return {a: c.name for c in profile.columns for a in c.aliases} | profile.aliases
 
 
 def foreign_letters(profile: Profile) -> str:
@@ -138,19 +149,29 @@ def _mapped(f: Column, profile: Profile) -> tuple[Column, Column]:
         F.transform(f, lambda name, i: F.struct(i.cast("int").alias("column"), name.alias("field"))),
         lambda x: x["field"].isNotNull() & (F.array_position(f, x["field"]) - 1 < x["column"]),
     )
-    return mapping, doubles
+    # nothing is sought where all names differ
+    return mapping, F.when(F.size(F.array_distinct(f)) < F.size(f), doubles).otherwise(F.array().cast("array<struct<column:int,field:string>>"))
 
 
-def assess_and_match(tables: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
-    """``match_tables`` of ``assess``, from one aggregation of the rows; of a header only what it needs is kept until the best is known."""
+def assess_and_match(tables: DataFrame | None, rows: DataFrame, profile: Profile) -> DataFrame:
+    """``match_tables`` of ``assess``, from one aggregation of the rows; of a header only what it needs is kept until the best is known.
+
+    Without ``tables`` they are those that the rows name by their ``page`` and ``table_index``.
+    """
     n, needed = len(profile.columns), [c.name for c in profile.columns if c.required]
     searched = rows.withColumn("f", F.when(F.col("row") < profile.table["header_search_rows"], fields_of(F.col("cells"), profile)))
     have = lambda names: sum((F.coalesce(F.array_contains("f", F.lit(c)), F.lit(False)).cast("int") for c in names), F.lit(0))
     # the better header has more required columns, then more columns, then comes earlier; other rows have no rank and are never taken
     rank = F.when(F.col("row") < profile.table["header_search_rows"], F.struct(have(needed).alias("required"), have(profile.fields).alias("mapped"), (-F.col("row")).alias("row")))
-    ranked = searched.select(*TABLE, "row", "cells", "f", rank.alias("rank"))
+    own = ["page", "table_index"] if tables is None else []
+    ranked = searched.select(*TABLE, *own, "row", "cells", "f", rank.alias("rank"))
     best = F.max_by(F.struct("row", "cells", "f", F.col("rank.required").alias("required"), F.col("rank.mapped").alias("mapped")), "rank").alias("m")
-    found = assessed(tables.join(ranked.groupBy(*TABLE).agg(*row_statistics(), best), TABLE, "left"), [*tables.columns, "m"])
+    grouped = ranked.groupBy(*TABLE).agg(*[F.max(c).alias(c) for c in own], *row_statistics(), best)
+    if tables is None:
+        grouped = grouped.withColumns({"has_merged_cells": F.lit(None).cast("boolean"), "bbox": F.lit(None).cast("array<double>")})
+        found = assessed(grouped, [*TABLE, *own, "has_merged_cells", "bbox", "m"])
+    else:
+        found = assessed(tables.join(grouped, TABLE, "left"), [*tables.columns, "m"])
     mapping, doubles = _mapped(F.col("m.f"), profile)
     none = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: F.lit(None).cast("int"))
     met = F.col("m.f").isNotNull()

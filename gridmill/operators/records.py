@@ -76,7 +76,9 @@ def data_rows(matched: DataFrame, rows: DataFrame, profile: Profile, laid: bool
         foreign |= F.coalesce(F.get("cells", F.get("mapping", F.lit(i))).rlike(other), F.lit(False))
     # only rows whose mapped cells all name a field can repeat the header, so others skip the rest
     repeated = ~foreign & (F.size(mapped) > 0) & same & extras
-    return joined.where(~repeated)
+    # one expression, which Spark does not take apart: the header itself, left out above, would go through all of it
+    below = F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))
+    return joined.where(F.when(below, ~repeated).otherwise(F.lit(False)))
 
 
 def table_issues(matched: DataFrame, profile: Profile) -> DataFrame:
@@ -188,10 +190,15 @@ def _flawed(profile: Profile) -> Column:
 
 def _nested(values: DataFrame, profile: Profile) -> DataFrame:
     """``values`` with ``fields``, an array of structs of ``name`` and ``_PARTS``."""
-    parts = [F.struct(F.lit(f.name).alias("name"), *[F.col(f"{part}{i}").alias(part) for part in _PARTS]) for i, f in enumerate(profile.columns)]
+    parts = [F.struct(F.lit(f.name).alias("name"), *[F.col(f"{part}{i}").alias(part) for part in _PARTS if f"{part}{i}" in values.columns]) for i, f in enumerate(profile.columns)]
     return values.withColumn("fields", F.array(*parts))
 
 
+def narrowed(values: DataFrame, profile: Profile, parts: tuple[str, ...]) -> DataFrame:
+    """``values`` with these of ``_PARTS`` only, and without what is unmapped."""
+    return values.drop("unmapped_values", *[f"{part}{i}" for part in _PARTS if part not in parts for i in range(len(profile.columns))])
+
+
 def _unnested(values: DataFrame, profile: Profile) -> list[str]:
     """Columns of ``values`` that are not of one profile column."""
     single = {f"{part}{i}" for part in _PARTS for i in range(len(profile.columns))}

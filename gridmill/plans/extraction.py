@@ -28,11 +28,16 @@ class Extraction:
     With ``laid`` all rows of a document lie in one partition and are cheap to make
     again: they are not written, and not shuffled once more.  With ``once`` records
     are read by one frame and one action only, so they are not written either; what
-    that frame does not need of them is never made.
+    that frame does not need of them is never made.  With ``parts`` only these parts
+    of fields (of ``records``: ``column, raw, value, codes, has_evidence, bbox``) are
+    kept of records that are written, and of tables what issues and decisions are made
+    of; frames that need more cannot be asked for.
+    Without ``table_rows`` tables are those that the rows name by their ``page`` and
+    ``table_index``.
     """
 
-    def __init__(self, documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: Profile, laid: bool = False, once: bool = False) -> None:
-        self.profile, self.laid, self.once = profile, laid, once
+    def __init__(self, documents: DataFrame, table_rows: DataFrame | None, rows: DataFrame, profile: Profile, laid: bool = False, once: bool = False, parts: tuple[str, ...] | None = None) -> None:
+        self.profile, self.laid, self.once, self.parts = profile, laid, once, parts
         self._documents, self._tables, self._rows, self._written = documents, table_rows, rows, []
 
     def _kept(self, frame: DataFrame, name: str) -> DataFrame:
@@ -47,24 +52,28 @@ class Extraction:
 
     @cached_property
     def _grid_rows(self) -> DataFrame:
-        rows = prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", "row", "cells", "boxes")
+        own = ["page", "table_index"] if self._tables is None else []
+        rows = prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", *own, "row", "cells", "boxes")
         return rows if self.laid else self._kept(rows, "grid-rows")
 
     @cached_property
     def _matched(self) -> DataFrame:
         """Tables with their header, class, carried mapping and those issues that do not depend on their records."""
-        found = match.assess_and_match(prepared(self._tables, TABLE_COLUMNS), self._grid_rows, self.profile)
+        found = match.assess_and_match(None if self._tables is None else prepared(self._tables, TABLE_COLUMNS), self._grid_rows, self.profile)
         return self._kept(records.table_issues(found, self.profile), "matched-tables")
 
     @cached_property
     def _values(self) -> DataFrame:
         """What is kept of records: the parts of their fields, first records of keys and status."""
-        rows = self._grid_rows
+        # page and index of a table come from its match
+        rows = self._grid_rows.select("doc_id", "table_seq", "row", "cells", "boxes")
         if not self.laid:
             usable = self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
             if usable.count() <= BROADCAST_TABLES:
                 rows = rows.join(F.broadcast(usable), tables.TABLE, "left_semi")
         found = records.unique_check(records.record_values(self._matched, rows, self.profile, jvm=True, laid=self.laid), self.profile).drop("duplicate")
+        if self.parts is not None:
+            found = records.narrowed(found, self.profile, self.parts)
         return found if self.once else self._kept(found, "records")
 
     @cached_property
@@ -76,6 +85,8 @@ class Extraction:
     def tables(self) -> DataFrame:
         """Matched tables with all their issues, record counts and accepted records."""
         found = decide.table_flags(self._matched, self._values)
+        if self.parts is not None:
+            found = found.select(*tables.TABLE, "kind", "record_count", "accepted_count", "table_issues")
         return found if self.once else self._kept(found, "counted-tables")
 
     @cached_property
@@ -107,6 +118,11 @@ class Extraction:
         """Decision and summary."""
         return decide.decisions(self._counts, decide.issue_totals(decide.document_issues(self._counts, self.profile), self.tables, self._records))
 
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """``doc_id, decision`` of every document, without a list of its issues."""
+        return decide.verdicts(self._documents, decide.table_flags(self._matched, self._values, flaws=True), self.profile)
+
     @property
     def places(self) -> DataFrame:
         """``doc_id, table_seq, row, record_index`` of every record."""
@@ -185,7 +201,9 @@ def prepared(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     return frame
 
 
-def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profile: str | dict | Profile, laid: bool = False, once: bool = False) -> Extraction:
+def extract(
+    documents: DataFrame, table_rows: DataFrame | None, rows: DataFrame, profile: str | dict | Profile, laid: bool = False, once: bool = False, parts: tuple[str, ...] | None = None
+) -> Extraction:
     """Extract every document by one profile.
 
     ``documents`` has ``doc_id``; ``table_rows`` one row per table (``doc_id,
@@ -198,9 +216,10 @@ def extract(documents: DataFrame, table_rows: DataFrame, rows: DataFrame, profil
     others, which are counted first, may be broadcast; the rest is shuffled once, by
     document, and the windows above that join need no other exchange where
     ``spark.sql.requireAllClusterKeysForCoPartition`` is false (``plans.session``
-    sets it).  ``laid`` and ``once`` are those of ``Extraction``.
+    sets it).  ``laid``, ``once``, ``parts`` and leaving out ``table_rows`` are as in
+    ``Extraction``.
     """
-    return Extraction(documents, table_rows, rows, load(profile), laid, once)
+    return Extraction(documents, table_rows, rows, load(profile), laid, once, parts)
 
 
 def from_grids(grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -64,8 +64,11 @@ def _header(doc: Column) -> Column:
     return F.when(doc % 5 == 0, F.concat(base, F.array(F.when(doc % 2 == 0, F.lit("description")).otherwise(F.lit("Colour"))))).otherwise(base)
 
 
-def order_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, tables and rows of the order grid; the last two read and shuffle the lines once each, by document."""
+def order_grid(spark: SparkSession, sf_dir: str, named: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, tables and rows of the order grid; the last two read and shuffle the lines once each, by document.
+
+    With ``named`` rows have the ``page`` and ``table_index`` of their table, which here is never without rows.
+    """
     doc = F.col("doc_id")
     lines = _lines(spark, sf_dir).withColumn("table_seq", F.expr("ix div 5").cast("int")).withColumn("at", (F.col("ix") % 5).cast("int"))
     headed = (F.col("table_seq") == 0) | (doc % 3 != 0)
@@ -75,16 +78,17 @@ def order_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     partial = F.array(F.array(F.lit("Item"), F.lit("Code")), F.array(F.lit("x"), F.lit("")))
     strange = F.array(F.array(F.lit("Date"), F.lit("Operator")), F.array(F.lit(""), F.lit("")))
     odd = F.when(doc % 2 == 0, partial).otherwise(strange)
-    row = lambda seq, n, texts: F.struct(seq.alias("table_seq"), n.alias("row"), texts.alias("cells"))
+    at = lambda index: [after.alias("page"), F.lit(index).alias("table_index")] if named else []
+    row = lambda seq, n, texts, index=0: F.struct(seq.alias("table_seq"), *at(index), n.alias("row"), texts.alias("cells"))
     data = F.array(row(F.col("table_seq"), F.col("at") + headed.cast("int"), cells))
     header = F.array(row(F.col("table_seq"), F.lit(0), _header(doc)))
-    strays = F.array(*[row(after, F.lit(i), odd[i]) for i in range(2)])
+    strays = F.array(*[row(after, F.lit(i), odd[i], 1) for i in range(2)])
     every = F.when(first & headed & stray, F.concat(data, header, strays)).when(first & headed, F.concat(data, header)).when(stray, F.concat(data, strays)).otherwise(data)
     table_of = lambda seq, page, index: F.struct(seq.alias("table_seq"), page.alias("page"), F.lit(index).alias("table_index"))
     page, extra = F.array(table_of(F.col("table_seq"), after, 0)), F.array(table_of(after, after, 1))
     tables = lines.where(first | stray).select("doc_id", F.inline(F.when(first & stray, F.concat(page, extra)).when(first, page).otherwise(extra)))
     documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
-    return documents, tables, lines.select("doc_id", F.inline(every))
+    return documents, tables, lines.select("doc_id", every.alias("every")).select("doc_id", F.inline("every"))
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

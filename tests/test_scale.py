@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gridmill import queries
 from gridmill.functions import convert
-from gridmill.operators import evaluate
+from gridmill.operators import evaluate, match
 from gridmill.plans import profile
-from gridmill.plans.grids import order_grid
+from gridmill.plans.extraction import extract
+from gridmill.plans.grids import ORDER_PROFILE, order_grid
 from gridmill.plans.session import tune
 
 
@@ -56,3 +57,51 @@ def test_wide_sides_are_compared_as_nested_ones(spark):
     assert counts[0] == counts[1]
     shuffled = _plan(evaluate.record_counts(*frames, cases))
     assert not re.search(r"array<struct<field", shuffled)
+
+
+def test_decisions_need_no_list_of_issues(spark):
+    found = queries._extraction(tune(spark), "/root/testdata/sf0.001")
+    counted = {r.doc_id: r.decision for r in found.documents.collect()}
+    assert {r.doc_id: r.decision for r in found.verdicts.collect()} == counted
+    assert set(counted.values()) == {"accepted", "needs_review", "rejected"}
+    assert "to_json" not in _plan(queries.decision_pivot(spark, "/root/testdata/sf0.001"))
+    found.release()
+
+
+def test_decisions_of_documents_without_tables_records_or_with_one_flaw(spark):
+    head, row = ["Item", "Qty", "Price"], ["a", "1", "2.5"]
+    grids = {1: [], 2: [[head]], 3: [[head, row]], 4: [[head, row, row]], 5: [[head, ["a", "x", "1"]]], 6: [[["Item", "Qty", "Remark"], row]], 7: [[head, row], [["Item", "Code"], row]], 8: [[["q", "r"], row]]}
+    rows = [(d, t, i, cells) for d, ts in grids.items() for t, rs in enumerate(ts) for i, cells in enumerate(rs)]
+    tables = sorted({(d, t, t + 1, 0) for d, t, _, _ in rows})
+    given = [spark.createDataFrame([(d,) for d in grids], "doc_id long"), spark.createDataFrame(tables, "doc_id long, table_seq int, page int, table_index int"), spark.createDataFrame(rows, "doc_id long, table_seq int, row int, cells array<string>")]
+    named = given[2].join(given[1], ["doc_id", "table_seq"])
+    for grid in (given, [given[0], None, named]):
+        found = extract(*grid, ORDER_PROFILE)
+        counted = {r.doc_id: r.decision for r in found.documents.collect()}
+        assert {r.doc_id: r.decision for r in found.verdicts.collect()} == counted
+        assert counted == {1: "rejected", 2: "rejected", 3: "accepted", 4: "needs_review", 5: "needs_review", 6: "rejected", 7: "needs_review", 8: "rejected"}
+        found.release()
+
+
+def test_header_names_are_found_in_whole_rows_as_in_single_cells(spark):
+    of = profile.load(ORDER_PROFILE)
+    rng = random.Random(3)
+    cells = ["Item", " DESCRIPTION ", "quantity:", "Unit  price!", "unit_price", "", " ", None, "\0", "Qty\0", "a\0Item", "P12", "12", "many", "\n", "Item\n", "ÏTEM", "-"]
+    rows = [(i, [rng.choice(cells) for _ in range(rng.randint(0, 4))]) for i in range(400)] + [(i, [c]) for i, c in enumerate(cells)]
+    frame = spark.createDataFrame(rows, "i int, cells array<string>")
+    one = F.transform("cells", lambda c: F.element_at(match.alias_map(of), match.normalize_header(c)))
+    got = frame.select("cells", match.fields_of(F.col("cells"), of).alias("f"), one.alias("one")).collect()
+    assert [(r.cells, r.f) for r in got] == [(r.cells, r.one) for r in got]
+    assert sum(any(r.f) for r in got) > 100
+
+
+def test_tables_of_the_order_grid_are_met_in_their_rows(spark):
+    found = queries._extraction(tune(spark), "/root/testdata/sf0.001")
+    plain = extract(*order_grid(spark, "/root/testdata/sf0.001"), ORDER_PROFILE, laid=True)
+    columns = ["doc_id", "table_seq", "page", "table_index", "kind", "header_row"]
+    both = [sorted(map(tuple, e._matched.select(columns).collect()), key=repr) for e in (found, plain)]
+    assert both[0] == both[1]
+    # what is kept of records for issues holds no texts
+    assert {c for c in found._values.columns if c.startswith(("raw", "value"))} == set()
+    found.release()
+    plain.release()
