@@ -51,22 +51,26 @@ class Extraction:
         self._written.clear()
 
     @cached_property
-    def _grid_rows(self) -> DataFrame:
+    def _read_rows(self) -> DataFrame:
+        """Grid rows, with page and index of their table where no tables are given."""
         own = ["page", "table_index"] if self._tables is None else []
         rows = prepared(self._rows, {"boxes": "array<array<double>>"}).select("doc_id", "table_seq", *own, "row", "cells", "boxes")
         return rows if self.laid else self._kept(rows, "grid-rows")
 
+    @property
+    def _grid_rows(self) -> DataFrame:
+        return self._read_rows.select("doc_id", "table_seq", "row", "cells", "boxes")
+
     @cached_property
     def _matched(self) -> DataFrame:
         """Tables with their header, class, carried mapping and those issues that do not depend on their records."""
-        found = match.assess_and_match(None if self._tables is None else prepared(self._tables, TABLE_COLUMNS), self._grid_rows, self.profile)
+        found = match.assess_and_match(None if self._tables is None else prepared(self._tables, TABLE_COLUMNS), self._read_rows, self.profile)
         return self._kept(records.table_issues(found, self.profile), "matched-tables")
 
     @cached_property
     def _values(self) -> DataFrame:
         """What is kept of records: the parts of their fields, first records of keys and status."""
-        # page and index of a table come from its match
-        rows = self._grid_rows.select("doc_id", "table_seq", "row", "cells", "boxes")
+        rows = self._grid_rows
         if not self.laid:
             usable = self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
             if usable.count() <= BROADCAST_TABLES:
