@@ -157,6 +157,50 @@ def test_kneser_ney_against_dictionaries():
     assert model.differences(asked) == pytest.approx(want, abs=1e-9)
 
 
+def test_trees_of_rows_where_they_lie(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, 4)), 2)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(int)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])) for f in range(4)]
+    want = quality.fit(x, y.astype(float), rounds=6, depth=3, bins=16, edges=edges)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label int, x array<double>")
+    for parts in (1, 5):
+        got = quality.fit_rows(rows.repartition(parts), 4, rounds=6, depth=3, bins=16, together=10, edges=edges)
+        assert np.array_equal(got.feature, want.feature) and np.array_equal(got.threshold, want.threshold) and got.leaf == pytest.approx(want.leaf)
+    own = [quality.fit_rows(rows.repartition(parts), 4, rounds=6, depth=3, bins=16, together=10) for parts in (1, 5)]
+    assert np.array_equal(own[0].threshold, own[1].threshold) and np.array_equal(own[0].leaf, own[1].leaf)
+    right = [((t.score(x) >= 0.5) == y).mean() for t in (own[0], want)]
+    assert right[1] > 0.9 and abs(right[0] - right[1]) < 0.02
+    for e, f in zip(quality._quantiles(rows, 4, 16), range(4), strict=True):
+        assert np.abs(e - np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1], method="inverted_cdf")).max() < 0.003
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    free = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60_000))
+    assert free > quality.TOGETHER
+    known = quality.labelled(labels, "quality", "doc_id", 3, 1)
+    docs = spark.range(70_000).selectExpr("id doc_id", "concat('t', id) text").union(spark.createDataFrame([(2, "a"), (None, "x")], "doc_id long, text string"))
+    found = quality.labelled_texts(docs, known, "doc_id", "text")
+    assert found.count() == known.count() == free
+    assert found.where("text in ('t2', 'a')").select("text").collect() == ([("a",)] if zlib.crc32(b"2") % 3 != 1 else [])
+
+
+def test_letter_tables_against_those_of_one_place(spark):
+    words = ["idiot", "idea", "ideal", "the", "then", "moron", "idiotic", "a", "an", "\u00e9t\u00e9"]
+    toxic, ordinary = np.array([5, 0, 0, 3, 1, 4, 2, 0, 1, 1]), np.array([0, 4, 2, 9, 3, 0, 0, 7, 1, 0])
+    rows = spark.createDataFrame([(w, int(t), int(b)) for w, t, b in zip(words, toxic, ordinary, strict=True)], "word string, toxic long, ordinary long").repartition(3)
+    want, got = toxicity.fit_models(words, toxic.astype(float), ordinary.astype(float)), toxicity.fit_tables(rows)
+    asked = [*words, "zzz", "idiots", "b", "thenidiot", "x"]
+    assert got.differences(asked) == pytest.approx(want.differences(asked), abs=1e-12)
+    # more sequences than slots are counted together: tables keep their size, nothing is left out
+    few = toxicity.fit_tables(rows, slots=23)
+    for side, own, n in zip(few.sides, (toxic, ordinary), ("toxic", "ordinary"), strict=True):
+        assert all(len(g) <= 23 and len(c) <= 23 for g, c in zip(side.grams[3:], side.contexts[3:], strict=True)), n
+        assert side.counts[toxicity.ORDER].sum() == sum(max(0, len(w) + 3 - toxicity.ORDER) * k for w, k in zip(words, own, strict=True))
+    assert np.isfinite(few.differences(asked)).all()
+
+
 # -- language models -----------------------------------------------------------
 
 
