@@ -268,7 +268,10 @@ def _sign(value: Column, bound: Decimal, jvm: bool = False) -> Column:
     number, at = F.when(short, value.try_cast("decimal(38,18)")), F.lit(limit if exact else "0").cast("decimal(38,18)")
     quick = F.when(number < at, F.lit(-1)).when(number > at, F.lit(1)).when(number == at, F.lit(0))
     slow = F.when(~short, value)
-    return F.coalesce(quick, F.when(slow.isNotNull(), _compare_texts(slow, limit) if jvm else _compare_long(slow, F.lit(limit))))
+    whole = F.coalesce(quick, F.when(slow.isNotNull(), _compare_texts(slow, limit) if jvm else _compare_long(slow, F.lit(limit))))
+    # rounding to a double keeps the order, so only equal doubles need the exact numbers
+    near, close = value.try_cast("double"), F.lit(float(bound))
+    return F.when(near < close, F.lit(-1)).when(near > close, F.lit(1)).otherwise(whole)
 
 
 #: Patterns that Java reads as Python does: plain characters, digits, simple classes, groups, repeats and alternatives.

@@ -359,3 +359,14 @@ def test_keys_are_compared_before_an_arrow_function(spark):
     plan = records.unique_check(records.extract_records(found._matched, found._grid_rows, found.profile), found.profile)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Exchange" not in plan[: plan.index("ArrowEvalPython")] and plan.count("Window") >= 2
     found.release()
+
+
+def test_bounds_where_doubles_are_equal(spark):
+    bounds = [Decimal(b) for b in ("0", "0.1", "90000", "-2.5", "9007199254740993", "100000000000000000000000000000000000000001", "1" + "0" * 400)]
+    texts = ["0", "0.1", "0.10000000000000001", "0.09999999999999999", "90000", "90000.000000000000000000001", "89999.99999999999999999", "-2.5", "-2.50000000000000000000001",
+             "9007199254740992", "9007199254740993", "9007199254740994", "100000000000000000000000000000000000000000", "100000000000000000000000000000000000000002", "9" * 400, "1" + "0" * 401, "-" + "9" * 500, "-3", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    for jvm in (False, True):
+        for r in rows.select("v", *[convert._sign(F.col("v"), b, jvm).alias(f"s{i}") for i, b in enumerate(bounds)]).collect():
+            want = [None] * len(bounds) if r.v is None else [(Decimal(r.v) > b) - (Decimal(r.v) < b) for b in bounds]
+            assert list(r[1:]) == want, r.v
