@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.profile import Profile, canonical_json
-from .records import ISSUE, issue, source_of
+from .records import ISSUE, duplicate_of, issue, source_of
 
 # Codes that reject a document.
 FATAL = ("no_matching_table", "no_compatible_table", "insufficient_records")
@@ -95,20 +95,26 @@ def distinct_issues(documents: DataFrame, flagged: DataFrame, unique: DataFrame)
     return every.groupBy("doc_id", "json", "code").agg(F.min("scope").alias("scope")).select("doc_id", "scope", "code")
 
 
-def record_issues(unique: DataFrame) -> DataFrame:
-    """Records with all issues that hang on them, duplicate keys of later records included."""
+def record_issues(unique: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """Records with all issues that hang on them, duplicate keys of later records included, which are sought unless ``unique`` has them as ``later``."""
+    if "later" in unique.columns:
+        repeats = F.transform("later", lambda i: duplicate_of(profile, F.col("record_index"), i))
+        return _with_repeats(unique.withColumn("repeats", repeats)).drop("later")
     later = unique.where(F.col("duplicate").isNotNull()).groupBy("doc_id", F.col("first_of_key").alias("record_index")).agg(
-        F.sort_array(F.collect_list(F.struct("record_index", "duplicate"))).alias("repeats")
+        F.transform(F.sort_array(F.collect_list(F.struct("record_index", "duplicate"))), lambda r: r["duplicate"]).alias("repeats")
     )
-    joined = unique.join(later, ["doc_id", "record_index"], "left")
+    return _with_repeats(unique.join(later, ["doc_id", "record_index"], "left"))
+
+
+def _with_repeats(joined: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{ISSUE}>")
     own = F.when(F.col("duplicate").isNotNull(), F.array("duplicate")).otherwise(none)
-    others = F.coalesce(F.transform("repeats", lambda r: r["duplicate"]), none)
+    others = F.coalesce("repeats", none)
     return joined.withColumn("issues", F.concat("issues", own, others)).drop("repeats", "duplicate", "first_of_key", "flawed")
 
 
-def decisions(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Decision and summary of every document."""
+def decisions(counts: DataFrame, totals: DataFrame, *more: str) -> DataFrame:
+    """Decision and summary of every document, and ``more`` columns of ``totals``."""
     d = counts.join(totals, "doc_id", "left")
     decision = F.when(F.coalesce("fatal", F.lit(False)), F.lit("rejected")).when(F.coalesce("issues", F.lit(0)) > 0, F.lit("needs_review")).otherwise(F.lit("accepted"))
     return d.select(
@@ -121,6 +127,7 @@ def decisions(counts: DataFrame, totals: DataFrame) -> DataFrame:
         "records",
         "accepted_records",
         F.coalesce("issues", F.lit(0)).alias("issues"),
+        *more,
     )
 
 

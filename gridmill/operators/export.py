@@ -133,10 +133,9 @@ def result_json(found: Extraction, documents: DataFrame) -> DataFrame:
     reports = found.reports.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("table_seq", "page", "table_index", "status", "header_row", "header_match", "column_mapping", "unmapped_headers", "record_count", "issues")), lambda a, b: (a["table_seq"] - b["table_seq"]).cast("int")).alias("tables")
     )
-    issues = found.issues.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("issue_number", "json"))), lambda x: x["json"]).alias("listed"))
     raw = found.profile.raw
     profile = F.struct(F.lit(raw["id"]).alias("id"), F.lit(raw["version"]).alias("version"), F.lit(raw["description"]).alias("description"), F.lit(found.profile.sha256).alias("sha256"), F.array(*[F.lit(f) for f in found.profile.fields]).alias("fields"))
-    joined = documents.join(found.documents, "doc_id").join(records, "doc_id", "left").join(reports, "doc_id", "left").join(issues, "doc_id", "left")
+    joined = documents.join(found.listed_documents, "doc_id").join(records, "doc_id", "left").join(reports, "doc_id", "left")
     document = F.struct(*[c for c in ("type", "bytes", "sha256", "pages") if c in documents.columns])
     body = F.struct(
         F.lit("1.0").alias("result_schema_version"),
@@ -146,7 +145,7 @@ def result_json(found: Extraction, documents: DataFrame) -> DataFrame:
         document.alias("document"),
         F.coalesce(records["records"], F.array().cast(records.schema["records"].dataType)).alias("records"),
         F.coalesce("tables", F.array().cast(reports.schema["tables"].dataType)).alias("tables"),
-        F.struct("detected_tables", "matched_tables", "compatible_tables", "headerless_continuations", found.documents["records"].alias("records"), "accepted_records", "issues").alias("summary"),
+        F.struct("detected_tables", "matched_tables", "compatible_tables", "headerless_continuations", found.listed_documents["records"].alias("records"), "accepted_records", "issues").alias("summary"),
         F.struct("fingerprint").alias("audit"),
     )
     text = F.to_json(body)

@@ -223,11 +223,13 @@ def extract_records(issued: DataFrame, rows: DataFrame, profile: Profile) -> Dat
     return _nested(values, profile).select(*names, "fields", "unmapped_values", _cell_issues(profile).alias("issues"), "table_flagged", *[c for c in _KEYS if c in values.columns])
 
 
-def record_values(issued: DataFrame, rows: DataFrame, profile: Profile, jvm: bool = False, laid: bool = False) -> DataFrame:
+def record_values(issued: DataFrame, rows: DataFrame, profile: Profile, jvm: bool = False, laid: bool = False, later: DataFrame | None = None) -> DataFrame:
     """Records with one column for each part of a field, and ``flawed`` (there are issues of its own).
 
     So nested values need not be written, and parts that nobody reads are never made.
-    ``jvm`` is that of ``convert.completed``, ``laid`` that of ``data_rows``.
+    ``jvm`` is that of ``convert.completed``, ``laid`` that of ``data_rows``.  Where the
+    records that repeat a record's key are known (``doc_id, record_index, later``),
+    each record gets its ``later``.
     """
     order = Window.partitionBy("doc_id").orderBy("table_seq", "row")
     # numbered before conversion: an Arrow function in the plan hides how the rows are partitioned
@@ -237,6 +239,9 @@ def record_values(issued: DataFrame, rows: DataFrame, profile: Profile, jvm: boo
         # keys that need no Arrow function are compared here, where rows lie by document and are narrow
         texts = numbered.select("*", *[_raw(profile, i).alias(f"__text{i}") for i, _ in keys])
         numbered = _with_keys(texts, [F.when(F.col(f"__text{i}") != "", F.coalesce(completed(F.col(f"__text{i}"), plain(F.col(f"__text{i}"), f), f, jvm), F.col(f"__text{i}"))) for i, f in keys]).select(*numbered.columns, *_KEYS)
+    if later is not None:
+        # rows are narrow and lie by document here
+        numbered = numbered.join(later.repartition("doc_id"), ["doc_id", "record_index"], "left")
     data = typed(numbered, profile, jvm)
     mapped = F.col("mapped")
     # the first columns, as many as the row has, are all mapped
@@ -256,14 +261,18 @@ def record_values(issued: DataFrame, rows: DataFrame, profile: Profile, jvm: boo
         F.when(F.coalesce(covered, F.lit(False)), F.array().cast("array<struct<column:int,header:string,raw:string>>")).otherwise(rest).alias("unmapped_values"),
         _flawed(profile).alias("flawed"),
         "table_flagged",
-        *[c for c in _KEYS if c in numbered.columns],
+        *[c for c in ("later", *_KEYS) if c in numbered.columns],
     )
 
 
+def duplicate_of(profile: Profile, first: Column, repeat: Column) -> Column:
+    """The issue that names the first record of a key and one that repeats it."""
+    return issue("error", "duplicate_record_key", f"duplicate record key for {', '.join(profile.table['unique_by'])}", records=F.array(first, repeat))
+
+
 def _duplicate(profile: Profile) -> Column:
     """The issue of a record whose key was met before."""
-    text = f"duplicate record key for {', '.join(profile.table['unique_by'])}"
-    return F.when(F.col("first_of_key") < F.col("record_index"), issue("error", "duplicate_record_key", text, records=F.array("first_of_key", "record_index")))
+    return F.when(F.col("first_of_key") < F.col("record_index"), duplicate_of(profile, F.col("first_of_key"), F.col("record_index")))
 
 
 def unique_check(records: DataFrame, profile: Profile) -> DataFrame:

@@ -31,7 +31,9 @@ class Extraction:
     that frame does not need of them is never made.  With ``parts`` only these parts
     of fields (of ``records``: ``column, raw, value, codes, has_evidence, bbox``) are
     kept of records that are written, and of tables what issues and decisions are made
-    of; frames that need more cannot be asked for.
+    of (all, if ``tables`` is among the parts); frames that need more cannot be asked
+    for, but ``records``: where rows are ``laid`` they are made again with all parts,
+    which takes less disk than to write and shuffle them.
     Without ``table_rows`` tables are those that the rows name by their ``page`` and
     ``table_index``.
     """
@@ -67,15 +69,19 @@ class Extraction:
         found = match.assess_and_match(None if self._tables is None else prepared(self._tables, TABLE_COLUMNS), self._read_rows, self.profile)
         return self._kept(records.table_issues(found, self.profile), "matched-tables")
 
-    @cached_property
-    def _values(self) -> DataFrame:
-        """What is kept of records: the parts of their fields, first records of keys and status."""
+    def _made(self, later: DataFrame | None = None) -> DataFrame:
+        """Records with all parts of their fields, first records of keys and status, not written."""
         rows = self._grid_rows
         if not self.laid:
             usable = self._matched.where(F.col("kind").isin("compatible", "continued")).select(*tables.TABLE)
             if usable.count() <= BROADCAST_TABLES:
                 rows = rows.join(F.broadcast(usable), tables.TABLE, "left_semi")
-        found = records.unique_check(records.record_values(self._matched, rows, self.profile, jvm=True, laid=self.laid), self.profile).drop("duplicate")
+        return records.unique_check(records.record_values(self._matched, rows, self.profile, jvm=True, laid=self.laid, later=later), self.profile).drop("duplicate")
+
+    @cached_property
+    def _values(self) -> DataFrame:
+        """What is kept of records."""
+        found = self._made()
         if self.parts is not None:
             found = records.narrowed(found, self.profile, self.parts)
         return found if self.once else self._kept(found, "records")
@@ -89,13 +95,16 @@ class Extraction:
     def tables(self) -> DataFrame:
         """Matched tables with all their issues, record counts and accepted records."""
         found = decide.table_flags(self._matched, self._values)
-        if self.parts is not None:
+        if self.parts is not None and "tables" not in self.parts:
             found = found.select(*tables.TABLE, "kind", "record_count", "accepted_count", "table_issues")
         return found if self.once else self._kept(found, "counted-tables")
 
     @cached_property
     def records(self) -> DataFrame:
         """Records with every issue that hangs on them."""
+        if self.laid and self.parts is not None:
+            later = self.repeats.groupBy("doc_id", F.col("first_index").alias("record_index")).agg(F.sort_array(F.collect_list(F.col("record_index"))).alias("later"))
+            return decide.record_issues(records.viewed(self._made(later), self.profile), self.profile)
         return decide.record_issues(self._records)
 
     @cached_property
@@ -122,6 +131,16 @@ class Extraction:
         """Decision and summary."""
         return decide.decisions(self._counts, decide.issue_totals(decide.document_issues(self._counts, self.profile), self.tables, self._records))
 
+    @cached_property
+    def listed_documents(self) -> DataFrame:
+        """``documents`` with ``listed``, the JSON texts of their issues in order: issues are gone through once for both."""
+        totals = self.issues.groupBy("doc_id").agg(
+            F.count("*").alias("issues"),
+            F.max(F.col("issue.code").isin(*decide.FATAL)).alias("fatal"),
+            F.transform(F.sort_array(F.collect_list(F.struct("issue_number", "json"))), lambda x: x["json"]).alias("listed"),
+        )
+        return decide.decisions(self._counts, totals, "listed")
+
     @cached_property
     def verdicts(self) -> DataFrame:
         """``doc_id, decision`` of every document, without a list of its issues."""

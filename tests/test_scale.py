@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridmill import queries
 from gridmill.functions import convert
-from gridmill.operators import evaluate, match
-from gridmill.plans import profile
+from gridmill.operators import evaluate, export, match
+from gridmill.plans import profile, store
 from gridmill.plans.extraction import extract
 from gridmill.plans.grids import ORDER_PROFILE, order_grid
 from gridmill.plans.session import tune
@@ -105,3 +105,27 @@ def test_tables_of_the_order_grid_are_met_in_their_rows(spark):
     assert {c for c in found._values.columns if c.startswith(("raw", "value"))} == set()
     found.release()
     plain.release()
+
+
+def test_results_are_made_where_rows_lie_without_writing_records(spark, monkeypatch):
+    head, names = ["Item", "Qty", "Price"], ["a", "b", "a", "", "c", "a", "b", "a"]
+    grids = {1: [[head, *[[x, str(i), "2.5"] for i, x in enumerate(names)]], [["a", "x", "-1"]]], 2: [[head]], 3: [], 4: [[["Date", "Who"], ["", ""]]], 5: [[head, ["q", "1", "3"]]]}
+    rows = [(d, t, t + 1, 0, i, cells) for d, ts in grids.items() for t, rs in enumerate(ts) for i, cells in enumerate(rs)]
+    documents = spark.createDataFrame([(d, "grid", 0, f"s{d}", f"f{d}") for d in grids], "doc_id long, type string, bytes long, sha256 string, fingerprint string")
+    rows = spark.createDataFrame(rows, "doc_id long, table_seq int, page int, table_index int, row int, cells array<string>").repartition("doc_id")
+    whole = extract(documents, None, rows, ORDER_PROFILE)
+    want = {r.doc_id: r.json for r in export.result_json(whole, documents).collect()}
+    written, write = {}, store.materialise
+    monkeypatch.setattr(store, "materialise", lambda frame, name, *more: written.setdefault(name, frame.columns) and write(frame, name, *more))
+    parts = extract(documents, None, rows, ORDER_PROFILE, laid=True, parts=("column", "codes", "tables"))
+    assert {r.doc_id: r.json for r in export.result_json(parts, documents).collect()} == want
+    assert want[1].count("duplicate record key") > 8 and want[5].count('"decision":"accepted"') == 1
+    written.clear()
+    got = queries.result_json(tune(spark), "/root/testdata/sf0.001")
+    assert {c for columns in written.values() for c in columns if c.startswith(("raw", "value", "bbox0"))} == set()
+    # no record is shuffled: exchanges carry lines, tables, issues and documents
+    assert not re.search(r"Exchange[^\n]*\n[^\n]*collect_list\(r#", _plan(got))
+    plain = export.result_json(extract(*order_grid(spark, "/root/testdata/sf0.001"), ORDER_PROFILE, laid=True), queries._named(order_grid(spark, "/root/testdata/sf0.001")[0]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    whole.release()
+    parts.release()
