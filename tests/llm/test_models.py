@@ -201,6 +201,22 @@ def test_letter_tables_against_those_of_one_place(spark):
     assert np.isfinite(few.differences(asked)).all()
 
 
+def test_letter_tables_that_are_not_gathered_give_the_same(spark):
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\u05d0\u05d1 unheardof \u4e2d"), (-4, "!?")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    whole = toxicity.train(docs, labels)
+    parts = toxicity.train(docs, labels, together=0, gather=0)
+    assert isinstance(whole.model, toxicity.Model) and isinstance(parts.model, toxicity.Tables)
+    want, got = ({r.id: r.score for r in toxicity.score(docs, c).collect()} for c in (whole, parts))
+    assert len(got) == docs.count() and got == pytest.approx(want, abs=1e-9)
+    # every sequence is counted for itself, however many there are
+    few = spark.createDataFrame([("idiot", 2, 0), ("idea", 0, 3)], "word string, toxic long, ordinary long")
+    assert isinstance(toxicity.fit_tables(few, gather=3), toxicity.Tables)
+    assert toxicity.fit_tables(few).slots == [0] * (toxicity.ORDER + 1)
+
+
 # -- language models -----------------------------------------------------------
 
 
